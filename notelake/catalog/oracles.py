@@ -109,8 +109,8 @@ _DIMS = "cast(len(embedding) as INTEGER) as dims"
 
 def _greedy(rows: str, match: str) -> str:
     """Walk ``rows`` in id order per category over the pairs ``prs`` and give the kept ids ``kp``."""
-    return f"""ed as (select category, ib as id, list(ia order by ia) as nb from prs where {match} group by 1, 2),
- nr as (select category, id, row_number() over (partition by category order by id) as rn from {rows}),
+    return f"""ed as materialized (select category, ib as id, list(ia order by ia) as nb from prs where {match} group by 1, 2),
+ nr as materialized (select category, id, row_number() over (partition by category order by id) as rn from {rows}),
  gr as (select category, 0::BIGINT as rn, []::BIGINT[] as kept from nr group by category
   union all
   select gr.category, gr.rn + 1,
@@ -123,7 +123,7 @@ def _greedy(rows: str, match: str) -> str:
 
 def _pairs(rows: str) -> str:
     text_equal = f"{_norm('a.text')} = {_norm('b.text')}"
-    return f"""prs as (select a.category, a.id as ia, b.id as ib,
+    return f"""prs as materialized (select a.category, a.id as ia, b.id as ib,
   case when a.embedding is not null and b.embedding is not null then {_cos('a.embedding', 'b.embedding')}
        when {text_equal} then 1.0 else 0.0 end as s
   from {rows} a join {rows} b on a.role = b.role and a.category = b.category and a.id < b.id)"""

@@ -389,7 +389,7 @@ def check_files(spark, sf):
 @query
 def check_documents(spark, sf):
     docs = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text")
-    return lines.check_files(lines.split_documents(docs, "doc", "text"))
+    return lines.check_documents(docs, "doc", "text")
 
 
 @query

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread_small
+
 Embedder = Callable[[Sequence[str]], "Sequence[Sequence[float] | None] | None"]
 
 
@@ -51,4 +53,4 @@ def embed_column(df: DataFrame, embed: Embedder | None = None, *, text: str = "t
                 )
             yield result
 
-    return df.withColumn(out, vectors(F.col(text)))
+    return spread_small(df).withColumn(out, vectors(F.col(text)))

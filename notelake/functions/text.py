@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from ..schema import MIN_KEYWORD_CHARS, PREVIEW_CHARS
 
-# Unicode white space plus the four ASCII separators U+001C..U+001F.
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Every character that counts as white space at the edges of a text.
+_EDGE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _KEYWORD_BREAK = r"(?U)[\s\x1c-\x1f\-_,]+"
 _DURATION = re.compile(r"([0-9]+)([dwm])")
 # Days per duration unit.
@@ -19,7 +22,7 @@ _UNIT_DAYS = {"d": 1, "w": 7, "m": 30}
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(_EDGE_SPACE))
 
 
 def is_blank(text: Column) -> Column:
@@ -53,8 +56,16 @@ def keywords(query: Column) -> Column:
     )
 
 
+def query_words(query: str) -> Column:
+    """``keywords`` of one given query as a literal list, so that it is not split again per row."""
+    words = [w for w in re.split(r"[\s\-_,]+", query.lower()) if len(w) >= MIN_KEYWORD_CHARS]
+    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+
+
 def keyword_hits(words: Column, hay: Column) -> Column:
-    return F.size(F.filter(words, lambda word: F.contains(hay, word)))
+    """Number of keywords found, repeats counted. ``hay`` is bound once, not built per keyword."""
+    found = F.transform(F.array(hay), lambda h: F.size(F.filter(words, lambda word: F.contains(h, word))))
+    return F.element_at(found, 1)
 
 
 def keywords_needed(words: Column) -> Column:

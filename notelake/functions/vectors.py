@@ -29,7 +29,7 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 
 
 class VectorColumn:
-    """Rows of an Arrow list<float> column, addressable as dense float64 blocks."""
+    """Rows of an Arrow list<float> column, addressable as dense blocks."""
 
     def __init__(self, column: pa.ChunkedArray | pa.Array):
         array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -41,18 +41,20 @@ class VectorColumn:
     def block(self, rows: np.ndarray) -> "Block":
         """The given rows, which must share one dimension."""
         dim = int(self.dims[rows[0]]) if len(rows) else 0
-        picks = self._starts[rows][:, None] + np.arange(dim)[None, :]
-        return Block(self._values[picks].astype(np.float64))
+        return Block(self._values[self._starts[rows][:, None] + np.arange(dim)[None, :]])
 
 
 class Block:
-    """Vectors of one tile: exact doubles, plus unit float32 copies for the fast filter."""
+    """Vectors of one tile as stored, their exact norms, and unit copies for the fast filter.
 
-    def __init__(self, exact: np.ndarray):
-        self.exact = exact
-        self.norms = np.sqrt(np.einsum("ij,ij->i", exact, exact))
+    Only rows that pass the filter are ever widened to double.
+    """
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.norms = np.sqrt(np.einsum("ij,ij->i", values, values, dtype=np.float64))
         safe = np.where(self.norms == 0.0, 1.0, self.norms)
-        self.unit = (exact / safe[:, None]).astype(np.float32)
+        self.unit = (values / safe[:, None]).astype(np.float32)
 
     def __len__(self) -> int:
         return len(self.norms)
@@ -60,12 +62,12 @@ class Block:
     @property
     def slack(self) -> float:
         """Bound on the float32 rounding of a unit inner product, kept on the generous side."""
-        return 1e-6 + 2.4e-7 * self.exact.shape[1]
+        return 1e-6 + 2.4e-7 * self.values.shape[1]
 
 
 def exact_cosine(a: Block, rows_a: np.ndarray, b: Block, rows_b: np.ndarray) -> np.ndarray:
     scale = a.norms[rows_a] * b.norms[rows_b]
-    dots = np.einsum("ij,ij->i", a.exact[rows_a], b.exact[rows_b])
+    dots = np.einsum("ij,ij->i", a.values[rows_a].astype(np.float64), b.values[rows_b].astype(np.float64))
     return np.where(scale == 0.0, 0.0, dots / np.where(scale == 0.0, 1.0, scale))
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
 # A list of large groups up to this length is shipped to every executor; a longer one is joined
 # by shuffle.
 MAX_BROADCAST_GROUPS = 10_000
@@ -70,6 +70,20 @@ def plan_blocks(
     return BlockPlan(keys, bundles, large, False)
 
 
+def only_groups_of(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Leave out groups ``other`` does not have, if that list is short enough to ship.
+
+    The shipped list also prunes the partition directories of a stored table. With a long list
+    nothing is dropped here: a second shuffle would cost more than it saves.
+    """
+    groups = other.select(*keys).distinct()
+    listed = groups.take(MAX_BROADCAST_GROUPS + 1)
+    if len(listed) > MAX_BROADCAST_GROUPS:
+        return df
+    shipped = df.sparkSession.createDataFrame(listed, groups.schema)
+    return df.join(F.broadcast(shipped), list(keys), "left_semi")
+
+
 def with_block_counts(df: DataFrame, plan: BlockPlan, sides: int = 1) -> DataFrame:
     """Add ``_nb0`` (and ``_nb1``): the number of blocks of the row's group on each side."""
     names = [f"_nb{k}" for k in range(sides)]

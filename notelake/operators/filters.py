@@ -51,9 +51,8 @@ def tokenize_query(df: DataFrame, column: str = "query", out: str = "keywords")
 
 def keyword_prefilter(df: DataFrame, query: str) -> DataFrame:
     """Rows holding any keyword; every row when the query has none."""
-    words = X.keywords(F.lit(query))
-    hay = X.haystack(F.col("text"), F.col("tags"))
-    return df.where((F.size(words) == 0) | F.exists(words, lambda w: F.contains(hay, w)))
+    words = X.query_words(query)
+    return df.where((F.size(words) == 0) | (X.keyword_hits(words, X.haystack(F.col("text"), F.col("tags"))) > 0))
 
 
 def pending_embeddings(df: DataFrame) -> DataFrame:

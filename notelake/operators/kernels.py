@@ -18,6 +18,7 @@ _CHECK = 65_536
 
 
 def _candidates(a: Block, b: Block, lo: int, hi: int, threshold: float) -> np.ndarray:
+    """Which pairs of a chunk may pass: the filter is lowered by more than it can be off."""
     return a.unit[lo:hi] @ b.unit.T >= np.float32(threshold - a.slack)
 
 
@@ -88,6 +89,8 @@ def pair_kernel(keys: list[str], threshold: float, strict: bool, banded: bool =
             signatures = table.column("_sigs").combine_chunks().flatten().to_numpy().reshape(-1, max(width, 1))
         parts = []
         for rows in subgroups(table, keys, i_of, j_of, vectors.dims, *bucket):
+            if len(rows) < 2:
+                continue
             rows = rows[np.argsort(ids[rows], kind="stable")]
             same = i_of[rows[0]] == j_of[rows[0]]
             left = rows if same else rows[block[rows] == i_of[rows[0]]]
@@ -130,6 +133,8 @@ def first_match_kernel(keys: list[str], threshold: float, strict: bool, older_on
         vectors = VectorColumn(table.column("embedding"))
         parts = []
         for rows in subgroups(table, keys, i_of, j_of, vectors.dims):
+            if len(rows) < 2:
+                continue
             rows = rows[np.argsort(ids[rows], kind="stable")]
             stored, fresh = rows[side[rows] == 0], rows[side[rows] == 1]
             if not len(stored) or not len(fresh):
@@ -224,6 +229,8 @@ def older_neighbours_kernel(keys: list[str], threshold: float, strict: bool, wan
         vectors = VectorColumn(table.column("embedding"))
         parts = []
         for rows in subgroups(table, keys, i_of, j_of, vectors.dims):
+            if len(rows) < 2:
+                continue
             rows = rows[np.argsort(ids[rows], kind="stable")]
             if i_of[rows[0]] == j_of[rows[0]]:
                 sides = [(rows, rows)]
@@ -265,6 +272,8 @@ def ranked_hits_kernel(keys: list[str], threshold: float) -> Callable:
         tags = table.column("tags")
         parts = []
         for rows in subgroups(table, keys, i_of, j_of, vectors.dims):
+            if len(rows) < 2:
+                continue
             rows = rows[np.argsort(ids[rows], kind="stable")]
             entries, asking = rows[side[rows] == 0], rows[side[rows] == 1]
             if not len(entries) or not len(asking):

@@ -13,9 +13,9 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions.vectors import Block, VectorColumn, exact_cosine
 from ..schema import GROUP_KEYS, SEARCH_THRESHOLD
-from ..session import materialize
+from ..session import materialize, spread_small
 from . import kernels
-from .blocks import BLOCK_ROWS, block_of, cross_tiles, plan_blocks, with_block_counts
+from .blocks import BLOCK_ROWS, block_of, cross_tiles, only_groups_of, plan_blocks, with_block_counts
 from .ordering import ranked
 from .similarity import key_ddl
 
@@ -31,8 +31,8 @@ def _capped(df: DataFrame, limit: int | None) -> DataFrame:
 
 def keyword_search(entries: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """Entries holding at least half of the keywords, in id order, with their ``score``."""
-    words, hay = X.keywords(F.lit(query)), X.haystack(F.col("text"), F.col("tags"))
-    rows = entries.where(X.keyword_match(words, hay)).withColumn("score", X.keyword_hits(words, hay))
+    words, hay = X.query_words(query), X.haystack(F.col("text"), F.col("tags"))
+    rows = spread_small(entries).where(X.keyword_match(words, hay)).withColumn("score", X.keyword_hits(words, hay))
     return _capped(rows.orderBy("id"), limit)
 
 
@@ -79,9 +79,7 @@ def semantic_hits(
         (F.col("tag") if tagged else F.lit(None)).cast("string").alias("tag"),
         (F.col("lim") if "lim" in queries.columns else F.lit(None)).cast("int").alias("lim"),
     )
-    searched = entries.where("embedding is not null").join(
-        asking.select(*GROUP_KEYS).distinct(), list(GROUP_KEYS), "left_semi"
-    ).select(
+    searched = only_groups_of(entries.where("embedding is not null"), asking, GROUP_KEYS).select(
         *GROUP_KEYS, "id", "embedding", (F.col("tags") if tagged else F.expr(_NO_TAGS)).alias("tags"),
         F.lit(None).cast("string").alias("tag"), F.lit(None).cast("int").alias("lim"),
     )
@@ -100,7 +98,9 @@ def keyword_hits(entries: DataFrame, queries: DataFrame, *, block_rows: int = BL
         (F.col("tag") if tagged else F.lit(None)).cast("string").alias("tag"),
         (F.col("lim") if "lim" in queries.columns else F.lit(None)).cast("int").alias("lim"),
     ).where(F.size("words") > 0)
-    searched = entries.select(*GROUP_KEYS, "id", "tags", X.haystack(F.col("text"), F.col("tags")).alias("hay"))
+    searched = spread_small(
+        entries.select(*GROUP_KEYS, "id", "tags", X.haystack(F.col("text"), F.col("tags")).alias("hay"))
+    )
     on = list(GROUP_KEYS)
     volume = asking.agg(F.sum(F.octet_length(F.array_join("words", " ")) + 64)).first()[0] or 0
     if volume <= BROADCAST_QUERY_BYTES:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..schema import DEDUP_THRESHOLD, GROUP_KEYS
 from . import kernels
-from .blocks import BLOCK_ROWS, cross_tiles, plan_blocks, self_tiles
+from .blocks import BLOCK_ROWS, cross_tiles, only_groups_of, plan_blocks, self_tiles
 
 
 def key_ddl(keys: Sequence[str]) -> str:
@@ -79,7 +79,8 @@ def similarity_self_join(
 def lsh_parameters(threshold: float, largest_group: int, miss: float) -> tuple[int, int]:
     """Bits per signature and number of bands that miss a pair at the threshold with at most ``miss``."""
     same_bit = 1.0 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    bits = max(4, min(30, math.ceil(math.log2(max(2, largest_group))) - 2))
+    # About 32 unrelated rows per bucket: enough for one matrix product to pay off.
+    bits = max(4, min(30, math.ceil(math.log2(max(2, largest_group))) - 5))
     bands = math.ceil(math.log(miss) / math.log1p(-(same_bit**bits)))
     return bits, max(1, bands)
 
@@ -149,8 +150,7 @@ def first_match(
     A tile yields at most one line per incoming row, however many stored copies match it.
     """
     left, right = _vector_rows(stored, keys), _vector_rows(incoming, keys)
-    # Groups present on one side only have nothing to compare.
-    left = left.join(right.select(*keys).distinct(), list(keys), "left_semi")
+    left = only_groups_of(left, right, keys)
     tiles = cross_tiles(left, right, plan_blocks([left, right], keys, block_rows))
     hits = tiles.groupBy("_tile").applyInArrow(
         kernels.first_match_kernel(list(keys), threshold, strict, older_only),

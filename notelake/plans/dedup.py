@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.blocks import BLOCK_ROWS
 from ..schema import DEDUP_THRESHOLD, GROUP_KEYS
+from ..session import spread_small
 from .first_wins import resolve_first_wins
 
 
@@ -34,7 +35,9 @@ def dedup_exact_text(entries: DataFrame, *, with_text: bool = False) -> DataFram
     The earliest id comes from a pre-aggregated minimum, so a text that fills a third of the table
     is one row per map task; only texts that do repeat are joined back.
     """
-    rows = entries.select(*GROUP_KEYS, "id", X.text_key(F.col("text")).alias("_h"))
+    rows = spread_small(entries.select(*GROUP_KEYS, "id", "text")).select(
+        *GROUP_KEYS, "id", X.text_key(F.col("text")).alias("_h")
+    )
     firsts = rows.groupBy(*GROUP_KEYS, "_h").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     found = rows.join(firsts.where("n > 1"), [*GROUP_KEYS, "_h"]).where("id > keep_id").select(
         *GROUP_KEYS, "keep_id", F.col("id").alias("remove_id")

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Input up to this size may sit in fewer files than there are cores.
+SMALL_INPUT_BYTES = 256 << 20
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -66,3 +68,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work on a small input that would be read by few tasks.
+
+    Goes by the size of the tables underneath, known without running anything. Larger inputs are
+    split by the scan itself and are left alone.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT_BYTES else df

@@ -219,9 +219,13 @@ def greedy_kernel(keys: list[str], threshold: float, strict: bool) -> Callable:
 
 
 def older_neighbours_kernel(keys: list[str], threshold: float, strict: bool, wanted: int) -> Callable:
-    """For each undecided row of a tile, its ``wanted`` smallest older matches and whether more may exist."""
+    """For each undecided row of a tile, its ``wanted`` smallest older matches and whether more may exist.
+
+    ``slot`` is the block the matches are from: one list per row and slot.
+    """
     schema = _schema(
-        keys, ("id", pa.int64()), ("older_id", pa.int64()), ("similarity", pa.float64()), ("more", pa.bool_())
+        keys, ("id", pa.int64()), ("older_id", pa.int64()), ("similarity", pa.float64()), ("more", pa.bool_()),
+        ("slot", pa.int32()),
     )
 
     def run(table: pa.Table) -> pa.Table:
@@ -233,11 +237,11 @@ def older_neighbours_kernel(keys: list[str], threshold: float, strict: bool, wan
                 continue
             rows = rows[np.argsort(ids[rows], kind="stable")]
             if i_of[rows[0]] == j_of[rows[0]]:
-                sides = [(rows, rows)]
+                sides = [(rows, rows, i_of[rows[0]])]
             else:
                 first, second = rows[block[rows] == i_of[rows[0]]], rows[block[rows] == j_of[rows[0]]]
-                sides = [(first, second), (second, first)]
-            for asking, others in sides:
+                sides = [(first, second, j_of[rows[0]]), (second, first, i_of[rows[0]])]
+            for asking, others, slot in sides:
                 asking = asking[undecided[asking]]
                 if not len(asking) or not len(others):
                     continue
@@ -252,6 +256,7 @@ def older_neighbours_kernel(keys: list[str], threshold: float, strict: bool, wan
                         parts.append(_make(
                             table, keys, at, schema,
                             id=ids[at], older_id=ids[others[c]], similarity=s, more=more[r],
+                            slot=np.full(len(r), slot),
                         ))
         return _result(parts, schema)
 

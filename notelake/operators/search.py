@@ -16,6 +16,7 @@ from ..schema import GROUP_KEYS, SEARCH_THRESHOLD
 from ..session import materialize, spread_small
 from . import kernels
 from .blocks import BLOCK_ROWS, block_of, cross_tiles, only_groups_of, plan_blocks, with_block_counts
+from .filters import filter_role_category, filter_tag
 from .ordering import ranked
 from .similarity import key_ddl
 
@@ -181,13 +182,21 @@ def hybrid_search(
     tag: str | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """One query as a batch of one."""
-    spark = entries.sparkSession
-    asked = spark.createDataFrame(
-        [(0, role, category, query, None if vector is None else [float(x) for x in vector], tag, limit)],
-        "query_id bigint, role string, category string, query string, embedding array<float>, tag string, lim int",
+    """One query: semantic hits if there are any, else keyword hits over the same rows.
+
+    Scans the group without a shuffle; gives id, mode, similarity or score, and text, best first.
+    """
+    rows = filter_tag(filter_role_category(entries, role, category), tag)
+    if vector is not None:
+        hits = semantic_search(rows, vector)
+        if not hits.isEmpty():
+            best = _capped(hits, limit).join(rows.select("id", *GROUP_KEYS, "text"), ["id", *GROUP_KEYS])
+            return best.select(
+                "id", F.lit("semantic").alias("mode"), "similarity", F.lit(None).cast("int").alias("score"), "text"
+            ).orderBy(F.col("similarity").desc(), "id")
+    return keyword_search(rows, query, limit).select(
+        "id", F.lit("keyword").alias("mode"), F.lit(None).cast("double").alias("similarity"), "score", "text"
     )
-    return batch_search(entries, asked, with_text=True).orderBy("rank")
 
 
 def search_report(entries: DataFrame, queries: DataFrame, results: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -124,33 +125,46 @@ def _resolve_representatives(reps, keys, threshold, strict, block_rows, local_ed
     small = _walk_small(small_only(reps, plan), plan, threshold, strict)
     rows = materialize(large_only(reps, plan), "large-representatives")
     edges, status = _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours)
-    kept = status.where(F.col("status") == _KEPT).select(*keys, F.col("id").alias("older_id"))
-    removed = status.where(F.col("status") == _REMOVED)
-    by_list = (
-        edges.join(kept, [*keys, "older_id"])
-        .join(removed.where("not cut").select(*keys, "id"), [*keys, "id"], "left_semi")
-        .groupBy(*keys, "id")
-        .agg(F.min("older_id").alias("keep_id"), F.min_by("similarity", "older_id").alias("similarity"))
+    return small.unionByName(_keepers(rows, edges, status, keys, threshold, strict, block_rows))
+
+
+def _keepers(rows, edges, status, keys, threshold, strict, block_rows) -> DataFrame:
+    """The smallest kept match of each removed row.
+
+    Lists hold the smallest matches of a block in order, so a list showing a kept row shows the
+    smallest one of its block. Only a cut list of nothing but removed rows that ends below the best
+    keeper seen can hide a better one; those rows are looked up among the kept ones.
+    """
+    kept = status.where(F.col("status") == _KEPT).select(*keys, F.col("id").alias("older_id"), F.lit(True).alias("_k"))
+    removed = status.where(F.col("status") == _REMOVED).select(*keys, "id")
+    seen = edges.join(removed, [*keys, "id"], "left_semi").join(kept, [*keys, "older_id"], "left")
+    lists = seen.groupBy(*keys, "id", "pass", "slot").agg(
+        F.max("more").alias("cut"), F.max("older_id").alias("last"),
+        F.min(F.when(F.col("_k"), F.col("older_id"))).alias("keeper"),
+        F.min_by("similarity", F.when(F.col("_k"), F.col("older_id"))).alias("similarity"),
     )
-    # A cut list may lack the smallest keeper, so those rows look it up among all kept ones.
-    text_kept = edges.where("by_text").join(kept, [*keys, "older_id"]).select(
-        *keys, "id", F.col("older_id").alias("keep_id"), "similarity"
-    )
-    cut = removed.where("cut").select(*keys, "id")
-    by_lookup = (
-        first_match(
-            rows.join(cut, [*keys, "id"], "left_semi"),
-            rows.join(kept.withColumnRenamed("older_id", "id"), [*keys, "id"], "left_semi"),
-            threshold, strict=strict, older_only=True, keys=keys, block_rows=block_rows,
-        )
-        .select(*keys, "id", F.col("match_id").alias("keep_id"), "similarity")
-        .unionByName(text_kept.join(cut, [*keys, "id"], "left_semi"))
-        .groupBy(*keys, "id")
-        .agg(F.min("keep_id").alias("k"), F.min_by("similarity", "keep_id").alias("similarity"))
-        .withColumnRenamed("k", "keep_id")
+    ends = F.when(F.col("cut") & F.col("keeper").isNull(), F.col("last"))
+    best = materialize(
+        lists.groupBy(*keys, "id").agg(
+            F.min("keeper").alias("keep_id"), F.min_by("similarity", "keeper").alias("similarity"),
+            F.min(ends).alias("hidden_after"),
+        ),
+        "keepers",
     )
+    open_end = F.coalesce(F.col("hidden_after") < F.col("keep_id"), F.lit(False))
+    asked = best.where(open_end)
     out = [*keys, "keep_id", F.col("id").alias("remove_id"), "similarity"]
-    return small.unionByName(by_list.select(*out)).unionByName(by_lookup.select(*out))
+    if asked.isEmpty():
+        return best.select(*out)
+    looked_up = first_match(
+        rows.join(asked.select(*keys, "id"), [*keys, "id"], "left_semi"),
+        rows.join(kept.select(*keys, F.col("older_id").alias("id")), [*keys, "id"], "left_semi"),
+        threshold, strict=strict, older_only=True, keys=keys, block_rows=block_rows,
+    ).select(*keys, "id", F.col("match_id").alias("keep_id"), "similarity")
+    both = looked_up.unionByName(asked.select(*keys, "id", "keep_id", "similarity")).groupBy(*keys, "id").agg(
+        F.min("keep_id").alias("k"), F.min_by("similarity", "keep_id").alias("similarity")
+    ).withColumnRenamed("k", "keep_id")
+    return best.where(~open_end).select(*out).unionByName(both.select(*out))
 
 
 def _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours):
@@ -158,7 +172,7 @@ def _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours):
     text_edges = _text_edges(rows, keys, threshold, strict)
     undecided = rows.select(*keys, "id")
     kept = done = all_edges = None
-    while True:
+    for number in count():
         alive = rows.join(undecided.withColumn("undecided", F.lit(True)), [*keys, "id"], "left")
         if kept is None:
             alive = alive.withColumn("undecided", F.lit(True))
@@ -169,7 +183,7 @@ def _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours):
         edges = materialize(
             _vector_edges(alive, keys, threshold, strict, block_rows, neighbours).unionByName(
                 text_edges.join(undecided, [*keys, "id"], "left_semi")
-            ),
+            ).withColumn("pass", F.lit(number)),
             "match-lists",
         )
         status = _settle(edges, undecided, kept, done, keys, local_edges)
@@ -188,8 +202,8 @@ def _vector_edges(alive, keys, threshold, strict, block_rows, neighbours) -> Dat
     tiles = self_tiles(vectors, plan_blocks([vectors], keys, block_rows))
     return tiles.groupBy("_tile").applyInArrow(
         kernels.older_neighbours_kernel(keys, threshold, strict, neighbours),
-        f"{key_ddl(keys)}, id bigint, older_id bigint, similarity double, more boolean",
-    ).withColumn("by_text", F.lit(False))
+        f"{key_ddl(keys)}, id bigint, older_id bigint, similarity double, more boolean, slot int",
+    )
 
 
 def _text_edges(rows, keys, threshold, strict) -> DataFrame:
@@ -199,7 +213,7 @@ def _text_edges(rows, keys, threshold, strict) -> DataFrame:
     matches = threshold < 1.0 or (threshold == 1.0 and not strict)
     return bare.join(typed, [*keys, "_h"]).where(F.lit(matches)).select(
         *keys, F.greatest("x", "y").alias("id"), F.least("x", "y").alias("older_id"),
-        F.lit(1.0).alias("similarity"), F.lit(False).alias("more"), F.lit(True).alias("by_text"),
+        F.lit(1.0).alias("similarity"), F.lit(False).alias("more"), F.lit(-1).alias("slot"),
     )
 
 

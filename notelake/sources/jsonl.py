@@ -21,11 +21,14 @@ _STRICT = {"allowSingleQuotes": "false"}
 OK, BLANK, MALFORMED, NO_TEXT, UNPLACED = "ok", "blank", "malformed", "no_text", "unplaced"
 
 
+def _decoded(path: Column) -> Column:
+    """Metadata paths are percent-encoded, but a plus sign stands for itself."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def _relative(path: Column, root: str) -> Column:
-    # File paths come percent-encoded, where a plus sign stands for itself.
-    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
     root = root.rstrip("/")
-    return F.substring(decoded, F.instr(decoded, root) + F.lit(len(root) + 1), F.lit(1 << 20))
+    return F.substring(path, F.instr(path, root) + F.lit(len(root) + 1), F.lit(1 << 20))
 
 
 def list_jsonl_files(spark: SparkSession, root: str) -> DataFrame:
@@ -61,7 +64,7 @@ def read_jsonl_lines(spark: SparkSession, root: str, as_of: date | str) -> DataF
         .option("pathGlobFilter", "{*.jsonl,part-*}")
         .text(root)
         .select(
-            _relative(F.col("_metadata.file_path"), root).alias("path"),
+            _relative(_decoded(F.col("_metadata.file_path")), root).alias("path"),
             F.struct(
                 F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("start"),
                 F.monotonically_increasing_id().alias("line"),
@@ -77,7 +80,7 @@ def read_jsonl_lines(spark: SparkSession, root: str, as_of: date | str) -> DataF
         F.when(F.col("value") == "", BLANK)
         .when(F.col("role").isNull(), UNPLACED)
         .when(F.col("r.text").isNotNull(), OK)
-        .when(single & F.col("value").startswith("{"), NO_TEXT)
+        .when(single & F.from_json("value", "map<string, string>", _STRICT).isNotNull(), NO_TEXT)
         .otherwise(MALFORMED)
     )
     return _placed(raw).withColumn("r", record).select(

@@ -13,9 +13,9 @@ def read_memory_files(spark: SparkSession, folder: str) -> DataFrame:
 
     Files are read whole: a line's number cannot be known from a split in the middle of a file.
     """
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return split_documents(files.select(path.alias("path"), F.col("value").alias("text")), "path", "text")
+    # Unlike the text source, this one also lists empty files.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    return split_documents(files.select("path", F.col("content").cast("string").alias("text")), "path", "text")
 
 
 def write_memory_files(lines: DataFrame, folder: str) -> None:

@@ -57,7 +57,7 @@ def on_circle(degrees):
     return [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
 
 
-def random_rows(seed, n=90, bare=0.2, copies=0.3):
+def random_rows(seed, n=70, bare=0.2, copies=0.3):
     rng = random.Random(seed)
     rows = []
     for i in range(n):
@@ -74,23 +74,22 @@ def random_rows(seed, n=90, bare=0.2, copies=0.3):
     return rows
 
 
-@pytest.mark.parametrize("path", PATHS, ids=str)
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("path, seed", [(p, n % 2 + 1) for n, p in enumerate(PATHS)], ids=str)
 def test_matches_sequential_walk(entries, path, seed):
     rows = random_rows(seed)
     got = found(dedup_find(entries(rows), 0.99, with_text=False, **PATHS[path]))
     assert got == walk(rows, 0.99)
 
 
-@pytest.mark.parametrize("path", PATHS, ids=str)
+@pytest.mark.parametrize("path", ["one tile per group", "tiles", "tiles, short lists, rounds"], ids=str)
 def test_long_chain_alternates(entries, path):
     # Only neighbours match, so every second row goes.
-    rows = [(i, f"t{i}", on_circle(i * 10)) for i in range(30)]
+    rows = [(i, f"t{i}", on_circle(i * 10)) for i in range(20)]
     got = found(dedup_find(entries(rows), math.cos(math.radians(12)), with_text=False, **PATHS[path]))
-    assert got == {i: i - 1 for i in range(1, 30, 2)}
+    assert got == {i: i - 1 for i in range(1, 20, 2)}
 
 
-@pytest.mark.parametrize("path", PATHS, ids=str)
+@pytest.mark.parametrize("path", ["one tile per group", "tiles", "tiles, short lists, rounds"], ids=str)
 def test_one_dense_cluster(entries, path):
     rows = [(i, f"t{i}", on_circle(i * 0.01)) for i in range(60)] + [(99, "far", on_circle(90))]
     got = found(dedup_find(entries(rows), 0.92, with_text=False, **PATHS[path]))

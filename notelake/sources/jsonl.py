@@ -14,18 +14,15 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..schema import GROUP_KEYS
 from ..session import scratch_path
+from .listing import decoded, list_files
 
 _LAYOUT = r"^(?:(.*)/)?([^/]+)\.jsonl(?:/part-[^/]*)?$"
+_GLOB = "{*.jsonl,part-*}"
 _RECORD = "text string, tags string, created_at string"
 _STRICT = {"allowSingleQuotes": "false"}
 OK, BLANK, MALFORMED, NO_TEXT, UNPLACED = "ok", "blank", "malformed", "no_text", "unplaced"
 
 
-def _decoded(path: Column) -> Column:
-    """Metadata paths are percent-encoded, but a plus sign stands for itself."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-
-
 def _relative(path: Column, root: str) -> Column:
     root = root.rstrip("/")
     return F.substring(path, F.instr(path, root) + F.lit(len(root) + 1), F.lit(1 << 20))
@@ -33,13 +30,8 @@ def _relative(path: Column, root: str) -> Column:
 
 def list_jsonl_files(spark: SparkSession, root: str) -> DataFrame:
     """Every ``.jsonl`` file below ``root``, empty ones included: path, role, category."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "{*.jsonl,part-*}")
-        .load(root)
-        .select(_relative(F.col("path"), root).alias("path"))
-    )
+    found = list_files(spark, root, _GLOB, deep=True)
+    files = found.select(_relative(F.col("path"), root).alias("path"))
     return _placed(files).select("path", *GROUP_KEYS).distinct()
 
 
@@ -61,10 +53,10 @@ def read_jsonl_lines(spark: SparkSession, root: str, as_of: date | str) -> DataF
     """
     raw = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "{*.jsonl,part-*}")
+        .option("pathGlobFilter", _GLOB)
         .text(root)
         .select(
-            _relative(_decoded(F.col("_metadata.file_path")), root).alias("path"),
+            _relative(decoded(F.col("_metadata.file_path")), root).alias("path"),
             F.struct(
                 F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("start"),
                 F.monotonically_increasing_id().alias("line"),

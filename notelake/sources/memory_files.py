@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lines import split_documents
+from .listing import decoded, list_files
 
 
 def read_memory_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,9 +14,11 @@ def read_memory_files(spark: SparkSession, folder: str) -> DataFrame:
 
     Files are read whole: a line's number cannot be known from a split in the middle of a file.
     """
-    # Unlike the text source, this one also lists empty files.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
-    return split_documents(files.select("path", F.col("content").cast("string").alias("text")), "path", "text")
+    glob = "*.md"
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=glob)
+    texts = files.select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+    empty = list_files(spark, folder, glob).where("size = 0").select("path", F.lit("").alias("text"))
+    return split_documents(texts.unionByName(empty), "path", "text")
 
 
 def write_memory_files(lines: DataFrame, folder: str) -> None:

@@ -22,6 +22,7 @@ def tree(tmp_path):
             '{"text": "trailing"} junk', "  ", "{'text': 'quotes'}", '{"text": null}',
         ],
         "team/lead/a.b.jsonl": ['{"text": "deep"}'],
+        "team/empty.jsonl": [],
         "root.jsonl": ['{"text": "ignored"}'],
         "coder/notes.txt": ['{"text": "ignored"}'],
     }
@@ -49,7 +50,7 @@ def test_import_is_idempotent(spark, tree, tmp_path):
     dry = {r["level"]: r for r in notes.import_tree(tree, as_of=AS_OF, dry_run=True).where("level = 'total'").collect()}
     assert (dry["total"]["entries"], dry["total"]["migrated"], notes.entries().count()) == (4, 0, 0)
     first = notes.import_tree(tree, as_of=AS_OF).where("level = 'total'").first()
-    assert (first["files"], first["entries"], first["migrated"], first["skipped"], first["table_rows"]) == (3, 4, 3, 1, 3)
+    assert (first["files"], first["entries"], first["migrated"], first["skipped"], first["table_rows"]) == (4, 4, 3, 1, 3)
     again = notes.import_tree(tree, as_of=AS_OF).where("level = 'total'").first()
     assert (again["migrated"], again["skipped"], again["table_rows"]) == (0, 4, 3)
     kept = notes.entries("coder").orderBy("id").collect()

@@ -15,7 +15,7 @@ from ..operators import aggregates, filters, lines, ordering, search, similarity
 from ..plans import dedup, merge
 from ..plans.admission import admit_batch
 from ..schema import GROUP_KEYS
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import binary_vectors, exports, jsonl, table
 from ..streaming import admit as streaming
 
@@ -306,7 +306,7 @@ def merge_jsonl(spark, sf):
 def merge_summary(spark, sf):
     root, stored = _corpus_tree(spark, sf)
     records = jsonl.read_jsonl_memories(spark, root, fx.AS_OF)
-    added = merge.merge_jsonl(records, stored)
+    added = materialize(merge.merge_jsonl(records, stored), "added")
     return merge.merge_summary(records, added, jsonl.list_jsonl_files(spark, root), stored)
 
 

@@ -36,7 +36,12 @@ def normalized(text: Column) -> Column:
 
 def text_key(text: Column) -> Column:
     """Short stand-in for ``normalized`` so that shuffles carry 64 characters, not whole texts."""
-    return F.sha2(normalized(text), 256)
+    return digest(normalized(text))
+
+
+def digest(text: Column) -> Column:
+    # Never NULL, so that joins on it do not first compute it a second time to drop NULLs.
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
 
 
 def parse_tags(raw: Column) -> Column:

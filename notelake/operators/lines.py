@@ -19,14 +19,18 @@ from ..schema import (
     SECTION_HEADER,
     SESSION_HEADER,
 )
-from ..session import spread_small
+from ..session import materialize, spread_small
 
 
 def session_bounds(lines: DataFrame) -> DataFrame:
-    """Per file with a session section: line numbers of its header and of the next other section."""
+    """Per file with a session section: line numbers of its header and of the next other section.
+
+    The header lines are written out once, so the lines are read a single time for this.
+    """
     headers = lines.where(F.col("line").startswith(SECTION_HEADER)).select(
         "path", "line_no", F.col("line").startswith(SESSION_HEADER).alias("is_session")
     )
+    headers = materialize(headers, "headers")
     starts = headers.where("is_session").groupBy("path").agg(F.min("line_no").alias("start"))
     others = headers.where("not is_session").select("path", F.col("line_no").alias("other"))
     after = starts.join(others, "path", "left")
@@ -42,9 +46,10 @@ def _in_region() -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
-def session_log_region(lines: DataFrame) -> DataFrame:
+def session_log_region(lines: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Lines with ``in_region`` and ``is_entry`` for the first session section of their file."""
-    marked = lines.join(session_bounds(lines), "path", "left").withColumn("in_region", _in_region())
+    bounds = session_bounds(lines) if bounds is None else bounds
+    marked = lines.join(bounds, "path", "left").withColumn("in_region", _in_region())
     is_entry = F.col("in_region") & F.col("line").startswith(ENTRY_PREFIX)
     return marked.withColumn("is_entry", is_entry).drop("start", "end")
 
@@ -55,13 +60,13 @@ def session_log_count(lines: DataFrame) -> DataFrame:
     )
 
 
-def _drop_after(lines: DataFrame, limits: DataFrame, most: int) -> DataFrame:
+def _drop_after(lines: DataFrame, bounds: DataFrame, limits: DataFrame, most: int) -> DataFrame:
     """Drop session entries beyond each file's ``keep`` (<= ``most``); other lines stay.
 
     Only the first ``most + 1`` entries of a file are ranked; the first one beyond the limit gives
     the line number from which entries go.
     """
-    marked = session_log_region(lines)
+    marked = session_log_region(lines, bounds)
     ranks = Window.partitionBy("path").orderBy("line_no")
     ranked = marked.where("is_entry").select("path", "line_no").withColumn("_r", F.row_number().over(ranks))
     heads = ranked.where(F.col("_r") <= most + 1)
@@ -74,13 +79,14 @@ def _drop_after(lines: DataFrame, limits: DataFrame, most: int) -> DataFrame:
 
 def prune_session_log(lines: DataFrame, max_entries: int) -> DataFrame:
     """Keep the first ``max_entries`` session entries per file; they are stored newest first."""
-    limits = lines.select("path").distinct().withColumn("keep", F.lit(max_entries))
-    return _drop_after(lines, limits, max_entries)
+    bounds = session_bounds(lines)
+    limits = bounds.select("path", F.lit(max_entries).alias("keep"))
+    return _drop_after(lines, bounds, limits, max_entries)
 
 
-def check_files(lines: DataFrame) -> DataFrame:
+def check_files(lines: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Size check per file."""
-    counted = session_log_region(lines).groupBy("path").agg(
+    counted = session_log_region(lines, bounds).groupBy("path").agg(
         F.count("line_no").alias("line_count"), F.count_if(F.col("is_entry")).alias("session_entries")
     )
     return _verdict(counted)
@@ -95,9 +101,9 @@ def _verdict(counted: DataFrame) -> DataFrame:
     )
 
 
-def _fix_plan(lines: DataFrame) -> DataFrame:
+def _fix_plan(lines: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Per file, the entries to keep after both pruning passes, in closed form."""
-    checked = check_files(lines)
+    checked = check_files(lines, bounds)
     first = F.least(F.col("session_entries"), F.lit(MAX_SESSION_ENTRIES))
     excess = F.col("line_count") - (F.col("session_entries") - first) - MAX_LINES
     second = F.least(first, F.greatest(MAX_SESSION_ENTRIES - excess, F.lit(MIN_SESSION_ENTRIES)))
@@ -124,8 +130,9 @@ def fix_files(lines: DataFrame) -> DataFrame:
 
 def fixed_lines(lines: DataFrame) -> DataFrame:
     """The lines that stay after :func:`fix_files`, for writing to a new folder."""
-    limits = _fix_plan(lines).where("gone > 0").select("path", "keep")
-    return _drop_after(lines, limits, MAX_SESSION_ENTRIES)
+    bounds = session_bounds(lines)
+    limits = materialize(_fix_plan(lines, bounds).where("gone > 0").select("path", "keep"), "fix-plan")
+    return _drop_after(lines, bounds, limits, MAX_SESSION_ENTRIES)
 
 
 def check_report(checked: DataFrame) -> DataFrame:

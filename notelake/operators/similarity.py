@@ -171,6 +171,6 @@ def cross_similarity_join(
 def anti_join_existing(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Incoming rows whose exact (role, category, text) is not stored yet."""
     # Digests keep whole texts out of the shuffle of the stored table.
-    known = stored.select(*GROUP_KEYS, F.sha2("text", 256).alias("_t")).distinct()
-    probe = incoming.withColumn("_t", F.sha2("text", 256))
+    known = stored.select(*GROUP_KEYS, X.digest(F.col("text")).alias("_t")).distinct()
+    probe = incoming.withColumn("_t", X.digest(F.col("text")))
     return probe.join(known, [*GROUP_KEYS, "_t"], "left_anti").drop("_t")

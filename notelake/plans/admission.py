@@ -37,12 +37,12 @@ def admit_batch(
     by_vector = _vector_conflicts(vectors, stored, threshold, block_rows)
     bare = valid.where("embedding is null").select(*GROUP_KEYS, "id", X.text_key(F.col("text")).alias("_h"))
     admitted_vectors = vectors.join(by_vector, [*GROUP_KEYS, "id"], "left_anti")
-    conflicts = by_vector.unionByName(_text_conflicts(bare, admitted_vectors, stored))
+    conflicts = materialize(by_vector.unionByName(_text_conflicts(bare, admitted_vectors, stored)), "conflicts")
     verdict = checked.join(conflicts, [*GROUP_KEYS, "id"], "left").withColumn(
         "reason", F.coalesce("reject_reason", F.when(F.col("conflict_id").isNotNull(), "duplicate"))
     )
     verdict = verdict.withColumn("admitted", F.col("reason").isNull()).drop("reject_reason")
-    return _with_conflict_text(verdict, incoming, stored) if with_text else verdict
+    return _with_conflict_text(verdict, conflicts, incoming, stored) if with_text else verdict
 
 
 def _vector_conflicts(vectors: DataFrame, stored: DataFrame, threshold: float, block_rows: int) -> DataFrame:
@@ -77,7 +77,7 @@ def _text_conflicts(bare: DataFrame, admitted_vectors: DataFrame, stored: DataFr
     )
 
 
-def _with_conflict_text(verdict: DataFrame, incoming: DataFrame, stored: DataFrame) -> DataFrame:
+def _with_conflict_text(verdict: DataFrame, conflicts: DataFrame, incoming: DataFrame, stored: DataFrame) -> DataFrame:
     texts = [
         df.select(*GROUP_KEYS, F.lit(source).alias("conflict_source"), F.col("id").alias("conflict_id"),
                   F.col("text").alias("conflict_text"))
@@ -85,7 +85,7 @@ def _with_conflict_text(verdict: DataFrame, incoming: DataFrame, stored: DataFra
     ]
     named = [*GROUP_KEYS, "conflict_source", "conflict_id"]
     # Only texts that are reported travel further than the semi-join.
-    wanted = verdict.where("conflict_id is not null").select(*named).distinct()
+    wanted = conflicts.select(*named).distinct()
     known = texts[0].unionByName(texts[1]).join(wanted, named, "left_semi")
     return verdict.join(known, named, "left")
 

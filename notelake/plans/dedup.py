@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.blocks import BLOCK_ROWS
 from ..schema import DEDUP_THRESHOLD, GROUP_KEYS
-from ..session import spread_small
+from ..session import materialize, spread_small
 from .first_wins import resolve_first_wins
 
 
@@ -46,11 +46,14 @@ def dedup_exact_text(entries: DataFrame, *, with_text: bool = False) -> DataFram
 
 
 def _with_texts(found: DataFrame, entries: DataFrame) -> DataFrame:
-    texts = entries.select(*GROUP_KEYS, "id", "text")
+    """Texts of the reported rows, taken out of the table in one pass for both sides."""
+    found = materialize(found, "duplicates")
+    named = [found.select(*GROUP_KEYS, F.col(c).alias("id")) for c in ("keep_id", "remove_id")]
+    wanted = named[0].unionByName(named[1]).distinct()
+    texts = materialize(entries.select(*GROUP_KEYS, "id", "text").join(wanted, [*GROUP_KEYS, "id"], "left_semi"), "texts")
     for side in ("keep", "remove"):
-        found = found.join(
-            texts.withColumnsRenamed({"id": f"{side}_id", "text": f"{side}_text"}), [*GROUP_KEYS, f"{side}_id"]
-        )
+        renamed = texts.withColumnsRenamed({"id": f"{side}_id", "text": f"{side}_text"})
+        found = found.join(renamed, [*GROUP_KEYS, f"{side}_id"])
     return found
 
 

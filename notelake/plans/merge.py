@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.embed import embed_column
 from ..operators.filters import pending_embeddings
 from ..operators.ordering import first_wins
@@ -19,7 +20,7 @@ def merge_jsonl(records: DataFrame, stored: DataFrame) -> DataFrame:
 
     Importing the same tree again yields nothing. ``records`` as from ``read_jsonl_memories``.
     """
-    keyed = records.withColumn("_t", F.sha2("text", 256))
+    keyed = records.withColumn("_t", X.digest(F.col("text")))
     fresh = first_wins(keyed, [*GROUP_KEYS, "_t"], ["path", "position"]).drop("_t")
     return anti_join_existing(fresh, stored)
 

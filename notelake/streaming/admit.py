@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..operators.filters import reject_reason
 from ..plans.admission import admit_batch, admitted_rows
 from ..schema import DEDUP_THRESHOLD, GROUP_KEYS
+from ..session import materialize
 
 
 def stream_admit(arriving: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
@@ -37,6 +38,8 @@ def admit_into(sink: str, schema: T.StructType, threshold: float = DEDUP_THRESHO
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # Admission reads the batch several times; the source is to be read once.
+        batch = materialize(batch, "arriving")
         target = f"{sink}/batch_id={batch_id}"
         path = spark._jvm.org.apache.hadoop.fs.Path(sink)
         exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

@@ -144,8 +144,10 @@ _DUPLICATES = """select 'vec' as role, rm.category, rm.keep_id, rm.remove_id, ro
  k.text as keep_text, r.text as remove_text
  from rm join {rows} k on k.id = rm.keep_id join {rows} r on r.id = rm.remove_id"""
 
+_BARE_DUPLICATES = "select 'vec' as role, category, keep_id, remove_id, round(s, 4) as similarity from rm"
 
-def _batch(limit: str) -> str:
+
+def _batch() -> str:
     """Hybrid search of Q over E3: semantic hits, or keyword hits where there are none."""
     return f"""with {_E3}, {_Q}, sem as (
   select q.query_id, e.id, {_cos('q.embedding', 'e.embedding')} as s
@@ -254,8 +256,8 @@ ORACLES: dict[str, str] = {
     "semantic_search": f"""with {_E3}, sims as (select E3.id, E3.role, E3.category, {_cos('E3.embedding', 'v.embedding')} as s
  from E3, (select embedding from embeddings where vec_id = 0) v)
  select id, role, category, round(s, 4) as similarity from sims where s > 0.3""",
-    "hybrid_search": _batch("") + _HITS,
-    "batch_search": _batch("") + _HITS + " where rank <= 3",
+    "hybrid_search": _batch() + _HITS,
+    "batch_search": _batch() + _HITS + " where rank <= 3",
     "topk_similarity": f"""with {_E3}, {_Q}, sims as (select q.query_id, e.id, {_cos('q.embedding', 'e.embedding')} as s
  from Q q join E3 e on e.role = q.role and e.category = q.category where q.embedding is not null)
  select query_id, row_number() over (partition by query_id order by s desc, id)::INTEGER as rank, id, round(s, 4) as similarity
@@ -269,7 +271,7 @@ ORACLES: dict[str, str] = {
  ranked as (select query_id, 'keyword' as mode, row_number() over (partition by query_id order by id)::INTEGER as rank, id, score
   from scored where n > 0 and score >= greatest((n + 1) // 2, 1))
  select * from ranked where rank <= 5""",
-    "search_report": _batch("") + """, n as (select role, category, count(*) as searched from E3 group by 1, 2),
+    "search_report": _batch() + """, n as (select role, category, count(*) as searched from E3 group by 1, 2),
  m as (select query_id, count(*) as matches from found where rank <= 3 group by 1)
  select q.query_id, q.role, q.category, coalesce(n.searched, 0)::BIGINT as searched, coalesce(m.matches, 0)::BIGINT as matches,
   coalesce(m.matches, 0) > 0 as found
@@ -288,6 +290,8 @@ ORACLES: dict[str, str] = {
   and s.role = E2.role and s.category = E2.category and s.text = E2.text)""",
     "dedup_find": _dedup(_E3, "E3", _DUPLICATES.format(rows="E3")),
     "dedup_find_mixed": _dedup(_E3M, "E3M", _DUPLICATES.format(rows="E3M")),
+    "dedup_find_tiled": _dedup(_E3M, "E3M", _BARE_DUPLICATES),
+    "dedup_find_lsh": _dedup(_E3, "E3", _BARE_DUPLICATES),
     "dedup_summary": _dedup(_E3, "E3", """, n as (select role, category, count(*) as entries from E3 group by 1, 2)
  select n.role, n.category, n.entries, count(rm.remove_id) as found, 0::BIGINT as removed
  from n left join rm on rm.category = n.category group by all"""),

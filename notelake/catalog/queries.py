@@ -259,6 +259,17 @@ def dedup_find_mixed(spark, sf):
     return dedup.dedup_find(fx.mixed_copies(spark, sf))
 
 
+@query
+def dedup_find_tiled(spark, sf):
+    """The path of groups too large for one tile, reached here by small tiles."""
+    return dedup.dedup_find(fx.mixed_copies(spark, sf), with_text=False, block_rows=48)
+
+
+@query
+def dedup_find_lsh(spark, sf):
+    return dedup.dedup_find(fx.vector_copies(spark, sf), with_text=False, block_rows=48, miss=1e-6)
+
+
 @query
 def dedup_summary(spark, sf):
     entries = fx.vector_copies(spark, sf)

@@ -31,6 +31,11 @@ def _strings(table: pa.Table, names: list[str], rows: np.ndarray) -> dict[str, p
     return {n: table.column(n).take(picks).combine_chunks() for n in names}
 
 
+def _bucket(table: pa.Table, banded: bool) -> list[np.ndarray]:
+    """Columns that tell signature buckets apart, where tiles are made of buckets."""
+    return _columns(table, "_band", "_sig") if banded else []
+
+
 def _result(parts: list[pa.Table], schema: pa.Schema) -> pa.Table:
     return pa.concat_tables(parts) if parts else schema.empty_table()
 
@@ -81,10 +86,9 @@ def pair_kernel(keys: list[str], threshold: float, strict: bool, banded: bool =
     def run(table: pa.Table) -> pa.Table:
         ids, block, i_of, j_of = _columns(table, "id", "_b", "_i", "_j")
         vectors = VectorColumn(table.column("embedding"))
-        bucket = []
+        bucket = _bucket(table, banded)
         if banded:
-            band, signature = _columns(table, "_band", "_sig")
-            bucket = [band, signature]
+            band = bucket[0]
             width = len(table.column("_sigs")[0]) if table.num_rows else 0
             signatures = table.column("_sigs").combine_chunks().flatten().to_numpy().reshape(-1, max(width, 1))
         parts = []
@@ -124,7 +128,9 @@ def pair_kernel(keys: list[str], threshold: float, strict: bool, banded: bool =
     return run
 
 
-def first_match_kernel(keys: list[str], threshold: float, strict: bool, older_only: bool) -> Callable:
+def first_match_kernel(
+    keys: list[str], threshold: float, strict: bool, older_only: bool, banded: bool = False
+) -> Callable:
     """For each side-1 row, the side-0 row with the smallest id that matches it, if any."""
     schema = _schema(keys, ("id", pa.int64()), ("match_id", pa.int64()), ("similarity", pa.float64()))
 
@@ -132,7 +138,7 @@ def first_match_kernel(keys: list[str], threshold: float, strict: bool, older_on
         ids, side, i_of, j_of = _columns(table, "id", "_side", "_i", "_j")
         vectors = VectorColumn(table.column("embedding"))
         parts = []
-        for rows in subgroups(table, keys, i_of, j_of, vectors.dims):
+        for rows in subgroups(table, keys, i_of, j_of, vectors.dims, *_bucket(table, banded)):
             if len(rows) < 2:
                 continue
             rows = rows[np.argsort(ids[rows], kind="stable")]
@@ -218,21 +224,24 @@ def greedy_kernel(keys: list[str], threshold: float, strict: bool) -> Callable:
     return run
 
 
-def older_neighbours_kernel(keys: list[str], threshold: float, strict: bool, wanted: int) -> Callable:
+def older_neighbours_kernel(
+    keys: list[str], threshold: float, strict: bool, wanted: int, banded: bool = False
+) -> Callable:
     """For each undecided row of a tile, its ``wanted`` smallest older matches and whether more may exist.
 
-    ``slot`` is the block the matches are from: one list per row and slot.
+    ``slot`` is the block (and band) the matches are from: one list per row and slot.
     """
     schema = _schema(
         keys, ("id", pa.int64()), ("older_id", pa.int64()), ("similarity", pa.float64()), ("more", pa.bool_()),
-        ("slot", pa.int32()),
+        ("slot", pa.int64()),
     )
 
     def run(table: pa.Table) -> pa.Table:
         ids, block, i_of, j_of, undecided = _columns(table, "id", "_b", "_i", "_j", "undecided")
         vectors = VectorColumn(table.column("embedding"))
+        bucket = _bucket(table, banded)
         parts = []
-        for rows in subgroups(table, keys, i_of, j_of, vectors.dims):
+        for rows in subgroups(table, keys, i_of, j_of, vectors.dims, *bucket):
             if len(rows) < 2:
                 continue
             rows = rows[np.argsort(ids[rows], kind="stable")]
@@ -242,6 +251,7 @@ def older_neighbours_kernel(keys: list[str], threshold: float, strict: bool, wan
                 first, second = rows[block[rows] == i_of[rows[0]]], rows[block[rows] == j_of[rows[0]]]
                 sides = [(first, second, j_of[rows[0]]), (second, first, i_of[rows[0]])]
             for asking, others, slot in sides:
+                slot = int(slot) + (int(bucket[0][rows[0]]) << 32 if banded else 0)
                 asking = asking[undecided[asking]]
                 if not len(asking) or not len(others):
                     continue

@@ -15,6 +15,9 @@ from ..schema import DEDUP_THRESHOLD, GROUP_KEYS
 from . import kernels
 from .blocks import BLOCK_ROWS, cross_tiles, only_groups_of, plan_blocks, self_tiles
 
+LSH_MISS = 1e-6
+BUCKET = ("_band", "_sig")
+
 
 def key_ddl(keys: Sequence[str]) -> str:
     return ", ".join(f"{k} string" for k in keys)
@@ -108,13 +111,20 @@ def with_signatures(rows: DataFrame, bits: int, bands: int, seed: int) -> DataFr
     return rows.withColumn("_sigs", signatures("embedding"))
 
 
+def in_buckets(
+    sides: Sequence[DataFrame], keys: Sequence[str], threshold: float, miss: float, seed: int = 17
+) -> list[DataFrame]:
+    """Each side once per band, with its bucket (``_band``, ``_sig``) and all its signatures."""
+    largest = 0
+    for side in sides:
+        largest += side.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    bits, bands = lsh_parameters(threshold, largest, miss)
+    signed = [with_signatures(side, bits, bands, seed) for side in sides]
+    return [side.select("*", F.posexplode("_sigs").alias("_band", "_sig")) for side in signed]
+
+
 def similarity_join_lsh(
-    entries: DataFrame,
-    threshold: float = DEDUP_THRESHOLD,
-    *,
-    miss: float = 1e-6,
-    seed: int = 17,
-    block_rows: int = BLOCK_ROWS,
+    entries: DataFrame, threshold: float = DEDUP_THRESHOLD, *, miss: float = LSH_MISS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Vector pairs as in :func:`similarity_self_join`, comparing only rows that share a signature.
 
@@ -124,12 +134,8 @@ def similarity_join_lsh(
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
-    rows = _vector_rows(entries, GROUP_KEYS)
-    top = rows.groupBy(*GROUP_KEYS).count().agg(F.max("count")).first()[0] or 0
-    bits, bands = lsh_parameters(threshold, top, miss)
-    signed = with_signatures(rows, bits, bands, seed)
-    banded = signed.select("*", F.posexplode("_sigs").alias("_band", "_sig"))
-    plan = plan_blocks([banded], [*GROUP_KEYS, "_band", "_sig"], block_rows)
+    (banded,) = in_buckets([_vector_rows(entries, GROUP_KEYS)], GROUP_KEYS, threshold, miss)
+    plan = plan_blocks([banded], [*GROUP_KEYS, *BUCKET], block_rows)
     return self_tiles(banded, plan).groupBy("_tile").applyInArrow(
         kernels.pair_kernel(list(GROUP_KEYS), threshold, False, banded=True), _pair_ddl(GROUP_KEYS)
     )
@@ -144,16 +150,22 @@ def first_match(
     older_only: bool = False,
     keys: Sequence[str] = GROUP_KEYS,
     block_rows: int = BLOCK_ROWS,
+    miss: float | None = None,
 ) -> DataFrame:
     """Per incoming row with a match: the smallest matching stored id and its similarity.
 
-    A tile yields at most one line per incoming row, however many stored copies match it.
+    A tile yields at most one line per incoming row, however many stored copies match it. With
+    ``miss``, only rows sharing a signature are compared (see :func:`similarity_join_lsh`).
     """
     left, right = _vector_rows(stored, keys), _vector_rows(incoming, keys)
     left = only_groups_of(left, right, keys)
-    tiles = cross_tiles(left, right, plan_blocks([left, right], keys, block_rows))
+    within = list(keys)
+    if miss is not None:
+        left, right = (side.drop("_sigs") for side in in_buckets([left, right], keys, threshold, miss))
+        within += BUCKET
+    tiles = cross_tiles(left, right, plan_blocks([left, right], within, block_rows))
     hits = tiles.groupBy("_tile").applyInArrow(
-        kernels.first_match_kernel(list(keys), threshold, strict, older_only),
+        kernels.first_match_kernel(list(keys), threshold, strict, older_only, banded=miss is not None),
         f"{key_ddl(keys)}, id bigint, match_id bigint, similarity double",
     )
     return hits.groupBy(*keys, "id").agg(

@@ -23,6 +23,7 @@ def admit_batch(
     *,
     with_text: bool = True,
     block_rows: int = BLOCK_ROWS,
+    miss: float | None = None,
 ) -> DataFrame:
     """Every incoming row with its verdict, as if stored one by one in ``id`` order.
 
@@ -30,11 +31,12 @@ def admit_batch(
     plays no part. A row without one conflicts with an equal normalized text among all stored and
     earlier admitted rows. Adds ``admitted``, ``reason``, ``conflict_source``, ``conflict_id`` and
     ``conflict_text``; the conflict is the first such row, stored ones before those of the batch.
+    Exact by default; ``miss`` compares only vectors that share a signature.
     """
     checked = validate_entries(incoming)
     valid = checked.where("reject_reason is null")
     vectors = valid.where("embedding is not null").select(*GROUP_KEYS, "id", "embedding", X.text_key(F.col("text")).alias("_h"))
-    by_vector = _vector_conflicts(vectors, stored, threshold, block_rows)
+    by_vector = _vector_conflicts(vectors, stored, threshold, block_rows, miss)
     bare = valid.where("embedding is null").select(*GROUP_KEYS, "id", X.text_key(F.col("text")).alias("_h"))
     admitted_vectors = vectors.join(by_vector, [*GROUP_KEYS, "id"], "left_anti")
     conflicts = materialize(by_vector.unionByName(_text_conflicts(bare, admitted_vectors, stored)), "conflicts")
@@ -45,14 +47,14 @@ def admit_batch(
     return _with_conflict_text(verdict, conflicts, incoming, stored) if with_text else verdict
 
 
-def _vector_conflicts(vectors: DataFrame, stored: DataFrame, threshold: float, block_rows: int) -> DataFrame:
-    against_stored = first_match(vectors, stored, threshold, strict=True, block_rows=block_rows).select(
+def _vector_conflicts(vectors, stored, threshold, block_rows, miss) -> DataFrame:
+    against_stored = first_match(vectors, stored, threshold, strict=True, block_rows=block_rows, miss=miss).select(
         *GROUP_KEYS, "id", F.lit(STORED).alias("conflict_source"), F.col("match_id").alias("conflict_id")
     )
     against_stored = materialize(against_stored, "stored-conflicts")
     fresh = vectors.join(against_stored, [*GROUP_KEYS, "id"], "left_anti")
     inside = resolve_first_wins(
-        fresh.withColumn("_h", F.lit(None).cast("string")), threshold, strict=True, block_rows=block_rows
+        fresh.withColumn("_h", F.lit(None).cast("string")), threshold, strict=True, block_rows=block_rows, miss=miss
     ).select(
         *GROUP_KEYS, F.col("remove_id").alias("id"),
         F.lit(BATCH).alias("conflict_source"), F.col("keep_id").alias("conflict_id"),

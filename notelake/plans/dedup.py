@@ -20,11 +20,15 @@ def dedup_find(
     *,
     with_text: bool = True,
     block_rows: int = BLOCK_ROWS,
+    miss: float | None = None,
     **tuning: int,
 ) -> DataFrame:
-    """One row per entry to remove: keep_id, remove_id, similarity (4 dp), role, category and texts."""
+    """One row per entry to remove: keep_id, remove_id, similarity (4 dp), role, category and texts.
+
+    Exact by default; ``miss`` trades that for signature buckets in groups above ``block_rows``.
+    """
     rows = entries.select(*GROUP_KEYS, "id", "embedding", X.text_key(F.col("text")).alias("_h"))
-    found = resolve_first_wins(rows, threshold, block_rows=block_rows, **tuning)
+    found = resolve_first_wins(rows, threshold, block_rows=block_rows, miss=miss, **tuning)
     found = found.withColumn("similarity", F.round("similarity", 4))
     return _with_texts(found, entries) if with_text else found
 

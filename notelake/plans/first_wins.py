@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels
 from ..operators.blocks import BLOCK_ROWS, BlockPlan, large_only, plan_blocks, self_tiles, small_only
-from ..operators.similarity import first_match, key_ddl
+from ..operators.similarity import BUCKET, first_match, in_buckets, key_ddl
 from ..schema import GROUP_KEYS
 from ..session import materialize
 
@@ -45,10 +45,13 @@ def resolve_first_wins(
     block_rows: int = BLOCK_ROWS,
     local_edges: int = LOCAL_EDGES,
     neighbours: int = NEIGHBOURS_PER_TILE,
+    miss: float | None = None,
 ) -> DataFrame:
     """Removed rows with their keeper: keys, ``keep_id``, ``remove_id``, ``similarity``.
 
     ``rows``: keys, ``id``, ``embedding`` and ``_h``, the text key (NULL where text never matters).
+    ``miss`` lets groups above ``block_rows`` compare only rows that share a signature, at that chance
+    of missing a pair at the threshold; the keeper is then the smallest one seen. The default is exact.
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
@@ -60,7 +63,7 @@ def resolve_first_wins(
         return removed
     large = materialize(large_only(rows, plan), "large-groups")
     return removed.unionByName(
-        _resolve_large(large, keys, threshold, strict, block_rows, local_edges, neighbours)
+        _resolve_large(large, keys, threshold, strict, block_rows, local_edges, neighbours, miss)
     )
 
 
@@ -72,7 +75,7 @@ def _walk_small(rows: DataFrame, plan: BlockPlan, threshold: float, strict: bool
     )
 
 
-def _resolve_large(rows, keys, threshold, strict, block_rows, local_edges, neighbours) -> DataFrame:
+def _resolve_large(rows, keys, threshold, strict, block_rows, local_edges, neighbours, miss) -> DataFrame:
     bare_texts = rows.where("embedding is null").select(*keys, "_h").distinct()
     vectors = rows.where("embedding is not null")
     in_use = vectors.join(bare_texts.withColumn("_u", F.lit(True)), [*keys, "_h"], "left")
@@ -90,7 +93,7 @@ def _resolve_large(rows, keys, threshold, strict, block_rows, local_edges, neigh
         "representatives",
     )
     decided = _resolve_representatives(
-        reps.select(*keys, "id", "embedding", "_h"), keys, threshold, strict, block_rows, local_edges, neighbours
+        reps.select(*keys, "id", "embedding", "_h"), keys, threshold, strict, block_rows, local_edges, neighbours, miss
     )
     decided = materialize(decided, "decided")
     # Later copies follow their representative: to its keeper, or to itself where it is kept.
@@ -117,18 +120,18 @@ def _resolve_large(rows, keys, threshold, strict, block_rows, local_edges, neigh
     return decided.unionByName(copies)
 
 
-def _resolve_representatives(reps, keys, threshold, strict, block_rows, local_edges, neighbours) -> DataFrame:
+def _resolve_representatives(reps, keys, threshold, strict, block_rows, local_edges, neighbours, miss) -> DataFrame:
     """Groups that folding made small are walked at once; the rest go through match lists."""
     plan = plan_blocks([reps], keys, block_rows)
     if plan.large is None:
         return _walk_small(reps, plan, threshold, strict)
     small = _walk_small(small_only(reps, plan), plan, threshold, strict)
     rows = materialize(large_only(reps, plan), "large-representatives")
-    edges, status = _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours)
-    return small.unionByName(_keepers(rows, edges, status, keys, threshold, strict, block_rows))
+    edges, status = _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours, miss)
+    return small.unionByName(_keepers(rows, edges, status, keys, threshold, strict, block_rows, miss))
 
 
-def _keepers(rows, edges, status, keys, threshold, strict, block_rows) -> DataFrame:
+def _keepers(rows, edges, status, keys, threshold, strict, block_rows, miss) -> DataFrame:
     """The smallest kept match of each removed row.
 
     Lists hold the smallest matches of a block in order, so a list showing a kept row shows the
@@ -159,7 +162,7 @@ def _keepers(rows, edges, status, keys, threshold, strict, block_rows) -> DataFr
     looked_up = first_match(
         rows.join(asked.select(*keys, "id"), [*keys, "id"], "left_semi"),
         rows.join(kept.select(*keys, F.col("older_id").alias("id")), [*keys, "id"], "left_semi"),
-        threshold, strict=strict, older_only=True, keys=keys, block_rows=block_rows,
+        threshold, strict=strict, older_only=True, keys=keys, block_rows=block_rows, miss=miss,
     ).select(*keys, "id", F.col("match_id").alias("keep_id"), "similarity")
     both = looked_up.unionByName(asked.select(*keys, "id", "keep_id", "similarity")).groupBy(*keys, "id").agg(
         F.min("keep_id").alias("k"), F.min_by("similarity", "keep_id").alias("similarity")
@@ -167,7 +170,7 @@ def _keepers(rows, edges, status, keys, threshold, strict, block_rows) -> DataFr
     return best.where(~open_end).select(*out).unionByName(both.select(*out))
 
 
-def _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours):
+def _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours, miss):
     """Match lists seen, and the final status of every representative (``cut``: its list was cut)."""
     text_edges = _text_edges(rows, keys, threshold, strict)
     undecided = rows.select(*keys, "id")
@@ -181,7 +184,7 @@ def _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours):
                 "undecided or _kept"
             ).select(*rows.columns, F.coalesce("undecided", F.lit(False)).alias("undecided"))
         edges = materialize(
-            _vector_edges(alive, keys, threshold, strict, block_rows, neighbours).unionByName(
+            _vector_edges(alive, keys, threshold, strict, block_rows, neighbours, miss).unionByName(
                 text_edges.join(undecided, [*keys, "id"], "left_semi")
             ).withColumn("pass", F.lit(number)),
             "match-lists",
@@ -197,12 +200,16 @@ def _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours):
         kept = done.where(F.col("status") == _KEPT).select(*keys, "id")
 
 
-def _vector_edges(alive, keys, threshold, strict, block_rows, neighbours) -> DataFrame:
+def _vector_edges(alive, keys, threshold, strict, block_rows, neighbours, miss) -> DataFrame:
     vectors = alive.where("embedding is not null").select(*keys, "id", "embedding", "undecided")
-    tiles = self_tiles(vectors, plan_blocks([vectors], keys, block_rows))
+    within = list(keys)
+    if miss is not None:
+        (vectors,) = in_buckets([vectors], keys, threshold, miss)
+        vectors, within = vectors.drop("_sigs"), [*keys, *BUCKET]
+    tiles = self_tiles(vectors, plan_blocks([vectors], within, block_rows))
     return tiles.groupBy("_tile").applyInArrow(
-        kernels.older_neighbours_kernel(keys, threshold, strict, neighbours),
-        f"{key_ddl(keys)}, id bigint, older_id bigint, similarity double, more boolean, slot int",
+        kernels.older_neighbours_kernel(keys, threshold, strict, neighbours, banded=miss is not None),
+        f"{key_ddl(keys)}, id bigint, older_id bigint, similarity double, more boolean, slot bigint",
     )
 
 
@@ -213,7 +220,7 @@ def _text_edges(rows, keys, threshold, strict) -> DataFrame:
     matches = threshold < 1.0 or (threshold == 1.0 and not strict)
     return bare.join(typed, [*keys, "_h"]).where(F.lit(matches)).select(
         *keys, F.greatest("x", "y").alias("id"), F.least("x", "y").alias("older_id"),
-        F.lit(1.0).alias("similarity"), F.lit(False).alias("more"), F.lit(-1).alias("slot"),
+        F.lit(1.0).alias("similarity"), F.lit(False).alias("more"), F.lit(-1).cast("bigint").alias("slot"),
     )
 
 

@@ -17,8 +17,8 @@ def verdicts(df):
 NEW = (None, None, None, None)
 
 
-@pytest.mark.parametrize("block_rows", [8192, 3])
-def test_order_and_mixed_rows(entries, block_rows):
+@pytest.mark.parametrize("block_rows, miss", [(8192, None), (3, None), (3, 1e-9)])
+def test_order_and_mixed_rows(entries, block_rows, miss):
     stored = entries([(1, "Stored vector", at(0)), (2, "bare", None)])
     incoming = entries(
         [
@@ -34,7 +34,7 @@ def test_order_and_mixed_rows(entries, block_rows):
             (10, "chain end", at(200)),         # near 5, which is out; 20 degrees from 4
         ]
     )
-    got = verdicts(admit_batch(incoming, stored, math.cos(math.radians(15)), block_rows=block_rows))
+    got = verdicts(admit_batch(incoming, stored, math.cos(math.radians(15)), block_rows=block_rows, miss=miss))
     assert got == {
         1: ("duplicate", "stored", 1, "Stored vector"), 2: ("duplicate", "stored", 2, "bare"), 3: NEW, 4: NEW,
         5: ("duplicate", "batch", 4, "fresh"), 6: ("duplicate", "batch", 4, "fresh"), 7: NEW,

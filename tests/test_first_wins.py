@@ -134,3 +134,11 @@ def test_survivors_hold_no_duplicates(entries):
     table = entries(random_rows(5))
     left = dedup_apply(table, dedup_find(table, 0.99, with_text=False))
     assert dedup_find(left, 0.99, with_text=False).count() == 0
+
+
+def test_signature_buckets_agree_with_the_exact_answer(spark, sf_dir):
+    from notelake import fixtures as fx
+
+    mixed = fx.mixed_copies(spark, sf_dir)
+    exact = found(dedup_find(mixed, with_text=False))
+    assert found(dedup_find(mixed, with_text=False, block_rows=32, miss=1e-6)) == exact and len(exact) > 1000

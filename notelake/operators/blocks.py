@@ -9,16 +9,23 @@ replicated per block, and the tile kernel emits matches only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread_small
+
 BLOCK_ROWS = 8192
 # A list of large groups up to this length is shipped to every executor; a longer one is joined
 # by shuffle.
 MAX_BROADCAST_GROUPS = 10_000
+# A side whose measured size is at most this goes to every executor; a larger one meets the other
+# side in tiles.
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -153,3 +160,37 @@ def cross_tiles(left: DataFrame, right: DataFrame, plan: BlockPlan, row_id: str
             .drop("_nb0", "_nb1")
         )
     return parts[0].unionByName(parts[1])
+
+
+def compare_sides(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    kernel: Callable[[pa.Table], pa.Table],
+    schema: str,
+    tiles: Callable[[], DataFrame],
+) -> DataFrame:
+    """Run a two-sided kernel over all of ``left`` x ``right`` within equal keys.
+
+    A right side measured to be small is shipped, so that a small batch meets a large table in one
+    scan without a shuffle; its kernel output is per scanned batch. Otherwise both go to ``tiles``.
+    """
+    volume = right.agg(F.sum(4 * F.size("embedding") + 256)).first()[0] or 0
+    if volume > BROADCAST_BYTES:
+        return tiles().groupBy("_tile").applyInArrow(kernel, schema)
+    shipped = left.sparkSession.sparkContext.broadcast(right.select(*left.columns).toArrow())
+
+    def placed(table: pa.Table, side: int) -> pa.Table:
+        for name, value in (("_side", side), ("_i", 0), ("_j", 0), ("_b", 0)):
+            table = table.append_column(name, pa.repeat(pa.scalar(value, pa.int32()), table.num_rows))
+        return table
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            other = shipped.value.cast(table.schema)
+            for key in keys:
+                other = other.filter(pc.is_in(other.column(key), pc.unique(table.column(key))))
+            yield from kernel(pa.concat_tables([placed(table, 0), placed(other, 1)])).to_batches()
+
+    return spread_small(left).mapInArrow(scan, schema)

@@ -33,7 +33,7 @@ def _strings(table: pa.Table, names: list[str], rows: np.ndarray) -> dict[str, p
 
 def _bucket(table: pa.Table, banded: bool) -> list[np.ndarray]:
     """Columns that tell signature buckets apart, where tiles are made of buckets."""
-    return _columns(table, "_band", "_sig") if banded else []
+    return _columns(table, "_band", "_sig") if banded and "_band" in table.column_names else []
 
 
 def _result(parts: list[pa.Table], schema: pa.Schema) -> pa.Table:

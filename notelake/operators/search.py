@@ -14,14 +14,12 @@ from ..functions import text as X
 from ..functions.vectors import Block, VectorColumn, exact_cosine
 from ..schema import GROUP_KEYS, SEARCH_THRESHOLD
 from ..session import materialize, spread_small
-from . import kernels
-from .blocks import BLOCK_ROWS, block_of, cross_tiles, only_groups_of, plan_blocks, with_block_counts
+from . import blocks, kernels
+from .blocks import BLOCK_ROWS, block_of, compare_sides, cross_tiles, only_groups_of, plan_blocks, with_block_counts
 from .filters import filter_role_category, filter_tag
 from .ordering import ranked
 from .similarity import key_ddl
 
-# A batch of queries up to this size is shipped to every executor; a larger one is joined by shuffle.
-BROADCAST_QUERY_BYTES = 32 << 20
 _NO_TAGS = "cast(null as array<string>)"
 _PRE_RANK_SLICES = 64
 
@@ -84,10 +82,10 @@ def semantic_hits(
         *GROUP_KEYS, "id", "embedding", (F.col("tags") if tagged else F.expr(_NO_TAGS)).alias("tags"),
         F.lit(None).cast("string").alias("tag"), F.lit(None).cast("int").alias("lim"),
     )
-    tiles = cross_tiles(searched, asking, plan_blocks([searched, asking], GROUP_KEYS, block_rows))
-    return tiles.groupBy("_tile").applyInArrow(
-        kernels.ranked_hits_kernel(list(GROUP_KEYS), threshold),
+    return compare_sides(
+        searched, asking, GROUP_KEYS, kernels.ranked_hits_kernel(list(GROUP_KEYS), threshold),
         f"{key_ddl(GROUP_KEYS)}, query_id bigint, id bigint, similarity double, lim int",
+        lambda: cross_tiles(searched, asking, plan_blocks([searched, asking], GROUP_KEYS, block_rows)),
     )
 
 
@@ -104,7 +102,7 @@ def keyword_hits(entries: DataFrame, queries: DataFrame, *, block_rows: int = BL
     )
     on = list(GROUP_KEYS)
     volume = asking.agg(F.sum(F.octet_length(F.array_join("words", " ")) + 64)).first()[0] or 0
-    if volume <= BROADCAST_QUERY_BYTES:
+    if volume <= blocks.BROADCAST_BYTES:
         asking = F.broadcast(asking)
     else:
         plan = plan_blocks([searched], GROUP_KEYS, block_rows)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..schema import DEDUP_THRESHOLD, GROUP_KEYS
 from . import kernels
-from .blocks import BLOCK_ROWS, cross_tiles, only_groups_of, plan_blocks, self_tiles
+from .blocks import BLOCK_ROWS, compare_sides, cross_tiles, only_groups_of, plan_blocks, self_tiles
 
 LSH_MISS = 1e-6
 BUCKET = ("_band", "_sig")
@@ -155,18 +155,21 @@ def first_match(
     """Per incoming row with a match: the smallest matching stored id and its similarity.
 
     A tile yields at most one line per incoming row, however many stored copies match it. With
-    ``miss``, only rows sharing a signature are compared (see :func:`similarity_join_lsh`).
+    ``miss``, two large sides only compare rows sharing a signature (see :func:`similarity_join_lsh`).
     """
     left, right = _vector_rows(stored, keys), _vector_rows(incoming, keys)
     left = only_groups_of(left, right, keys)
-    within = list(keys)
-    if miss is not None:
-        left, right = (side.drop("_sigs") for side in in_buckets([left, right], keys, threshold, miss))
-        within += BUCKET
-    tiles = cross_tiles(left, right, plan_blocks([left, right], within, block_rows))
-    hits = tiles.groupBy("_tile").applyInArrow(
-        kernels.first_match_kernel(list(keys), threshold, strict, older_only, banded=miss is not None),
-        f"{key_ddl(keys)}, id bigint, match_id bigint, similarity double",
+
+    def tiles() -> DataFrame:
+        if miss is None:
+            return cross_tiles(left, right, plan_blocks([left, right], keys, block_rows))
+        sides = [side.drop("_sigs") for side in in_buckets([left, right], keys, threshold, miss)]
+        return cross_tiles(*sides, plan_blocks(sides, [*keys, *BUCKET], block_rows))
+
+    banded = miss is not None
+    hits = compare_sides(
+        left, right, keys, kernels.first_match_kernel(list(keys), threshold, strict, older_only, banded),
+        f"{key_ddl(keys)}, id bigint, match_id bigint, similarity double", tiles,
     )
     return hits.groupBy(*keys, "id").agg(
         F.min("match_id").alias("match_id"), F.min_by("similarity", "match_id").alias("similarity")

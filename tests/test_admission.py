@@ -2,6 +2,7 @@ import math
 
 import pytest
 
+from notelake.operators import blocks
 from notelake.operators.similarity import anti_join_existing, similarity_join_lsh, similarity_self_join
 from notelake.plans.admission import admit_batch, admitted_rows, rejected_rows
 
@@ -18,7 +19,9 @@ NEW = (None, None, None, None)
 
 
 @pytest.mark.parametrize("block_rows, miss", [(8192, None), (3, None), (3, 1e-9)])
-def test_order_and_mixed_rows(entries, block_rows, miss):
+def test_order_and_mixed_rows(entries, monkeypatch, block_rows, miss):
+    if block_rows == 3:
+        monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
     stored = entries([(1, "Stored vector", at(0)), (2, "bare", None)])
     incoming = entries(
         [

@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from notelake.operators import filters, search
+from notelake.operators import blocks, filters, search
 
 
 def at(degrees):
@@ -69,6 +69,6 @@ def test_large_groups_and_shuffled_queries_give_the_same(spark, sf_dir, monkeypa
     entries, asked = fx.vector_copies(spark, sf_dir), fx.query_batch(spark, sf_dir, 3)
     columns = ["query_id", "mode", "rank", "id"]
     whole = search.batch_search(entries, asked).select(*columns).collect()
-    monkeypatch.setattr(search, "BROADCAST_QUERY_BYTES", 0)
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
     tiled = search.batch_search(entries, asked, block_rows=100).select(*columns).collect()
     assert sorted(whole) == sorted(tiled) and len(whole) > 1000

@@ -164,3 +164,12 @@ def test_ranks_and_new_ids_follow_the_order(spark):
     assert [r["rank"] for r in got] == [*range(1, 501), *range(1, 501)]
     ids = [r["id"] for r in ordering.with_next_ids(rows, ["x"], 41).orderBy("x").collect()]
     assert ids == sorted(set(ids)) and ids[0] == 42
+
+
+def test_sinks_keep_the_order(spark, notes, tmp_path):
+    exports.write_documents(exports.export_markdown(notes), str(tmp_path / "md"))
+    parts = sorted((tmp_path / "md" / "role=r").glob("part-*"))
+    assert "".join(p.read_text() for p in parts).rstrip("\n") == markdown(exports.export_markdown(notes, "r")).rstrip("\n")
+    exports.write_json(notes, str(tmp_path / "json"))
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "json" / "role=r").glob("part-*"))).splitlines()
+    assert [json.loads(line)["id"] for line in lines] == [2, 1, 3]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .ngram_join import ngram_components
 from .substring_dedup import substring_dedup
 
 
@@ -20,9 +21,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_components(_table(spark, sf_dir, "documents"), words=5, percent=75)
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op4_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
 }

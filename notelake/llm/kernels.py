@@ -60,13 +60,13 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``limit`` bytes of text."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``limit`` bytes of text and at most ``rows`` rows."""
     ends = np.cumsum(lengths(batch.column(column)))
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + limit, "right"))))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -19,3 +19,21 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_
   sha256(coalesce(kept, '')) as kept_sha256
 from d left join kept using (doc_id)
 """
+
+NGRAM_JACCARD_JOIN = rf"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+grams as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from grams a join grams b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+  select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 75 * (p.n + q.n - c)),
+reach(doc_id, other) as (
+  select doc_id, doc_id from d union select r.doc_id, l.y from reach r join links l on l.x = r.other)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, m.component_id
+from d left join sizes using (doc_id) join (select doc_id, min(other) as component_id from reach group by 1) m using (doc_id)
+"""

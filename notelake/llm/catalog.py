@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .ngram_join import ngram_components
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +27,18 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup(_table(spark, sf_dir, "documents"), length=100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op4_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
+    "op9_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
 }

@@ -88,6 +88,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls and the offsets of its rows, from 0."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]], offsets.astype(np.int64) - offsets[0]
+
+
 def lowered(raw: np.ndarray) -> np.ndarray:
     """A-Z in lower case, all other bytes as they are."""
     table = np.arange(256, dtype=np.uint8)
@@ -131,6 +137,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[:-rest], have[rest:]) if rest else have
 
 
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest of each ``width`` consecutive hashes (by their first 34 bits; the first of equal ones)."""
+    tagged = values & ~_U((1 << 30) - 1) | np.arange(len(values), dtype=np.uint64)
+    return (sliding_min(tagged, width) & _U((1 << 30) - 1)).astype(np.int64)
+
+
 def windows_in_rows(row_starts: np.ndarray, width: int) -> np.ndarray:
     """First positions of all windows of ``width`` that stay inside their row, in order."""
     sizes = np.maximum(np.diff(row_starts) - width + 1, 0)

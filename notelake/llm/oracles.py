@@ -37,3 +37,25 @@ reach(doc_id, other) as (
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, m.component_id
 from d left join sizes using (doc_id) join (select doc_id, min(other) as component_id from reach group by 1) m using (doc_id)
 """
+
+SUFFIX_ARRAY_DEDUP = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents),
+strings as (
+  select doc_id, i, md5(substr(x, 2 * i - 1, 200)) as h
+  from (select doc_id, x, unnest(range(1, n - 98)) as i from d where n >= 100)),
+firsts as (select h, min((doc_id, i)) as f from strings group by h),
+again as (select doc_id, i from strings join firsts using (h) where (doc_id, i) > f),
+stepped as (select doc_id, i, i > lag(i, 1, -200) over (partition by doc_id order by i) + 100 as new from again),
+numbered as (select doc_id, i, sum(new::int) over (partition by doc_id order by i) as s from stepped),
+spans as (select doc_id, s, min(i) as a, max(i) + 99 as b from numbered group by doc_id, s),
+gaps as (
+  select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before,
+    row_number() over (partition by doc_id order by a desc) = 1 as last from spans),
+kept as (
+  select doc_id, count(*) as n_spans, sum(b - a + 1) as n_removed,
+    string_agg(substr(x, 2 * before + 1, 2 * (a - 1 - before)), '' order by a) || max(case when last then substr(x, 2 * b + 1) else '' end) as k
+  from gaps join d using (doc_id) group by doc_id)
+select d.doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(k, x))) as kept_sha256
+from d left join kept using (doc_id)
+"""

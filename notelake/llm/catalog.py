@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .ngram_join import ngram_components
+from .quality import resampled
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -32,10 +33,16 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("key_value", 6).alias("sampling_key"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,

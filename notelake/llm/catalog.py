@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .decontamination import leaks
 from .ngram_join import ngram_components
 from .quality import resampled
 from .substring_dedup import substring_dedup
@@ -38,9 +39,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("key_value", 6).alias("sampling_key"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *[F.round(c, 4).alias(c) for c in ("lcs_share", "answer_share", "cosine")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }

@@ -21,6 +21,9 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
+# All ASCII but letters and digits.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
 
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A one-to-one scrambling of 64-bit values."""
@@ -101,9 +104,9 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return table[raw]
 
 
-def word_places(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word (a run without ASCII white space, inside one row), and each row's first word."""
-    inside = ~SEPARATOR[raw]
+def word_places(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word (a run without separators, inside one row), and each row's first word."""
+    inside = ~separator[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

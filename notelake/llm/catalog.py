@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import oracles
 from .decontamination import leaks
 from .ngram_join import ngram_components
 from .quality import resampled
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_files import read_token_files, write_token_files
+
+# On every machine of the cluster at the same place.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +50,15 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "item_id", *[F.round(c, 4).alias(c) for c in ("lcs_share", "answer_share", "cosine")])
 
 
+def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "op2-tokens")
+    write_token_files(_table(spark, sf_dir, "documents"), root, BYTE_BPE, end_id=0)
+    return read_token_files(spark, root, digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_id_output": op2_token_id_output,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,

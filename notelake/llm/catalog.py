@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from . import oracles
 from .decontamination import leaks
+from .edited_counts import edited_token_counts
 from .ngram_join import ngram_components
 from .quality import resampled
 from .substring_dedup import substring_dedup
@@ -56,9 +57,24 @@ def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, root, digest=True)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with three edits: its source put in front, 64 code points in its middle replaced by its language, its last 32 deleted."""
+    docs = _table(spark, sf_dir, "documents")
+    n = F.length(F.coalesce("text", F.lit("")))
+    middle = F.floor(n / 2).cast("int")
+    edits = [
+        (F.lit(0), F.lit(0), F.concat(F.coalesce("source", F.lit("")), F.lit(" "))),
+        (middle, F.least(F.lit(64), F.greatest(n - 32 - middle, F.lit(0))), F.coalesce("lang", F.lit(""))),
+        (F.greatest(n - 32, middle), F.lit(32), F.lit("")),
+    ]
+    column = F.array(*[F.struct(a.alias("start"), b.alias("length"), c.alias("replacement")) for a, b, c in edits])
+    return edited_token_counts(docs.select("doc_id", "text", column.alias("edits")), BYTE_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_id_output": op2_token_id_output,
+    "op3_token_counts": op3_token_counts,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,

@@ -13,6 +13,7 @@ from . import oracles
 from .decontamination import leaks
 from .edited_counts import edited_token_counts
 from .ngram_join import ngram_components
+from .piece_lattice import nbest_encode
 from .quality import resampled
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -20,6 +21,7 @@ from .token_files import read_token_files, write_token_files
 
 # On every machine of the cluster at the same place.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,12 +73,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_token_counts(docs.select("doc_id", "text", column.alias("edits")), BYTE_BPE)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest_encode(_table(spark, sf_dir, "documents"), PIECES, n=3, digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_id_output": op2_token_id_output,
     "op3_token_counts": op3_token_counts,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import oracles
+from .chat_perspectives import rotated
 from .decontamination import leaks
 from .edited_counts import edited_token_counts
 from .ngram_join import ngram_components
@@ -77,12 +78,17 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest_encode(_table(spark, sf_dir, "documents"), PIECES, n=3, digest=True)
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_id_output": op2_token_id_output,
     "op3_token_counts": op3_token_counts,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_classifier": op10_quality_classifier,
@@ -90,5 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op4_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
+    "op7_chat_formatting": oracles.CHAT_FORMATTING,
     "op9_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
 }

@@ -59,3 +59,17 @@ select d.doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_remov
   sha256(unhex(coalesce(k, x))) as kept_sha256
 from d left join kept using (doc_id)
 """
+
+CHAT_FORMATTING = """
+with t as (select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
+v as (
+  select t.*, speaker, role = speaker as mask,
+    case when role = speaker then '<|assistant|>' when role = 'system' then '<|system|>' else '<|user:' || role || '|>' end || chr(10) as head
+  from t join (select distinct conv_id, role as speaker from t where role <> 'system') s on t.conv_id is not distinct from s.conv_id),
+placed as (
+  select *, head || text || chr(10) as segment, row_number() over w - 1 as position, sum(length(head) + length(text) + 1) over w as till
+  from v window w as (partition by conv_id, speaker order by turn nulls first, role, head || text || chr(10) rows unbounded preceding))
+select conv_id, speaker, position::bigint as position, turn, role, segment, mask,
+  (till - 1 - length(text))::bigint as text_start, (till - 1)::bigint as text_end
+from placed
+"""

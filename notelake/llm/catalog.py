@@ -13,6 +13,7 @@ from . import oracles
 from .chat_perspectives import rotated
 from .decontamination import leaks
 from .edited_counts import edited_token_counts
+from .fingerprints import fingerprints
 from .ngram_join import ngram_components
 from .piece_lattice import nbest_encode
 from .quality import resampled
@@ -82,12 +83,17 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated(_table(spark, sf_dir, "conversations"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_id_output": op2_token_id_output,
     "op3_token_counts": op3_token_counts,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,

@@ -39,7 +39,7 @@ OVERSAMPLE, POWER = 8, 2
 COSINE = 0.25
 VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.5, 0.6
 _ITEMS = "item long, words array<long>"
-_SUMMERS = 16
+_SUMMERS = 4
 
 
 def _words(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

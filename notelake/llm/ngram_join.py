@@ -3,16 +3,21 @@
 Tokens are hashed n-grams, ordered by hash. If two sets of sizes up to n have Jaccard similarity t,
 their first n - ceil(t * n) + k tokens share k of them at least. So:
 
-1. *Filter.* With k = 1: a set none of whose prefix tokens is in another set's prefix has no
-   partner. One pre-aggregated minimum and maximum per token tells; most sets end here.
+1. *Filter.* A set less than a share t of whose tokens is in any other set has no partner; most sets
+   end here. In the order "tokens of one set only come first" such a set's prefix would hold nothing
+   else. To tell, each slice of documents sends its tokens, cut to 40 bits or more, as packed
+   ascending lists, one per bucket of hashes; a bucket answers with counts per document. Tokens that
+   agree in those bits only keep a set longer, nothing else.
 2. *Classes.* Tokens in few sets are rare and index their set singly. Frequent tokens are dealt by
    hash into g classes, and what is indexed is each pair of frequent tokens of one class. With
    prefixes longer by g, a similar pair shares a rare token or two frequent ones of one class, by
    the pigeonhole principle. g grows with the set (about n / 12), so that a set of n frequent tokens
    gives about n / 2 combinations, not n * n. Sets near a change of g are indexed under both.
-3. *Verify.* Equal sets are one node. Under each index key every node is first paired with the
-   key's smallest node only; what these links connect needs no further comparison. Then the pairs
-   that share a key and are not connected yet are compared, each once, on whole sets.
+3. *Verify.* Equal sets are one node. Nodes that share many keys come into one block of bounded size
+   (small families share blocks, large ones have several), each with its keys and its set. A task
+   compares, on whole sets, what shares a key and is not connected yet, and gives only the links that
+   connect. Keys whose nodes are connected by then are closed; for the others, pairs of blocks that
+   share one are compared in the same way. No pair of nodes is ever a row, but for the links.
 
 Every decision is exact on 52-bit token hashes. The answer is the components, so links inside one
 component beyond those that connect it are not listed.
@@ -24,6 +29,7 @@ and a component of such rows alone has no id; other columns are ignored; empty t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +44,8 @@ from .scratch import NO_ID, keyed, settled
 WORDS, PERCENT = 5, 75
 # A token in at least this many sets is frequent.
 FREQUENT = 64
-HUB_ROUNDS = 2
+# Nodes compared in one task at a time.
+BLOCK_NODES = 256
 
 
 def token_sets(piece: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,37 +65,84 @@ def token_sets(piece: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (tagged & np.uint64((1 << 52) - 1)).view(np.int64), firsts
 
 
+_SURVEY = "portion long, at int, bucket int, id long, key long, node long, n long, tokens binary, places binary"
+_SURVEY_ARROW = pa.schema([("portion", pa.int64()), ("at", pa.int32()), ("bucket", pa.int32()), ("id", pa.int64()), ("key", pa.int64()),
+                           ("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("places", pa.binary())])
+
+
 def _row_sums(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     sums = np.append(np.uint64(0), np.cumsum(values))
     return sums[firsts[1:]] - sums[firsts[:-1]]
 
 
-def _prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - -(-percent * n // 100) + (n > 0)
-
-
 def _listed(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(values[K.ranges(starts, sizes)]))
 
 
-def _described(n: int, percent: int):
-    """Per row: the node (a hash of the set), a second hash, the size and the prefix tokens."""
+def _planes(values: np.ndarray) -> bytes:
+    """The values' lowest bytes, then their second bytes, ...: what is small or sorted then compresses."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _surveyed(n: int, bits: int):
+    """One row per document (its node: a hash of the set, a second hash, the size), and one row per slice of documents and
+    bucket of tokens: the 32 bits after the bucket's, ascending as differences, and the document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in (p for b in batches for p in K.slices(b, "text")):
             tokens, firsts = token_sets(piece, n)
             sizes = np.diff(firsts)
-            bits = tokens.view(np.uint64)
-            node = K.mixed(_row_sums(K.mixed(bits, 1), firsts), 3)
+            node = K.mixed(_row_sums(K.mixed(tokens.view(np.uint64), 1), firsts), 3)
+            portion = uuid.uuid4().int & (1 << 63) - 1
+            yield pa.record_batch({
+                "portion": np.full(len(piece), portion), "at": np.arange(len(piece), dtype=np.int32), "bucket": np.full(len(piece), -1, np.int32),
+                "id": piece.column("id"), "key": piece.column("key"), "node": K.signed(node), "n": sizes.astype(np.int64),
+                "tokens": pa.nulls(len(piece), pa.binary()), "places": pa.nulls(len(piece), pa.binary()),
+            }, schema=_SURVEY_ARROW)
+            cut = (tokens >> (52 - bits - 32)).astype(np.uint64)
+            order = np.argsort(cut, kind="stable")
+            cut, places = cut[order], np.repeat(np.arange(len(piece), dtype=np.uint16), sizes)[order]
+            bounds = np.searchsorted(cut >> np.uint64(32), np.arange((1 << bits) + 1))
+            low = (cut & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            full = np.flatnonzero(np.diff(bounds))
+            stretches = [slice(bounds[i], bounds[i + 1]) for i in full]
+            nothing = pa.nulls(len(full), pa.int64())
             yield pa.record_batch({
-                "id": piece.column("id"), "key": piece.column("key"), "node": K.signed(node),
-                "proof": K.signed(_row_sums(K.mixed(bits, 2), firsts)), "n": sizes.astype(np.int64),
-                "prefix": _listed(tokens, firsts[:-1], _prefix_sizes(sizes, percent)),
-            })
+                "portion": np.full(len(full), portion), "at": np.full(len(full), len(piece), np.int32), "bucket": full.astype(np.int32),
+                "id": nothing, "key": nothing, "node": nothing, "n": nothing,
+                "tokens": pa.array([_planes(np.diff(low[x], prepend=np.uint32(0))) for x in stretches], pa.binary()),
+                "places": pa.array([_planes(places[x]) for x in stretches], pa.binary()),
+            }, schema=_SURVEY_ARROW)
 
     return run
 
 
+def _shared_counts(group: pa.Table) -> pa.Table:
+    """Of one bucket: how many tokens of each document some other document has, too."""
+    portions, sizes = group.column("portion").to_numpy(), group.column("at").to_numpy()
+    tokens = [np.cumsum(_from_planes(x.as_py(), np.uint32), dtype=np.uint32) for x in group.column("tokens")]
+    starts = np.append(0, np.cumsum(sizes.astype(np.int64)))
+    rows = np.concatenate([_from_planes(x.as_py(), np.uint16) + s for x, s in zip(group.column("places"), starts)])
+    tokens = np.concatenate(tokens)
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    same = tokens[1:] == tokens[:-1]
+    again = np.append(False, same) | np.append(same, False)
+    counts = np.bincount(rows[order[again]], minlength=starts[-1]).astype(np.uint32)
+    return pa.table({"portion": portions, "at": sizes, "counts": pa.array(
+        [_planes(counts[i:j]) for i, j in zip(starts[:-1], starts[1:])], pa.binary())})
+
+
+def _total_counts(group: pa.Table) -> pa.Table:
+    total = np.sum([_from_planes(x.as_py(), np.uint32) for x in group.column("counts")], axis=0, dtype=np.int64)
+    return pa.table({"portion": np.full(len(total), group.column("portion")[0].as_py()), "at": np.arange(len(total), dtype=np.int32), "shared": total})
+
+
 def _whole_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in (p for b in batches for p in K.slices(b, "text")):
@@ -99,23 +153,67 @@ def _whole_sets(n: int):
     return run
 
 
-def _links(percent: int):
-    """The pairs whose sets are similar enough (rows: u, v, both sets)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            u, v = batch.column("u").to_numpy(), batch.column("v").to_numpy()
-            ok = np.zeros(len(u), bool)
-            for i in range(len(u)):
-                a, b = x[i].values.to_numpy(), y[i].values.to_numpy()
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                both = int((b[at] == a).sum())
-                ok[i] = 100 * both >= percent * (len(a) + len(b) - both)
-            yield pa.record_batch({"u": u[ok], "v": v[ok]})
+class _Joined:
+    """Which of some nodes are known to be connected."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self._up = np.unique(labels, return_inverse=True)
+        self._up = self._up.tolist()
+        self._own = list(range(max(self._up, default=-1) + 1))
+        self._of = self._up
+
+    def root(self, i: int) -> int:
+        at = self._of[i]
+        while self._own[at] != at:
+            self._own[at] = self._own[self._own[at]]
+            at = self._own[at]
+        return at
+
+    def join(self, i: int, j: int) -> None:
+        self._own[self.root(i)] = self.root(j)
+
+
+def _block_links(percent: int):
+    """Of one or two blocks of nodes (rows: node, label, side, keys, tokens): links that connect what is not connected yet,
+    between nodes that share a key; of two blocks, only links across."""
+
+    def run(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        node, joined = group.column("node").to_numpy(), _Joined(group.column("label").to_numpy())
+        lists = group.column("keys").combine_chunks()
+        owner = np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy())
+        keys = lists.flatten().to_numpy()
+        order = np.argsort(keys, kind="stable")
+        owner, keys = owner[order], keys[order]
+        bounds = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        meet = np.zeros((len(node), len(node)), bool)
+        for low, high in zip(bounds.tolist(), [*bounds[1:].tolist(), len(keys)]):
+            if high - low > 1:
+                some = owner[low:high]
+                meet[some[:, None], some[None, :]] = True
+        if side.any():
+            meet &= side[:, None] != side[None, :]
+        tokens = group.column("tokens").combine_chunks()
+        sizes = tokens.value_lengths().to_numpy()
+        meet &= np.minimum(sizes[:, None], sizes[None, :]) * 100 >= percent * np.maximum(sizes[:, None], sizes[None, :])
+        ends = np.cumsum(sizes)
+        flat = tokens.flatten().to_numpy()
+        u, v = [], []
+        for i in range(len(node)):
+            mine = flat[ends[i] - sizes[i]:ends[i]]
+            for j in np.flatnonzero(meet[i, i + 1:]) + i + 1:
+                if joined.root(i) == joined.root(j):
+                    continue
+                theirs = flat[ends[j] - sizes[j]:ends[j]]
+                short, long = (mine, theirs) if len(mine) < len(theirs) else (theirs, mine)
+                at = np.searchsorted(long, short)
+                at[at == len(long)] = 0
+                both = int((long[at] == short).sum())
+                if 100 * both >= percent * (len(mine) + len(theirs) - both):
+                    joined.join(i, j)
+                    u.append(node[i])
+                    v.append(node[j])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
@@ -143,62 +241,82 @@ def _index(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
     return settled(rare.unionByName(pairs.select(F.xxhash64("g", "one", "two").alias("k"), "node", "n")), "op4-index", entries)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    x = sets.select(F.col("node").alias("u"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("node").alias("v"), F.col("tokens").alias("y"))
-    return pairs.select("u", "v").join(x, "u").join(y, "v").mapInArrow(_links(percent), "u long, v long")
+def _blocks(index: DataFrame, block_nodes: int) -> DataFrame:
+    """(node, block): nodes that share many keys come together, at most about ``block_nodes`` in a block."""
+    hubs = settled(index.groupBy("k").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("k", "hub"), "op4-hubs")
+    met = index.join(hubs, "k").where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
+    best = met.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best"))
+    families = components(best.select(F.col("node").alias("u"), F.col("best.hub").alias("v")), "op4-families")
+    families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
+    sizes = settled(families.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "op4-sizes")
+    shelves = F.lit(max(1, -(-families.count() // block_nodes)))
+    block = F.when(F.col("size") * 4 < block_nodes, F.pmod(F.xxhash64("root"), shelves)).otherwise(
+        F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block_nodes))))
+    return settled(families.join(sizes, "root").select("node", block.alias("block")), "op4-blocks", hubs, sizes)
 
 
-def _linked(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
+def _linked(sets: DataFrame, percent: int, frequent: int, block_nodes: int) -> DataFrame:
     """(node, root) of the components of similar sets."""
     index = _index(sets, percent, frequent)
-    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    roots, edges, tried = None, None, None
-    for turn in range(HUB_ROUNDS + 1):
-        labelled = index if roots is None else index.join(roots, "node", "left")
-        labelled = labelled.withColumn("label", F.col("node") if roots is None else F.coalesce("root", "node")).select("k", "node", "n", "label")
-        # Keys all of whose nodes are connected have nothing left to say.
-        open_keys = labelled.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("label", "node", "n")).alias("hub")).where("low < high")
-        labelled = settled(labelled.join(open_keys.select("k", "hub"), "k"), "op4-open", index)
-        other = F.col("node") != F.col("hub.node")
-        if turn < HUB_ROUNDS:
-            met = labelled.where(other & (F.col("label") != F.col("hub.label"))).select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")).where(near)
-            met = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
-            if tried is not None:
-                met = met.join(tried.select(F.col("u").alias("hub"), F.col("v").alias("node")), ["node", "hub"], "left_anti")
-            best = met.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best"))
-            pairs = best.select(F.col("best.hub").alias("u"), F.col("node").alias("v"))
-        else:
-            a = labelled.select("k", F.col("node").alias("u"), F.col("n"), F.col("label").alias("lu"))
-            b = labelled.select("k", F.col("node").alias("v"), F.col("n").alias("m"), F.col("label").alias("lv"))
-            pairs = a.join(b, "k").where((F.col("lu") < F.col("lv")) & near).select("u", "v").distinct()
-            for way in (("u", "v"), ("v", "u")):
-                pairs = pairs.join(tried.select(F.col(way[0]).alias("u"), F.col(way[1]).alias("v")), ["u", "v"], "left_anti")
-        pairs = settled(pairs, "op4-pairs")
-        index = labelled
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = settled(_verified(pairs, sets, percent), "op4-links")
-        edges = found if roots is None else found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = components(edges, "op4-components")
-    return roots
-
-
-def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """Per row: doc_id, key (of the row), n_shingles, component_id (smallest doc_id of its component)."""
+    blocks = _blocks(index, block_nodes)
+    schema = "u long, v long"
+    # Inside the blocks first. Nodes arrive once each, with their keys and their set.
+    keys = index.join(blocks, "node").groupBy("block", "node").agg(F.collect_set("k").alias("keys"))
+    rows = keys.join(sets.select("node", "tokens"), "node").select("block", "node", F.col("node").alias("label"), F.lit(0).alias("side"), "keys", "tokens")
+    links = settled(rows.groupBy("block").applyInArrow(_block_links(percent), schema), "op4-links")
+    roots = components(links, "op4-components")
+    # Then between blocks, where a key still has nodes that are not connected.
+    labelled = index.select("k", "node").join(roots, "node", "left").join(blocks, "node").select("k", "node", "block", F.coalesce("root", "node").alias("label"))
+    labelled = settled(labelled, "op4-labelled", index)
+    split = labelled.groupBy("k").agg((F.min("label") < F.max("label")).alias("open"), (F.min("block") < F.max("block")).alias("apart")).where("open and apart").select("k")
+    still = settled(labelled.join(settled(split, "op4-split"), "k"), "op4-still", labelled)
+    places = settled(still.groupBy("k", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), "op4-places")
+    one, two = (places.select("k", *[F.col(c).alias(f"{c}{i}") for c in ("block", "low", "high")]) for i in (1, 2))
+    pairs = one.join(two, "k").where("block1 < block2 and (low1 < high2 or low2 < high1)").select("block1", "block2").distinct()
+    pairs = settled(pairs, "op4-block-pairs", places)
+    held = settled(still.groupBy("block", "node", "label").agg(F.collect_set("k").alias("keys")), "op4-held", still)
+    held = held.join(sets.select("node", "tokens"), "node")
+    sides = [pairs.withColumnRenamed(f"block{i + 1}", "block").withColumnRenamed(f"block{2 - i}", "other").join(held, "block")
+             .select(*[(F.col("block") if j == i else F.col("other")).alias(f"block{j + 1}") for j in (0, 1)], "node", "label", F.lit(i).alias("side"), "keys", "tokens")
+             for i in (0, 1)]
+    across = sides[0].unionByName(sides[1]).groupBy("block1", "block2").applyInArrow(_block_links(percent), schema)
+    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(settled(across, "op4-across"))
+    return components(edges, "op4-components")
+
+
+def _bucket_bits(docs: DataFrame) -> int:
+    """Buckets of some two million tokens, by the size of the files: a plan's estimate, no run."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(20, max(5, (size // 4 // 2_000_000).bit_length()))
+
+
+def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """Per row: doc_id, key (of the row), n_shingles, component_id (smallest doc_id of its component), is_first (the row has it)."""
     if not 50 < percent <= 100:
         raise ValueError("percent lies over 50, up to 100")
     rows = keyed(docs)
-    described = settled(rows.mapInArrow(
-        _described(words, percent), "id long, key long, node long, proof long, n long, prefix array<long>"), "op4-described")
-    entries = described.select("node", F.explode("prefix").alias("token"))
-    shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
-    nodes = entries.join(shared, "token").select("node").distinct()
-    chosen = described.select("node", "key").join(nodes, "node").groupBy("node").agg(F.min("key").alias("key"))
+    survey = settled(rows.mapInArrow(_surveyed(words, _bucket_bits(docs)), _SURVEY), "op4-survey")
+    buckets = survey.where("bucket >= 0").select("portion", "at", "bucket", "tokens", "places")
+    counts = buckets.groupBy("bucket").applyInArrow(_shared_counts, "portion long, at int, counts binary")
+    counts = counts.groupBy("portion").applyInArrow(_total_counts, "portion long, at int, shared long")
+    described = survey.where("bucket < 0").select("portion", "at", "id", "key", "node", "n").join(counts, ["portion", "at"], "left")
+    described = settled(described.drop("portion", "at"), "op4-described", survey)
+    hopeful = described.where((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent))
+    chosen = hopeful.groupBy("node").agg(F.min("key").alias("key"))
     sets = rows.select("key", "text").join(chosen, "key").mapInArrow(_whole_sets(words), "node long, n long, tokens array<long>")
     sets = settled(sets.dropDuplicates(["node"]), "op4-sets")
-    roots = _linked(sets, percent, frequent)
+    roots = _linked(sets, percent, frequent, block_nodes)
     placed = described.select("id", "key", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = placed.groupBy("root").agg(F.min("id").alias("least"))
-    out = placed.join(named, "root").withColumn("least", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")))
+    named = placed.groupBy("root").agg(F.min(F.struct("id", "key")).alias("first"))
+    named = settled(named.select("root", F.col("first.id").alias("least"), F.col("first.key").alias("least_key")), "op4-named")
+    alone = F.col("n") == 0
+    out = placed.join(named, "root").withColumn("least", F.when(alone, F.col("id")).otherwise(F.col("least")))
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "key", F.col("n").alias("n_shingles"),
-                      F.nullif("least", F.lit(NO_ID)).alias("component_id"))
+                      F.nullif("least", F.lit(NO_ID)).alias("component_id"), (alone | (F.col("key") == F.col("least_key"))).alias("is_first"))
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component of ``docs``, the one of smallest doc_id, with all its columns. Rows without words all stay."""
+    kept = ngram_components(docs, **options).where("is_first").select(F.col("key").alias("_kept_key")).distinct()
+    marked = docs.withColumn("_kept_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    return marked.join(kept, "_kept_key", "left_semi").dropDuplicates(["_kept_key"]).drop("_kept_key")

@@ -31,7 +31,7 @@ from .scratch import settled
 
 BUCKET_BITS = 18
 LABELLED = 20_000
-_SUMMERS = 16
+_SUMMERS = 4
 _ROW = 1 << 40  # place of the summing step's noise in 64-bit hashes
 
 _KIND = np.ones(256, np.int8)

@@ -248,15 +248,20 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cr
     return settled(found.unionByName(sorted_out).unionByName(crowded), "op9-repeated", judged, sorted_out, single, least)
 
 
+def _cut(piece: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all rows, the rows' first bytes, and which bytes go (rows: text, spans)."""
+    raw, rows = K.utf8(piece.column("text"))
+    spans = piece.column("spans")
+    row = np.repeat(np.arange(len(piece)), spans.value_lengths().fill_null(0).to_numpy())
+    fields = spans.flatten()
+    a = fields.field("a").to_numpy() + rows[row]
+    return raw, rows, K.covered(len(raw), a, a + fields.field("w").to_numpy() + length - 1)
+
+
 def _kept(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in (p for b in batches for p in K.slices(b, "text")):
-            raw, rows = K.utf8(piece.column("text"))
-            spans = piece.column("spans")
-            row = np.repeat(np.arange(len(piece)), spans.value_lengths().fill_null(0).to_numpy())
-            fields = spans.flatten()
-            a = fields.field("a").to_numpy() + rows[row]
-            cut = K.covered(len(raw), a, a + fields.field("w").to_numpy() + length - 1)
+            raw, rows, cut = _cut(piece, length)
             new = cut.copy()
             new[1:] &= ~cut[:-1]
             edges = rows[1:-1][rows[1:-1] < len(raw)]
@@ -270,9 +275,36 @@ def _kept(length: int):
     return run
 
 
+def _rewritten(length: int, columns: list[str]):
+    """The rows with what is left of their texts; a character that lost some of its bytes goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in (p for b in batches for p in K.slices(b, "text")):
+            raw, rows, cut = _cut(piece, length)
+            texts = piece.column("text").to_pylist()
+            gone = np.append(0, np.cumsum(cut))[rows]
+            for i in np.flatnonzero(np.diff(gone)):
+                part = slice(rows[i], rows[i + 1])
+                texts[i] = raw[part][~cut[part]].tobytes().decode(errors="ignore")
+            at = {c: pa.array(texts, pa.string()) if c == "text" else piece.column(c) for c in columns}
+            yield pa.record_batch(list(at.values()), list(at))
+
+    return run
+
+
+def _spans_by_row(docs: DataFrame, length: int) -> DataFrame:
+    return repeated_strings(docs, length).distinct().groupBy("key").agg(F.collect_list(F.struct("a", "w")).alias("spans"))
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Each row without the bytes of strings that also start earlier: doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
-    spans = repeated_strings(docs, length).distinct().groupBy("key").agg(F.collect_list(F.struct("a", "w")).alias("spans"))
-    cut = keyed(docs).join(spans, "key", "left").mapInArrow(
+    cut = keyed(docs).join(_spans_by_row(docs, length), "key", "left").mapInArrow(
         _kept(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.select(given_id(), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with shortened texts and all other columns as they are."""
+    marked = docs.withColumn("_cut_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    joined = marked.join(_spans_by_row(docs, length).withColumnRenamed("key", "_cut_key"), "_cut_key", "left").drop("_cut_key")
+    return joined.mapInArrow(_rewritten(length, docs.columns), docs.schema)

@@ -10,8 +10,8 @@ their first n - ceil(t * n) + k tokens share k of them at least. So:
    agree in those bits only keep a set longer, nothing else.
 2. *Classes.* Tokens in few sets are rare and index their set singly. Frequent tokens are dealt by
    hash into g classes, and what is indexed is each pair of frequent tokens of one class. With
-   prefixes longer by g, a similar pair shares a rare token or two frequent ones of one class, by
-   the pigeonhole principle. g grows with the set (about n / 12), so that a set of n frequent tokens
+   k = 1 + 2g, a similar pair shares more than g index keys, by the pigeonhole principle: all its rare
+   tokens, and of the others of each class all but one. g grows with the set (about n / 12), so that a set of n frequent tokens
    gives about n / 2 combinations, not n * n. Sets near a change of g are indexed under both.
 3. *Verify.* Equal sets are one node. Nodes that share many keys come into one block of bounded size
    (small families share blocks, large ones have several), each with its keys and its set. A task
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .scratch import NO_ID, keyed, settled
+from .scratch import NO_ID, keyed, settled, with_keys
 
 WORDS, PERCENT = 5, 75
 # A token in at least this many sets is frequent.
@@ -183,14 +183,19 @@ def _block_links(percent: int):
         lists = group.column("keys").combine_chunks()
         owner = np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy())
         keys = lists.flatten().to_numpy()
-        order = np.argsort(keys, kind="stable")
+        order = np.lexsort((keys, keys & 31))
         owner, keys = owner[order], keys[order]
+        levels = keys & 31
         bounds = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        meet = np.zeros((len(node), len(node)), bool)
+        meet, counts, level = np.zeros((len(node), len(node)), bool), np.zeros((len(node), len(node)), np.int32), -1
         for low, high in zip(bounds.tolist(), [*bounds[1:].tolist(), len(keys)]):
+            if int(levels[low]) != level:
+                meet |= counts >= 1 + (1 << max(level, 0))
+                counts[:], level = 0, int(levels[low])
             if high - low > 1:
                 some = owner[low:high]
-                meet[some[:, None], some[None, :]] = True
+                counts[some[:, None], some[None, :]] += 1
+        meet |= counts >= 1 + (1 << max(level, 0))
         if side.any():
             meet &= side[:, None] != side[None, :]
         tokens = group.column("tokens").combine_chunks()
@@ -224,21 +229,21 @@ def _classes(n: Column) -> Column:
 
 
 def _index(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """(k, node, n): index keys of each node."""
+    """(k, node): index keys of each node; a key's lowest five bits are log2 g."""
+    key = lambda *columns: F.xxhash64(*columns).bitwiseAND(F.lit(~31)).bitwiseOR(F.log2(F.col("g").cast("double")).cast("long"))
     least = F.floor(F.col("n") * percent / 100.0).cast("long")
     g = F.array_distinct(F.array(_classes(F.col("n")), _classes(least)))
-    size = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 + F.col("g"))
+    size = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 + 2 * F.col("g"))
     entries = sets.select("node", "n", "tokens", F.explode(g).alias("g")).select(
         "node", "n", "g", F.explode(F.slice("tokens", 1, size.cast("int"))).alias("token"))
-    sizes = entries.groupBy("g", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    sizes = settled(entries.groupBy("g", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "op4-df")
     entries = settled(entries.join(sizes, ["g", "token"]), "op4-entries")
-    # Frequency is a token's, not a (g, token)'s: both sides of a pair meet under one g, so either serves.
-    rare = entries.where(F.col("df") < frequent).select(F.xxhash64("g", "token").alias("k"), "node", "n")
+    rare = entries.where(F.col("df") < frequent).select(key("g", "token").alias("k"), "node")
     common = entries.where(F.col("df") >= frequent).groupBy("node", "n", "g", F.pmod("token", F.col("g")).alias("class")).agg(
         F.array_sort(F.collect_list("token")).alias("ts")).where("size(ts) > 1")
     first = common.select("*", F.posexplode("ts").alias("i", "one"))
     pairs = first.select("node", "n", "g", "one", F.explode(F.expr("slice(ts, i + 2, size(ts))")).alias("two"))
-    return settled(rare.unionByName(pairs.select(F.xxhash64("g", "one", "two").alias("k"), "node", "n")), "op4-index", entries)
+    return settled(rare.unionByName(pairs.select(key("g", "one", "two").alias("k"), "node")), "op4-index", entries)
 
 
 def _blocks(index: DataFrame, block_nodes: int) -> DataFrame:
@@ -250,9 +255,15 @@ def _blocks(index: DataFrame, block_nodes: int) -> DataFrame:
     families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
     sizes = settled(families.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "op4-sizes")
     shelves = F.lit(max(1, -(-families.count() // block_nodes)))
-    block = F.when(F.col("size") * 4 < block_nodes, F.pmod(F.xxhash64("root"), shelves)).otherwise(
-        F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block_nodes))))
-    return settled(families.join(sizes, "root").select("node", block.alias("block")), "op4-blocks", hubs, sizes)
+    large = F.col("size") * 4 >= block_nodes
+    parts = F.ceil(F.col("size") / block_nodes)
+    block = F.when(large, F.xxhash64("root", F.pmod(F.xxhash64("node"), parts))).otherwise(F.pmod(F.xxhash64("root"), shelves))
+    own = families.join(sizes, "root").select("node", block.alias("block"), F.lit(False).alias("guest"))
+    # The head of a family in several blocks is a guest in each: what is close to it is connected at once.
+    several = sizes.where(large & (parts > 1)).select("root", F.explode(F.sequence(F.lit(0), parts.cast("long") - 1)).alias("part"))
+    guests = several.select(F.col("root").alias("node"), F.xxhash64("root", "part").alias("block"))
+    guests = guests.join(own.where("block is not null").select("node", F.col("block").alias("home")), "node").where("block != home")
+    return settled(own.unionByName(guests.select("node", "block", F.lit(True).alias("guest"))), "op4-blocks", hubs, sizes)
 
 
 def _linked(sets: DataFrame, percent: int, frequent: int, block_nodes: int) -> DataFrame:
@@ -266,20 +277,21 @@ def _linked(sets: DataFrame, percent: int, frequent: int, block_nodes: int) -> D
     links = settled(rows.groupBy("block").applyInArrow(_block_links(percent), schema), "op4-links")
     roots = components(links, "op4-components")
     # Then between blocks, where a key still has nodes that are not connected.
-    labelled = index.select("k", "node").join(roots, "node", "left").join(blocks, "node").select("k", "node", "block", F.coalesce("root", "node").alias("label"))
+    home = blocks.where("not guest").select("node", "block")
+    labelled = index.join(roots, "node", "left").join(home, "node").select("k", "node", "block", F.coalesce("root", "node").alias("label"))
     labelled = settled(labelled, "op4-labelled", index)
     split = labelled.groupBy("k").agg((F.min("label") < F.max("label")).alias("open"), (F.min("block") < F.max("block")).alias("apart")).where("open and apart").select("k")
     still = settled(labelled.join(settled(split, "op4-split"), "k"), "op4-still", labelled)
     places = settled(still.groupBy("k", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), "op4-places")
-    one, two = (places.select("k", *[F.col(c).alias(f"{c}{i}") for c in ("block", "low", "high")]) for i in (1, 2))
-    pairs = one.join(two, "k").where("block1 < block2 and (low1 < high2 or low2 < high1)").select("block1", "block2").distinct()
-    pairs = settled(pairs, "op4-block-pairs", places)
-    held = settled(still.groupBy("block", "node", "label").agg(F.collect_set("k").alias("keys")), "op4-held", still)
-    held = held.join(sets.select("node", "tokens"), "node")
-    sides = [pairs.withColumnRenamed(f"block{i + 1}", "block").withColumnRenamed(f"block{2 - i}", "other").join(held, "block")
-             .select(*[(F.col("block") if j == i else F.col("other")).alias(f"block{j + 1}") for j in (0, 1)], "node", "label", F.lit(i).alias("side"), "keys", "tokens")
-             for i in (0, 1)]
-    across = sides[0].unionByName(sides[1]).groupBy("block1", "block2").applyInArrow(_block_links(percent), schema)
+    met = still.join(places.withColumnRenamed("block", "other"), "k").where("block != other and (low != label or high != label)")
+    # A similar pair shares more than g keys, so a node shares as many with the other's block.
+    met = met.groupBy("block", "other", "node", "label", F.col("k").bitwiseAND(F.lit(31)).alias("level")).agg(F.collect_set("k").alias("keys"))
+    met = met.where(F.size("keys") > F.pow(F.lit(2), F.col("level")))
+    met = met.groupBy("block", "other", "node", "label").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    sided = met.join(sets.select("node", "tokens"), "node").select(
+        F.least("block", "other").alias("block1"), F.greatest("block", "other").alias("block2"), "node", "label",
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "keys", "tokens")
+    across = sided.groupBy("block1", "block2").applyInArrow(_block_links(percent), schema)
     edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(settled(across, "op4-across"))
     return components(edges, "op4-components")
 
@@ -317,6 +329,5 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row of each component of ``docs``, the one of smallest doc_id, with all its columns. Rows without words all stay."""
-    kept = ngram_components(docs, **options).where("is_first").select(F.col("key").alias("_kept_key")).distinct()
-    marked = docs.withColumn("_kept_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    return marked.join(kept, "_kept_key", "left_semi").dropDuplicates(["_kept_key"]).drop("_kept_key")
+    kept = with_keys(docs, ngram_components(docs, **options).where("is_first"), "left_semi")
+    return kept.dropDuplicates([next(c for c in kept.columns if c not in docs.columns)]).select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import settled
+from .scratch import row_key, settled, with_keys
 
 PASSAGE, STRIDE = 64, 32
 DF_BITS = 20
@@ -232,7 +232,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
     """(doc_id, key, item_id, lcs_share, answer_share, cosine): benchmark items found in documents. key: xxhash64(doc_id, text)."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).alias("text")
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("key"), text)
+    rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), text)
     idf = idf_table(rows)
     blocks = max(1, -(-benchmark.count() // BLOCK) * 5 // 4)  # by hash, so with room to spare
     asked = benchmark.select(F.col("item_id").cast("long").alias("item"), text)
@@ -272,6 +272,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a leak, with all their columns."""
-    bad = leaks(docs, benchmark, **options).select(F.col("key").alias("_leak_key")).distinct()
-    marked = docs.withColumn("_leak_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    return marked.join(bad, "_leak_key", "left_anti").drop("_leak_key")
+    return with_keys(docs, leaks(docs, benchmark, **options), "left_anti").select(*docs.columns)

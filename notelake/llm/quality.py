@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import settled
+from .scratch import row_key, settled, with_keys
 
 BUCKET_BITS = 18
 LABELLED = 20_000
@@ -146,10 +146,6 @@ def gumbel_top_k(weighed: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return keys.where(F.col("key_value") >= _kth_largest(keys, k))
 
 
-def _row_key() -> Column:
-    return F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("key")
-
-
 def log_weights(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, labelled: int = LABELLED) -> tuple[DataFrame, float]:
     """(key, doc_id, log_weight) per row, and the threshold on log_weight."""
     spark = docs.sparkSession
@@ -158,7 +154,7 @@ def log_weights(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, lab
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     # Half of the labelled rows make the target model, the others the threshold.
     sample = settled(sample.select("doc_id", "quality", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).alias("fits")), "op10-labelled")
-    rows = docs.select("doc_id", _row_key(), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     # Bounded by ``labelled`` rows of four small numbers.
     marked = rows.join(F.broadcast(sample), "doc_id", "left")
     target = F.coalesce(F.col("fits") & (F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
@@ -181,7 +177,6 @@ def log_weights(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, lab
 
 def resampled(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, labelled: int = LABELLED, seed: int = 0) -> DataFrame:
     """The rows that importance resampling keeps: key, doc_id, log_weight, key_value."""
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     weighed, threshold = log_weights(docs, labels, bits, labelled)
     k = weighed.where(F.col("log_weight") >= threshold).count()
     return gumbel_top_k(weighed, k, seed)
@@ -189,6 +184,4 @@ def resampled(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, label
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = resampled(docs, labels, **options).select(F.col("key").alias("_kept_key")).distinct()
-    marked = docs.withColumn("_kept_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    return marked.join(kept, "_kept_key", "left_semi").drop("_kept_key")
+    return with_keys(docs, resampled(docs, labels, **options), "left_semi").select(*docs.columns)

@@ -49,3 +49,22 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
 
 def given_id() -> Column:
     return F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id")
+
+
+def row_key() -> Column:
+    """The key that ``keyed`` gives the row."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def with_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` semi- or anti-joined to the rows of ``keys`` (key), with all its columns."""
+    name = free_name(docs, "_row_key")
+    return docs.withColumn(name, row_key()).join(keys.select(F.col("key").alias(name)).distinct(), name, how)

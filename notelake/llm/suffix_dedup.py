@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import given_id, keyed, settled
+from .scratch import free_name, given_id, keyed, row_key, settled
 
 LENGTH, GRAM = 100, 32
 CROWD = 2048
@@ -182,7 +182,7 @@ def _portion_repeats(length: int, id_: np.ndarray, key: np.ndarray, a: np.ndarra
     new = np.ones(len(later), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (places[1:] > places[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(later)) - 1
+    last = np.append(first, len(later))[1:] - 1
     return pa.record_batch({"key": keys[first], "a": places[first].astype(np.int32), "w": (places[last] - places[first] + 1).astype(np.int32)})
 
 
@@ -248,10 +248,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cr
     return settled(found.unionByName(sorted_out).unionByName(crowded), "op9-repeated", judged, sorted_out, single, least)
 
 
-def _cut(piece: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all rows, the rows' first bytes, and which bytes go (rows: text, spans)."""
+def _cut(piece: pa.RecordBatch, length: int, spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all rows, the rows' first bytes, and which bytes go (rows: text)."""
     raw, rows = K.utf8(piece.column("text"))
-    spans = piece.column("spans")
     row = np.repeat(np.arange(len(piece)), spans.value_lengths().fill_null(0).to_numpy())
     fields = spans.flatten()
     a = fields.field("a").to_numpy() + rows[row]
@@ -261,7 +260,7 @@ def _cut(piece: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np
 def _kept(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in (p for b in batches for p in K.slices(b, "text")):
-            raw, rows, cut = _cut(piece, length)
+            raw, rows, cut = _cut(piece, length, piece.column("spans"))
             new = cut.copy()
             new[1:] &= ~cut[:-1]
             edges = rows[1:-1][rows[1:-1] < len(raw)]
@@ -275,12 +274,12 @@ def _kept(length: int):
     return run
 
 
-def _rewritten(length: int, columns: list[str]):
+def _rewritten(length: int, columns: list[str], spans: str):
     """The rows with what is left of their texts; a character that lost some of its bytes goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in (p for b in batches for p in K.slices(b, "text")):
-            raw, rows, cut = _cut(piece, length)
+            raw, rows, cut = _cut(piece, length, piece.column(spans))
             texts = piece.column("text").to_pylist()
             gone = np.append(0, np.cumsum(cut))[rows]
             for i in np.flatnonzero(np.diff(gone)):
@@ -305,6 +304,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with shortened texts and all other columns as they are."""
-    marked = docs.withColumn("_cut_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    joined = marked.join(_spans_by_row(docs, length).withColumnRenamed("key", "_cut_key"), "_cut_key", "left").drop("_cut_key")
-    return joined.mapInArrow(_rewritten(length, docs.columns), docs.schema)
+    key, spans = free_name(docs, "_row_key"), free_name(docs, "_spans")
+    cuts = _spans_by_row(docs, length).select(F.col("key").alias(key), F.col("spans").alias(spans))
+    joined = docs.withColumn(key, row_key()).join(cuts, key, "left").drop(key)
+    return joined.mapInArrow(_rewritten(length, docs.columns, spans), docs.schema)

@@ -230,6 +230,7 @@ ORACLES: dict[str, str] = {
  round(sqrt({_len('embedding')}), 4) as norm from E1""",
     "read_jsonl_memories": f"with {_E1} select role, category, text, created_at, {_TAGS} from E1",
     "read_memory_files": f"with {_LINES} select * from doc_lines",
+    "storage_size": "select sum(strlen(text) + 1)::bigint as bytes from documents",
     "export_json": f"""with {_E1} select id, role, category, to_json(struct_pack(id := id, role := role,
  category := category, text := text, tags := tags, created_at := created_at))::VARCHAR as json from E1""",
     "export_markdown": _MARKDOWN,

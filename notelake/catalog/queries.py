@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import text as X
-from ..functions.embed import embed_column
+from ..functions.embed import embed_column, hashed_words
 from ..functions.vectors import cosine
 from ..operators import aggregates, filters, lines, ordering, search, similarity
 from ..plans import dedup, merge
@@ -324,7 +324,7 @@ def merge_summary(spark, sf):
 @query
 def rebuild_embeddings(spark, sf):
     entries = fx.documents_as_entries(spark, sf).withColumn("had", F.col("embedding").isNotNull())
-    rebuilt = merge.rebuild_embeddings(entries)
+    rebuilt = merge.rebuild_embeddings(entries, hashed_words())
     return rebuilt.select(
         "id", "had", F.col("embedding").isNotNull().alias("has"), _dims(),
         F.when(F.col("had"), _vector_sum()).alias("vector_sum"),
@@ -371,7 +371,10 @@ def embedding_health(spark, sf):
 
 @query
 def storage_size(spark, sf):
-    return aggregates.storage_size(fx.table(spark, sf, "documents"))
+    """Bytes of a text table: every text and its line end."""
+    path = scratch_path(spark, "size")
+    fx.table(spark, sf, "documents").select("text").write.text(path)
+    return aggregates.storage_size(spark.read.text(path)).select("bytes")
 
 
 # --- ordered lines -------------------------------------------------------------------------------
@@ -466,7 +469,7 @@ def cosine_expression(spark, sf):
 
 @query
 def embed_documents(spark, sf):
-    e = embed_column(fx.table(spark, sf, "documents").select("doc_id", "text"))
+    e = embed_column(fx.table(spark, sf, "documents").select("doc_id", "text"), hashed_words())
     return e.select("doc_id", F.col("embedding").isNotNull().alias("has"), _dims())
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..session import spread_small
 
+# So many single texts refused in a row mean that the provider takes none.
+_REFUSALS = 32
 Embedder = Callable[[Sequence[str]], "Sequence[Sequence[float] | None] | None"]
 
 
@@ -29,28 +31,55 @@ def hashed_words(dims: int = 64) -> Embedder:
     return embed
 
 
+def tried(embed: Embedder, texts: list[str]) -> list:
+    """Vectors of all texts, None for those that fail. A whole provider that is down is given up after a few single texts."""
+    out: list = [None] * len(texts)
+    parts, refused = [(0, len(texts))], 0
+    while parts and refused < _REFUSALS:
+        low, high = parts.pop()
+        if low == high:
+            continue
+        try:
+            found = embed(texts[low:high])
+        except Exception:  # a broken provider must not fail the job
+            found = None
+        if found is not None and len(found) == high - low:
+            out[low:high] = list(found)
+            refused = 0
+        elif high - low > 1:
+            parts += [((low + high) // 2, high), (low, (low + high) // 2)]
+        else:
+            refused += 1
+    return out
+
+
 def embed_column(df: DataFrame, embed: Embedder | None = None, *, text: str = "text", out: str = "embedding") -> DataFrame:
     """Set ``out`` to the vector of ``text``.
 
     ``embed`` takes a batch of texts. If it fails, returns None or returns the wrong number of
-    vectors, the batch stays NULL and later operators fall back to text.
+    vectors, the batch is tried again in halves, so that only texts it cannot take stay NULL; later
+    operators fall back to text for those. Without a provider all vectors are NULL.
     """
-    embed = hashed_words() if embed is None else embed
+    if embed is None:
+        return df.withColumn(out, F.lit(None).cast("array<float>"))
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             known = batch.notna().to_numpy()
             result = pd.Series([None] * len(batch), dtype=object)
-            try:
-                found = embed(batch[known].tolist())
-            except Exception:  # a broken provider must not fail the job
-                found = None
-            if found is not None and len(found) == known.sum():
-                result[np.flatnonzero(known)] = pd.Series(
-                    [None if v is None else np.asarray(v, np.float32) for v in found],
-                    index=np.flatnonzero(known), dtype=object,
-                )
+            result[np.flatnonzero(known)] = pd.Series(
+                [None if v is None else np.asarray(v, np.float32) for v in tried(embed, batch[known].tolist())],
+                index=np.flatnonzero(known), dtype=object,
+            )
             yield result
 
     return spread_small(df).withColumn(out, vectors(F.col(text)))
+
+
+def embed_missing(df: DataFrame, embed: Embedder, *, text: str = "text") -> DataFrame:
+    """``embedding`` of rows that have none; the others keep theirs."""
+    if "embedding" not in df.columns:
+        return embed_column(df, embed, text=text)
+    asked = embed_column(df.withColumn("_ask", F.when(F.col("embedding").isNull(), F.col(text))), embed, text="_ask", out="_new")
+    return asked.withColumn("embedding", F.coalesce("embedding", "_new")).drop("_ask", "_new")

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.embed import Embedder
+from .functions.embed import Embedder, embed_missing, tried
 from .operators import aggregates, lines, ordering, search
 from .plans import dedup, merge
 from .plans.admission import admit_batch, admitted_rows
@@ -40,11 +40,16 @@ class NoteTable:
 
     def search(
         self, role: str, category: str, query: str, vector: Sequence[float] | None = None,
-        tag: str | None = None, limit: int | None = None,
+        tag: str | None = None, limit: int | None = None, *, embed: Embedder | None = None,
     ) -> DataFrame:
+        """Without a vector, ``embed`` gives the query's; if it fails, keywords decide."""
+        if vector is None and embed is not None:
+            (vector,) = tried(embed, [query])
         return search.hybrid_search(self.entries(role, category), role, category, query, vector, tag, limit)
 
-    def search_all(self, queries: DataFrame) -> DataFrame:
+    def search_all(self, queries: DataFrame, *, embed: Embedder | None = None) -> DataFrame:
+        if embed is not None:
+            queries = embed_missing(queries, embed, text="query")
         return search.batch_search(self.entries(), queries)
 
     def timeline(
@@ -79,8 +84,23 @@ class NoteTable:
     def _last_id(self) -> int:
         return self.entries().agg(F.max("id")).first()[0] or 0
 
-    def store(self, incoming: DataFrame, threshold: float = DEDUP_THRESHOLD) -> DataFrame:
-        """Admit a batch in ``id`` order, append what is new under new ids, return every verdict."""
+    def store(
+        self, incoming: DataFrame, threshold: float = DEDUP_THRESHOLD, *, embed: Embedder | None = None,
+        as_of: date | str | None = None,
+    ) -> DataFrame:
+        """Admit a batch in ``id`` order, append what is new under new ids, return every verdict.
+
+        ``as_of`` dates rows without ``created_at``, ``embed`` gives rows without one their vector.
+        """
+        if as_of is not None:
+            dated = F.col("created_at") if "created_at" in incoming.columns else F.lit(None)
+            incoming = incoming.withColumn("created_at", F.coalesce(dated.cast("string"), F.lit(str(as_of))))
+        elif "created_at" not in incoming.columns:
+            raise ValueError("rows without created_at need as_of")
+        if "embedding" not in incoming.columns:
+            incoming = incoming.withColumn("embedding", F.lit(None).cast("array<float>"))
+        if embed is not None:
+            incoming = materialize(embed_missing(incoming, embed), "embedded")
         verdict = materialize(admit_batch(incoming, self.entries(), threshold), "verdict")
         fresh = ordering.with_next_ids(admitted_rows(verdict), ["id"], self._last_id())
         table.append_entries(fresh, self.path)
@@ -118,10 +138,16 @@ class NoteTable:
         return summary
 
     def rebuild(self, embed: Embedder | None = None, *, dry_run: bool = False) -> DataFrame:
-        """Fill in missing vectors, rewriting only directories that lack some. Returns what was pending."""
+        """Fill in missing vectors, rewriting only directories that lack some.
+
+        Returns per group how many rows were pending, and after a run how many were filled and how many remain.
+        """
         pending = materialize(merge.rebuild_report(self.entries()), "pending")
-        if not dry_run and not pending.isEmpty():
+        if not dry_run and embed is not None and not pending.isEmpty():
             touched = self.entries().join(pending.select(*GROUP_KEYS), list(GROUP_KEYS), "left_semi")
             filled = materialize(merge.rebuild_embeddings(touched, embed), "rebuilt")
             table.replace_partitions(filled, self.path)
-        return pending
+            left = filled.where("embedding is null").groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("remaining"))
+            pending = pending.join(left, list(GROUP_KEYS), "left").withColumn("remaining", F.coalesce("remaining", F.lit(0)))
+            return pending.withColumn("filled", F.col("pending") - F.col("remaining"))
+        return pending.withColumn("remaining", F.col("pending")).withColumn("filled", F.lit(0).cast("bigint"))

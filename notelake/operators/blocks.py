@@ -175,7 +175,9 @@ def compare_sides(
     A right side measured to be small is shipped, so that a small batch meets a large table in one
     scan without a shuffle; its kernel output is per scanned batch. Otherwise both go to ``tiles``.
     """
-    volume = right.agg(F.sum(4 * F.size("embedding") + 256)).first()[0] or 0
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in right.dtypes if kind == "string"]
+    lists = [F.coalesce(F.octet_length(F.array_join(c, " ")), F.lit(0)) for c, kind in right.dtypes if kind == "array<string>"]
+    volume = right.agg(F.sum(sum([*strings, *lists], 4 * F.size("embedding") + 256))).first()[0] or 0
     if volume > BROADCAST_BYTES:
         return tiles().groupBy("_tile").applyInArrow(kernel, schema)
     shipped = left.sparkSession.sparkContext.broadcast(right.select(*left.columns).toArrow())

@@ -63,9 +63,9 @@ def semantic_search(
 
 def topk_similarity(entries: DataFrame, queries: DataFrame, k: int, threshold: float = SEARCH_THRESHOLD,
                     *, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Best ``k`` semantic hits per query: query_id, rank, id, similarity."""
+    """Best ``k`` semantic hits per query, all of them for k <= 0: query_id, rank, id, similarity."""
     hits = semantic_hits(entries, queries.withColumn("lim", F.lit(k)), threshold, block_rows=block_rows)
-    return _rank_capped(hits, [F.col("similarity").desc(), F.col("id")]).drop("lim")
+    return _rank(materialize(hits, "semantic-hits") if k <= 0 else hits, [F.col("similarity").desc(), F.col("id")], "topk-ranks")
 
 
 def semantic_hits(
@@ -186,9 +186,9 @@ def hybrid_search(
     """
     rows = filter_tag(filter_role_category(entries, role, category), tag)
     if vector is not None:
-        hits = semantic_search(rows, vector)
+        hits = materialize(semantic_search(rows, vector), "semantic-hits")
         if not hits.isEmpty():
-            best = _capped(hits, limit).join(rows.select("id", *GROUP_KEYS, "text"), ["id", *GROUP_KEYS])
+            best = _capped(hits.orderBy(F.col("similarity").desc(), "id"), limit).join(rows.select("id", *GROUP_KEYS, "text"), ["id", *GROUP_KEYS])
             return best.select(
                 "id", F.lit("semantic").alias("mode"), "similarity", F.lit(None).cast("int").alias("score"), "text"
             ).orderBy(F.col("similarity").desc(), "id")

@@ -155,7 +155,7 @@ def first_match(
     """Per incoming row with a match: the smallest matching stored id and its similarity.
 
     A tile yields at most one line per incoming row, however many stored copies match it. With
-    ``miss``, two large sides only compare rows sharing a signature (see :func:`similarity_join_lsh`).
+    ``miss``, rows are only compared if they share a signature (see :func:`similarity_join_lsh`), at any size.
     """
     left, right = _vector_rows(stored, keys), _vector_rows(incoming, keys)
     left = only_groups_of(left, right, keys)
@@ -167,10 +167,10 @@ def first_match(
         return cross_tiles(*sides, plan_blocks(sides, [*keys, *BUCKET], block_rows))
 
     banded = miss is not None
-    hits = compare_sides(
-        left, right, keys, kernels.first_match_kernel(list(keys), threshold, strict, older_only, banded),
-        f"{key_ddl(keys)}, id bigint, match_id bigint, similarity double", tiles,
-    )
+    kernel = kernels.first_match_kernel(list(keys), threshold, strict, older_only, banded)
+    schema = f"{key_ddl(keys)}, id bigint, match_id bigint, similarity double"
+    # The argument alone decides between exact and signatures, not the size of a side.
+    hits = tiles().groupBy("_tile").applyInArrow(kernel, schema) if banded else compare_sides(left, right, keys, kernel, schema, tiles)
     return hits.groupBy(*keys, "id").agg(
         F.min("match_id").alias("match_id"), F.min_by("similarity", "match_id").alias("similarity")
     )
@@ -185,7 +185,10 @@ def cross_similarity_join(
 
 def anti_join_existing(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Incoming rows whose exact (role, category, text) is not stored yet."""
-    # Digests keep whole texts out of the shuffle of the stored table.
-    known = stored.select(*GROUP_KEYS, X.digest(F.col("text")).alias("_t")).distinct()
+    # Only the import's groups are read, digests keep whole texts out of the shuffle, and of the stored
+    # ones only those that the import asks for go on.
+    keys = [*GROUP_KEYS, "_t"]
     probe = incoming.withColumn("_t", X.digest(F.col("text")))
-    return probe.join(known, [*GROUP_KEYS, "_t"], "left_anti").drop("_t")
+    known = only_groups_of(stored, incoming, GROUP_KEYS).select(*GROUP_KEYS, X.digest(F.col("text")).alias("_t"))
+    known = known.join(probe.select(*keys).distinct(), keys, "left_semi").distinct()
+    return probe.join(known, keys, "left_anti").drop("_t")

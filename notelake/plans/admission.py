@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.blocks import BLOCK_ROWS
+from ..operators.blocks import BLOCK_ROWS, only_groups_of
 from ..operators.filters import validate_entries
 from ..operators.similarity import first_match
 from ..schema import DEDUP_THRESHOLD, GROUP_KEYS
@@ -39,7 +39,10 @@ def admit_batch(
     by_vector = _vector_conflicts(vectors, stored, threshold, block_rows, miss)
     bare = valid.where("embedding is null").select(*GROUP_KEYS, "id", X.text_key(F.col("text")).alias("_h"))
     admitted_vectors = vectors.join(by_vector, [*GROUP_KEYS, "id"], "left_anti")
-    conflicts = materialize(by_vector.unionByName(_text_conflicts(bare, admitted_vectors, stored)), "conflicts")
+    # Stored texts only matter where a row has nothing but its text, and only in the groups of such rows.
+    if not bare.isEmpty():
+        by_vector = by_vector.unionByName(_text_conflicts(bare, admitted_vectors, only_groups_of(stored, bare, GROUP_KEYS)))
+    conflicts = materialize(by_vector, "conflicts")
     verdict = checked.join(conflicts, [*GROUP_KEYS, "id"], "left").withColumn(
         "reason", F.coalesce("reject_reason", F.when(F.col("conflict_id").isNotNull(), "duplicate"))
     )
@@ -86,8 +89,9 @@ def _with_conflict_text(verdict: DataFrame, conflicts: DataFrame, incoming: Data
         for df, source in ((stored, STORED), (incoming, BATCH))
     ]
     named = [*GROUP_KEYS, "conflict_source", "conflict_id"]
-    # Only texts that are reported travel further than the semi-join.
+    # Only texts that are reported travel further than the semi-join, and only their groups are read.
     wanted = conflicts.select(*named).distinct()
+    texts[0] = only_groups_of(texts[0], conflicts.where(F.col("conflict_source") == STORED), GROUP_KEYS)
     known = texts[0].unionByName(texts[1]).join(wanted, named, "left_semi")
     return verdict.join(known, named, "left")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.blocks import BLOCK_ROWS
+from ..operators.blocks import BLOCK_ROWS, only_groups_of
 from ..schema import DEDUP_THRESHOLD, GROUP_KEYS
 from ..session import materialize, spread_small
 from .first_wins import resolve_first_wins
@@ -54,7 +54,8 @@ def _with_texts(found: DataFrame, entries: DataFrame) -> DataFrame:
     found = materialize(found, "duplicates")
     named = [found.select(*GROUP_KEYS, F.col(c).alias("id")) for c in ("keep_id", "remove_id")]
     wanted = named[0].unionByName(named[1]).distinct()
-    texts = materialize(entries.select(*GROUP_KEYS, "id", "text").join(wanted, [*GROUP_KEYS, "id"], "left_semi"), "texts")
+    named_only = only_groups_of(entries.select(*GROUP_KEYS, "id", "text"), found, GROUP_KEYS)
+    texts = materialize(named_only.join(wanted, [*GROUP_KEYS, "id"], "left_semi"), "texts")
     for side in ("keep", "remove"):
         renamed = texts.withColumnsRenamed({"id": f"{side}_id", "text": f"{side}_text"})
         found = found.join(renamed, [*GROUP_KEYS, f"{side}_id"])

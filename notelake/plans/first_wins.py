@@ -50,13 +50,16 @@ def resolve_first_wins(
     """Removed rows with their keeper: keys, ``keep_id``, ``remove_id``, ``similarity``.
 
     ``rows``: keys, ``id``, ``embedding`` and ``_h``, the text key (NULL where text never matters).
-    ``miss`` lets groups above ``block_rows`` compare only rows that share a signature, at that chance
-    of missing a pair at the threshold; the keeper is then the smallest one seen. The default is exact.
+    With ``miss``, rows are only compared if they share a signature, whatever the size of their group, at
+    that chance of missing a pair at the threshold; the keeper is then the smallest one seen. The default
+    is exact.
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
     keys = list(keys)
     rows = rows.select(*keys, "id", "embedding", "_h")
+    if miss is not None:
+        return _resolve_large(materialize(rows, "signature-rows"), keys, threshold, strict, block_rows, local_edges, neighbours, miss)
     plan = plan_blocks([rows], keys, block_rows)
     removed = _walk_small(small_only(rows, plan), plan, threshold, strict)
     if plan.large is None:
@@ -122,6 +125,9 @@ def _resolve_large(rows, keys, threshold, strict, block_rows, local_edges, neigh
 
 def _resolve_representatives(reps, keys, threshold, strict, block_rows, local_edges, neighbours, miss) -> DataFrame:
     """Groups that folding made small are walked at once; the rest go through match lists."""
+    if miss is not None:
+        edges, status = _decide(reps, keys, threshold, strict, block_rows, local_edges, neighbours, miss)
+        return _keepers(reps, edges, status, keys, threshold, strict, block_rows, miss)
     plan = plan_blocks([reps], keys, block_rows)
     if plan.large is None:
         return _walk_small(reps, plan, threshold, strict)

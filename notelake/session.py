@@ -28,6 +28,8 @@ def build_session(app: str = "notelake", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+        # Admission streams keep every text they have seen; that does not fit on a heap.
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     if master:
         builder = builder.master(master)

@@ -7,7 +7,7 @@ are the document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.filters import filter_role_category
@@ -18,10 +18,16 @@ _TITLE, _BODY, _END = 0, 1, 2
 _HEADER, _BLANK, _ITEM = 0, 1, 2
 
 
+def _record_columns() -> list[Column]:
+    """The record's fields; no tags are an empty list, since JSON leaves NULL fields out."""
+    no_tags = F.array().cast("array<string>")
+    return [F.coalesce("tags", no_tags).alias("tags") if c == "tags" else F.col(c) for c in RECORD_COLUMNS]
+
+
 def export_json(entries: DataFrame, role: str | None = None, category: str | None = None) -> DataFrame:
     """Records as JSON objects, with the columns that order them."""
     rows = filter_role_category(entries, role, category)
-    return rows.select("role", "category", "created_at", "id", F.to_json(F.struct(*RECORD_COLUMNS)).alias("json"))
+    return rows.select("role", "category", "created_at", "id", F.to_json(F.struct(*_record_columns())).alias("json"))
 
 
 def export_markdown(entries: DataFrame, role: str | None = None, category: str | None = None) -> DataFrame:
@@ -75,5 +81,5 @@ def write_documents(lines: DataFrame, path: str) -> None:
 def write_json(entries: DataFrame, path: str) -> None:
     """JSON-lines sink in export order, one folder per role."""
     order = ("role", "category", "created_at", "id")
-    rows = entries.select(*RECORD_COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = entries.select(*_record_columns()).repartitionByRange(*order).sortWithinPartitions(*order)
     rows.write.partitionBy("role").json(path)

@@ -23,15 +23,24 @@ _STRICT = {"allowSingleQuotes": "false"}
 OK, BLANK, MALFORMED, NO_TEXT, UNPLACED = "ok", "blank", "malformed", "no_text", "unplaced"
 
 
+def _root_path(spark: SparkSession, root: str) -> str:
+    """The root's absolute path within its file system, however it was spelled."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.makeQualified(folder).toUri().getPath().rstrip("/")
+
+
 def _relative(path: Column, root: str) -> Column:
-    root = root.rstrip("/")
-    return F.substring(path, F.instr(path, root) + F.lit(len(root) + 1), F.lit(1 << 20))
+    """What follows ``root`` (an absolute path) in a file's URI; a file elsewhere is an error."""
+    plain = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    elsewhere = F.raise_error(F.concat(F.lit(f"not below {root}: "), path)).cast("string")
+    return F.when(F.startswith(plain, F.lit(root + "/")), F.substring(plain, F.lit(len(root) + 2), F.lit(1 << 20))).otherwise(elsewhere)
 
 
 def list_jsonl_files(spark: SparkSession, root: str) -> DataFrame:
     """Every ``.jsonl`` file below ``root``, empty ones included: path, role, category."""
     found = list_files(spark, root, _GLOB, deep=True)
-    files = found.select(_relative(F.col("path"), root).alias("path"))
+    files = found.select(_relative(F.col("path"), _root_path(spark, root)).alias("path"))
     return _placed(files).select("path", *GROUP_KEYS).distinct()
 
 
@@ -56,7 +65,7 @@ def read_jsonl_lines(spark: SparkSession, root: str, as_of: date | str) -> DataF
         .option("pathGlobFilter", _GLOB)
         .text(root)
         .select(
-            _relative(decoded(F.col("_metadata.file_path")), root).alias("path"),
+            _relative(decoded(F.col("_metadata.file_path")), _root_path(spark, root)).alias("path"),
             F.struct(
                 F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("start"),
                 F.monotonically_increasing_id().alias("line"),
@@ -102,7 +111,9 @@ def write_jsonl_tree(entries: DataFrame, root: str, order: str = "id") -> None:
     spark = entries.sparkSession
     staging = scratch_path(spark, "jsonl")
     rows = entries.select(*GROUP_KEYS, F.to_json(F.struct("text", "tags", "created_at")).alias("value"), order)
-    rows = rows.hint("rebalance", *GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS, order).drop(order)
+    # Ranges, not a rebalance: part files of a group that several tasks write follow each other in order,
+    # and the reading order decides which record is the first.
+    rows = rows.repartitionByRange(*GROUP_KEYS, order).sortWithinPartitions(*GROUP_KEYS, order).drop(order)
     rows.write.partitionBy(*GROUP_KEYS).text(staging)
     Path = spark._jvm.org.apache.hadoop.fs.Path
     files = Path(staging).getFileSystem(spark._jsc.hadoopConfiguration())

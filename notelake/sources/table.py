@@ -30,7 +30,8 @@ def scan_entries(
 def to_stored(entries: DataFrame) -> DataFrame:
     """Full column set with the derived ``has_embedding`` and ``norm``."""
     columns = {f.name: F.col(f.name).cast(f.dataType) for f in ENTRIES.fields if f.name in entries.columns}
-    columns.setdefault("tags", F.array().cast("array<string>"))
+    no_tags = F.array().cast("array<string>")
+    columns["tags"] = F.coalesce(columns["tags"], no_tags) if "tags" in columns else no_tags
     columns["has_embedding"] = F.col("embedding").isNotNull()
     columns["norm"] = norm(F.col("embedding"))
     return entries.select(*[columns[f.name].alias(f.name) for f in STORED.fields])

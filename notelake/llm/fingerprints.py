@@ -12,6 +12,8 @@ windows over blocks of ``BLOCK`` ids; a block's last document takes its successo
 block's head, and only heads, one per block, are ever ordered as a whole. Everything from there to the
 samples stays in one stage, since all groupings keep the block.
 
+Weights saturate at 2**20 - 1 occurrences of one word.
+
 Defined results: null text counts as empty; texts without words have one common fingerprint; rows
 without doc_id come first in descending order; rows of equal doc_id are ordered by a hash of the
 text, repeated rows stay; a single row is its own successor; other columns are ignored; an empty
@@ -27,21 +29,24 @@ from .scratch import given_id, keyed, settled
 
 SAMPLES = 64
 BLOCK = 1024
+_COUNT = (1 << 20) - 1
+
 
+def _uniform(seed: int, salt: int, shift: int) -> str:
+    """A number between 0 and 1 from one half of a hash of the word."""
+    return f"((shiftrightunsigned(xxhash64(word, {seed * 4 + salt}), {shift}) & 4294967295) + 0.5D) / 4294967296.0D"
 
-def _uniforms(word: Column, seed: int, salt: int) -> tuple[Column, Column]:
-    """Two numbers between 0 and 1 from the halves of one hash."""
-    h = F.xxhash64(word, F.lit(seed * 4 + salt))
-    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
-    return (low + 0.5) / float(1 << 32), (high + 0.5) / float(1 << 32)
 
+def _least_values(seed: int) -> list[Column]:
+    """The smallest value of the words that occur once, for which t is 0, and of the others.
 
-def _value(word: Column, log_weight: Column, seed: int) -> Column:
-    one, two = _uniforms(word, seed, 0)
-    three, four = _uniforms(word, seed, 1)
-    b, _ = _uniforms(word, seed, 2)
-    r = -F.ln(one * two)
-    return F.ln(-F.ln(three * four)) - r * (F.floor(log_weight / r + b) - b + 1)
+    Both are computed from t in the same steps, so that equal t give equal values whatever the weights.
+    """
+    r, b = f"-ln({_uniform(seed, 0, 0)} * {_uniform(seed, 0, 32)})", _uniform(seed, 2, 0)
+    log_c = f"ln(-ln({_uniform(seed, 1, 0)} * {_uniform(seed, 1, 32)}))"
+    once = f"min({log_c} - ({r}) * (0 - {b} + 1)) FILTER (WHERE times = 1)"
+    often = f"min({log_c} - ({r}) * (floor(log_times / ({r}) + {b}) - {b} + 1)) FILTER (WHERE times > 1)"
+    return [F.expr(once).alias(f"once{seed}"), F.expr(often).alias(f"often{seed}")]
 
 
 def _with_successor(docs: DataFrame, block: int) -> DataFrame:
@@ -60,13 +65,22 @@ def _with_successor(docs: DataFrame, block: int) -> DataFrame:
         F.coalesce("next_key", "head_key").alias("next_key"), F.coalesce("next_text", "head_text").alias("next_text"))
 
 
-def _word_counts(text: Column) -> tuple[Column, Column]:
-    """Hashes of all words, ascending; and, over them, (place of a word's first, its count) for each distinct word."""
+def _sorted_hashes(text: Column) -> Column:
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashes = F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
-    h = F.col("hashes")
-    firsts = F.filter(F.transform(h, lambda x, i: F.when((i == 0) | (x != F.get(h, i - 1)), i)), lambda i: i.isNotNull())
-    return hashes, firsts
+    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def _firsts(hashes: str) -> Column:
+    """Place of each distinct word's first hash."""
+    h = F.col(hashes)
+    return F.filter(F.transform(h, lambda x, i: F.when((i == 0) | (x != F.get(h, i - 1)), i)), lambda i: i.isNotNull())
+
+
+def _weighted(hashes: str, firsts: str) -> Column:
+    """Each distinct word with its count, in one number: 44 bits of its hash, 20 of the count."""
+    h, f = F.col(hashes), F.col(firsts)
+    count = lambda at, i: F.least(F.coalesce(F.get(f, i + 1), F.size(h)) - at, F.lit(_COUNT)).cast("long")
+    return F.transform(f, lambda at, i: F.get(h, at).bitwiseAND(F.lit(~_COUNT)).bitwiseOR(count(at, i)))
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, block: int = BLOCK) -> DataFrame:
@@ -76,21 +90,24 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, block: int = BLOCK) ->
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
+    keep = ["block", "nth", "id", "key", "next_key", "n_chars", "edited_sha256"]
     rows = rows.select("block", "nth", "id", "key", "next_key", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    rows = rows.select(*[c for c in rows.columns if c not in ("text", "edited")], F.sha2("edited", 256).alias("edited_sha256"),
-                       F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("view"))
-    keep = ["block", "nth", "id", "key", "next_key", "n_chars", "edited_sha256", "side"]
-    hashes, firsts = _word_counts(F.col("text"))
-    rows = rows.select(*keep[:-1], "view.side", F.col("view.text").alias("text")).select(*keep, hashes.alias("hashes"))
-    rows = rows.select(*keep, "hashes", firsts.alias("firsts"))
-    rows = rows.select(*keep, "hashes", "firsts", F.posexplode_outer("firsts").alias("at", "first"))
-    count = F.coalesce(F.get("firsts", F.col("at") + 1), F.size("hashes")) - F.col("first")
-    rows = rows.select(*keep, F.get("hashes", F.col("first")).alias("word"), F.ln(count.cast("double")).alias("log_weight"))
-    drawn = rows.groupBy(*keep).agg(*[F.min(_value(F.col("word"), F.col("log_weight"), k)).alias(f"v{k}") for k in range(samples)])
+    rows = rows.select(*keep[:-1], F.sha2("edited", 256).alias("edited_sha256"), *[_sorted_hashes(F.col(c)).alias(c) for c in ("text", "edited")])
+    rows = rows.select("*", *[_firsts(c).alias(f"{c}_firsts") for c in ("text", "edited")])
+    rows = rows.select(*keep, *[_weighted(c, f"{c}_firsts").alias(c) for c in ("text", "edited")])
+    # Words of equal count on both sides have one value: they are drawn once.
+    parts = (F.array_except("text", "edited"), F.array_except("edited", "text"), F.array_intersect("text", "edited"))
+    rows = rows.select(*keep, F.posexplode(F.array(*parts)).alias("part", "words"))
+    rows = rows.select(*keep, "part", F.explode_outer("words").alias("word"))
+    times = F.col("word").bitwiseAND(F.lit(_COUNT))
+    rows = rows.select(*keep, "part", F.col("word").bitwiseAND(F.lit(~_COUNT)).alias("word"), times.alias("times"), F.ln(times.cast("double")).alias("log_times"))
+    drawn = rows.groupBy(*keep, "part").agg(*[v for k in range(samples) for v in _least_values(k)])
+    drawn = drawn.select(*keep, "part", F.array(*[F.least(f"once{k}", f"often{k}") for k in range(samples)]).alias("values"))
+    drawn = drawn.groupBy(*keep).agg(*[F.max(F.when(F.col("part") == i, F.col("values"))).alias(f"part{i}") for i in range(3)])
+    least = lambda i: F.zip_with(f"part{i}", "part2", lambda x, y: F.least(x, y))
     # A sample's code; without words there is no value, and no word's code is likely to be that of none.
-    codes = F.array(*[F.xxhash64(f"v{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(samples)])
-    sides = drawn.select(*keep, codes.alias("codes")).groupBy(*keep[:-1]).agg(
-        *[F.max(F.when(F.col("side") == i, F.col("codes"))).alias(name) for i, name in enumerate(("own", "changed"))])
+    codes = lambda values: F.transform(values, lambda v: F.xxhash64(v).bitwiseAND(F.lit(0xFFFFFFFF)))
+    sides = drawn.select(*keep, codes(least(0)).alias("own"), codes(least(1)).alias("changed"))
     sides = settled(sides.drop("block", "nth"), "op5-samples")
     others = sides.groupBy("key").agg(F.max("own").alias("other")).withColumnRenamed("key", "next_key")
     both = sides.join(settled(others, "op5-others"), "next_key")

@@ -283,14 +283,18 @@ def _linked(sets: DataFrame, percent: int, frequent: int, block_nodes: int) -> D
     split = labelled.groupBy("k").agg((F.min("label") < F.max("label")).alias("open"), (F.min("block") < F.max("block")).alias("apart")).where("open and apart").select("k")
     still = settled(labelled.join(settled(split, "op4-split"), "k"), "op4-still", labelled)
     places = settled(still.groupBy("k", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), "op4-places")
-    met = still.join(places.withColumnRenamed("block", "other"), "k").where("block != other and (low != label or high != label)")
-    # A similar pair shares more than g keys, so a node shares as many with the other's block.
-    met = met.groupBy("block", "other", "node", "label", F.col("k").bitwiseAND(F.lit(31)).alias("level")).agg(F.collect_set("k").alias("keys"))
-    met = met.where(F.size("keys") > F.pow(F.lit(2), F.col("level")))
-    met = met.groupBy("block", "other", "node", "label").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-    sided = met.join(sets.select("node", "tokens"), "node").select(
-        F.least("block", "other").alias("block1"), F.greatest("block", "other").alias("block2"), "node", "label",
-        (F.col("block") > F.col("other")).cast("int").alias("side"), "keys", "tokens")
+    # A similar pair shares more than g keys, so its blocks do. Blocks meet here, not nodes.
+    level = F.col("k").bitwiseAND(F.lit(31)).alias("level")
+    one, two = (places.select("k", *[F.col(c).alias(f"{c}{i}") for c in ("block", "low", "high")]) for i in (1, 2))
+    pairs = one.join(two, "k").where("block1 < block2 and (low1 < high2 or low2 < high1)").groupBy("block1", "block2", level).agg(F.count(F.lit(1)).alias("n"))
+    pairs = settled(pairs.where(F.col("n") > F.pow(F.lit(2), F.col("level"))).select("block1", "block2").distinct(), "op4-block-pairs", places)
+    held = still.groupBy("block", "node", "label").agg(F.collect_set("k").alias("keys")).join(sets.select("node", "tokens"), "node")
+    held = settled(held, "op4-held", still)
+    sides = [
+        pairs.withColumn("block", F.col(f"block{i + 1}")).join(held, "block").select("block1", "block2", "node", "label", F.lit(i).alias("side"), "keys", "tokens")
+        for i in (0, 1)
+    ]
+    sided = sides[0].unionByName(sides[1])
     across = sided.groupBy("block1", "block2").applyInArrow(_block_links(percent), schema)
     edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(settled(across, "op4-across"))
     return components(edges, "op4-components")

@@ -1,26 +1,26 @@
-"""Benchmark decontamination by latent semantic retrieval.
-
-1. Document frequencies of hashed words over all documents give IDF weights; words in over a tenth
-   of the documents are stop words and weigh nothing.
-2. The benchmark comes in blocks of ``BLOCK`` items. The TF-IDF passages of a block span a latent
-   space, found by a distributed randomised SVD: the range of A'A is sampled with random vectors and
-   sharpened by power iterations, each one job that adds up what the partitions give.
-3. Every document is read in passages of 64 words, one starting every 32. A passage whose cosine to
-   an item in the latent space reaches ``COSINE`` is a candidate; the passage's norm counts all its
-   words, also those no item has.
-4. Candidates are decided on the words around the passage: the longest common subsequence of content
-   words, as a share of the item's. From ``VERBATIM`` on it is a leak; from ``PARAPHRASE`` on it is one
-   if the item's answer (the content words of its last third) is there, too.
-
-What is sent to executors is bounded: the IDF table, and per block the vectors of its words and items.
-
-Defined results: null texts and items have no words and never match; an item without content words is
-compared on all its words; repeated documents and items give repeated rows; other columns are ignored; an empty
-table gives no rows.
+"""Benchmark decontamination: passages that could hold an item, decided on common subsequences.
+
+1. Document frequencies of hashed words over all documents give weights: ``CONTENT`` for a word, 1 for
+   one in over a tenth of the documents. Documents are counted by what follows the word, in ``FOLLOWERS``
+   groups, and each group counts as the smallest does: a passage that many documents carry does not
+   make its words frequent, since they are followed by the same words there. No word weighs nothing.
+2. The benchmark comes in blocks of ``BLOCK`` items. Every document is read in passages of 64 words,
+   one starting every 32, each with as many words on either side as the item has. The weight of the
+   item's words in there is at least that of any common subsequence, so the passages where it reaches
+   ``PARAPHRASE`` of the item's weight are all that step 3 could accept.
+3. Candidates are decided on the longest common subsequence, its weight as a share of the item's. From
+   ``VERBATIM`` on it is a leak; from ``PARAPHRASE`` on it is one if the item's answer (its last third,
+   by weight) is there, too.
+
+What is sent to executors is bounded: the weight table, and per block its words and items.
+
+Defined results: null texts and items have no words and never match; repeated documents and items give
+repeated rows; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +34,11 @@ from .scratch import row_key, settled, with_keys
 PASSAGE, STRIDE = 64, 32
 DF_BITS = 20
 STOP_SHARE = 0.1
+FOLLOWERS = 4
+CONTENT = 4
+# In the search, frequent words of up to this share of an item are taken as present.
+GIVEN = 0.25
 BLOCK = 256
-OVERSAMPLE, POWER = 8, 2
-COSINE = 0.25
 VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.5, 0.6
 _ITEMS = "item long, words array<long>"
 _SUMMERS = 4
@@ -51,13 +53,16 @@ def _words(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per partition: documents per hashed word, and documents."""
-    df, n = np.zeros(1 << DF_BITS, np.int64), 0
+    """One row per partition: documents per hashed word and group of the word after its first place, and documents."""
+    df, n = np.zeros(FOLLOWERS << DF_BITS, np.int64), 0
     for piece in (p for b in batches for p in K.slices(b, "text")):
         words, rows = _words(piece)
         row = np.repeat(np.arange(len(piece)), np.diff(rows))
-        once = np.unique((words >> np.uint64(64 - DF_BITS)).astype(np.int64) | row << DF_BITS)
-        df += np.bincount(once & (1 << DF_BITS) - 1, minlength=len(df))
+        _, first = np.unique((words >> np.uint64(64 - DF_BITS)).astype(np.int64) | row << DF_BITS, return_index=True)
+        after = np.append(words[1:], np.uint64(0))
+        after[rows[1:][np.diff(rows) > 0] - 1] = 0
+        group = (after[first] % np.uint64(FOLLOWERS)).astype(np.int64)
+        df += np.bincount((words[first] >> np.uint64(64 - DF_BITS)).astype(np.int64) * FOLLOWERS + group, minlength=len(df))
         n += len(piece)
     yield pa.record_batch({"df": pa.array([df.astype(np.uint32).tobytes()], pa.binary()), "n": [n]})
 
@@ -86,13 +91,17 @@ def _summed(parts: DataFrame, name: str, kind: type) -> tuple[np.ndarray | None,
     return (np.sum(arrays, axis=0) if arrays else None), int(sum(rows.column("n").to_pylist()))
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """IDF per hashed word; 0 for stop words."""
+def word_weights(docs: DataFrame) -> np.ndarray:
+    """Weight per hashed word: 1 if over a tenth of the documents have it, whatever follows, else ``CONTENT``."""
     df, n = _summed(docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_frequencies, "df binary, n long"), "df", np.uint32)
     if df is None or not n:
-        return np.ones(1 << DF_BITS, np.float32)
-    df = df.astype(np.float64)
-    return np.where(df > max(STOP_SHARE * n, 2), 0.0, np.log((1.0 + n) / (1.0 + df))).astype(np.float32)
+        return np.full(1 << DF_BITS, CONTENT, np.uint8)
+    even = df.reshape(-1, FOLLOWERS).min(axis=1).astype(np.int64) * FOLLOWERS
+    return np.where(even > max(STOP_SHARE * n, 2), 1, CONTENT).astype(np.uint8)
+
+
+def _weights_of(words: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[(words >> np.uint64(64 - DF_BITS)).astype(np.int64)]
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,10 +111,10 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """The content words of a block of items, numbered."""
+    """The words a block of items is searched by, numbered."""
 
-    def __init__(self, hashes: np.ndarray, weights: np.ndarray):
-        self.hashes, self.weights = hashes, weights
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
         self._known = np.zeros(1 << 20, bool)
         self._known[(hashes >> np.uint64(44)).astype(np.int64)] = True
 
@@ -120,38 +129,27 @@ class Vocabulary:
         return out
 
 
-def _projected(vocabulary: Vocabulary, basis: np.ndarray, kind: str):
-    """Partial sums over the passages a (rows: words): of a'(a basis), or of (a basis)'(a basis)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(basis.shape if kind == "range" else (basis.shape[1],) * 2), 0
-        for batch in batches:
-            for words in batch.column("words"):
-                number = vocabulary.number(words.values.to_numpy().view(np.uint64))
-                number, times = np.unique(number[number >= 0], return_counts=True)
-                a = times * vocabulary.weights[number]
-                a = a / max(np.linalg.norm(a), 1e-12)
-                y = a @ basis[number]
-                if kind == "range":
-                    total[number] += a[:, None] * y
-                else:
-                    total += y[:, None] * y
-                n += 1
-        yield pa.record_batch({"part": pa.array([total.tobytes()], pa.binary()), "n": [n]})
-
-    return run
-
-
-def latent_basis(items: DataFrame, vocabulary: Vocabulary, rank: int, seed: int = 0) -> np.ndarray:
-    """Right singular vectors (words x rank) of the items' TF-IDF matrix, by randomised subspace iteration."""
-    width = min(rank + OVERSAMPLE, len(vocabulary.hashes))
-    basis = np.random.default_rng(seed).standard_normal((len(vocabulary.hashes), width))
-    total = lambda kind: _summed(items.mapInArrow(_projected(vocabulary, basis, kind), "part binary, n long"), "part", np.float64)[0]
-    for _ in range(1 + POWER):
-        basis, _ = np.linalg.qr(total("range").reshape(basis.shape))
-    values, turn = np.linalg.eigh(total("gram").reshape(basis.shape[1], -1))
-    best = np.argsort(values)[::-1][:rank]
-    return (basis @ turn[:, best[values[best] > 1e-9]]).astype(np.float32)
+def searched_by(items: list[np.ndarray], table: np.ndarray) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """The vocabulary, its words' weights per item (words x items), and the weight a passage needs per item.
+
+    An item is searched by its words but some frequent ones: these weigh ``GIVEN`` of the item at the most and are
+    taken off what the passage needs, as if it had them all.
+    """
+    entries, need = [], np.zeros(len(items), np.float32)
+    for j, words in enumerate(items):
+        weights = _weights_of(words, table).astype(np.int64)
+        distinct, place = np.unique(words, return_inverse=True)
+        held = np.bincount(place, weights).astype(np.int64)
+        frequent = np.flatnonzero(_weights_of(distinct, table) == 1)
+        frequent = frequent[np.argsort(-held[frequent], kind="stable")]
+        given = frequent[np.cumsum(held[frequent]) <= GIVEN * weights.sum()]
+        entries.append(np.delete(distinct, given))
+        need[j] = PARAPHRASE * weights.sum() - held[given].sum()
+    hashes = np.unique(np.concatenate(entries))
+    per_item = np.zeros((len(hashes), len(items)), np.float32)
+    for j, words in enumerate(entries):
+        per_item[np.searchsorted(hashes, words), j] = _weights_of(words, table)
+    return Vocabulary(hashes), per_item, need
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -167,58 +165,78 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - state.bit_count()
 
 
-def _judged(item: list, answer: set, around: list) -> tuple[float, float]:
-    """Share of the item's words in common order, share of its answer's words present."""
-    share = lcs_length(item, around) / len(item)
-    return share, len(answer & set(around)) / max(len(answer), 1)
+class Item:
+    """What a passage is judged by."""
+
+    def __init__(self, words: np.ndarray, table: np.ndarray):
+        weights = _weights_of(words, table)
+        # A word counts as often as it weighs, so that the longest common subsequence is the heaviest one.
+        self.run = np.repeat(words, weights).tolist()
+        self.weights = dict(zip(words.tolist(), weights.tolist()))
+        self.counts = Counter(words.tolist())
+        self.answer = set(words[-max(1, len(words) // 3):].tolist())
+        self.answer_weight = sum(self.weights[w] for w in self.answer)
+        self.norm = np.sqrt(sum((n * self.weights[w]) ** 2 for w, n in self.counts.items()))
+
+    def judged(self, around: list) -> tuple[float, float]:
+        """Share of the item's weight in common order, share of its answer's weight present."""
+        own = [w for w in around if w in self.weights]
+        share = lcs_length(self.run, [w for w in own for _ in range(self.weights[w])]) / len(self.run)
+        return share, sum(self.weights[w] for w in self.answer.intersection(own)) / self.answer_weight
 
+    def cosine(self, passage: np.ndarray, table: np.ndarray) -> float:
+        words, times = np.unique(passage, return_counts=True)
+        norm = np.sqrt(((times * _weights_of(words, table).astype(np.float64)) ** 2).sum())
+        dot = sum(n * self.counts.get(w, 0) * self.weights.get(w, 0) ** 2 for w, n in zip(words.tolist(), times.tolist()))
+        return float(dot / (norm * self.norm))
 
-def _search(shared, cosine: float):
+
+def _search(shared):
     """Candidates and their judgement for all documents (rows: doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, vocabulary, basis, latent, items = shared.value
-        contents = [[w for w in words if idf[w >> 64 - DF_BITS] > 0] or words for words in (x.tolist() for x in items)]
-        # Without content words an item's own words stand in, and nothing is skipped around the passage.
-        plain = [not any(idf[w >> 64 - DF_BITS] > 0 for w in words.tolist()) for words in items]
-        answers = [set(c[-max(1, len(c) // 3):]) for c in contents]
+        table, vocabulary, per_item, need, words_of = shared.value
+        items = [Item(words, table) for words in words_of]
+        reach = np.array([len(words) for words in words_of])
+        # Passages and their surroundings in blocks of STRIDE words: a passage is two blocks.
+        sides = -(-reach // STRIDE)
+        alike = [(int(side), np.flatnonzero(sides == side)) for side in np.unique(sides)]
         for piece in (p for b in batches for p in K.slices(b, "text")):
             words, rows = _words(piece)
             out: dict[tuple[int, int], tuple[float, float, float]] = {}
-            if len(words):
-                weight = idf[(words >> np.uint64(64 - DF_BITS)).astype(np.int64)]
-                number = vocabulary.number(words)
-                number[weight == 0] = -1
-                energy = np.append(0.0, np.cumsum(weight.astype(np.float64) ** 2))
-                known = np.append(0.0, np.cumsum(np.where(number >= 0, weight, 0).astype(np.float64) ** 2))
-                sizes = np.diff(rows)
-                each = np.where(sizes > 0, np.maximum(1, -(-(sizes - STRIDE) // STRIDE)), 0)
-                row = np.repeat(np.arange(len(piece)), each)
-                start = rows[row] + K.ranges(np.zeros(len(each), np.int64), each) * STRIDE
-                stop = np.minimum(start + PASSAGE, rows[row + 1])
-                norm = np.sqrt(energy[stop] - energy[start])
-                # A cosine is at most the share that known words have; repeated words can raise it, hence the slack.
-                near = np.flatnonzero((known[stop] - known[start]) * 4 >= (cosine * norm) ** 2 * (norm > 0) + 1e-9)
-                for at in range(0, len(near), 2048):
-                    some = near[at:at + 2048]
-                    sums = np.zeros((len(some), basis.shape[1]), np.float32)
-                    places = K.ranges(start[some], stop[some] - start[some])
-                    owner = np.repeat(np.arange(len(some)), stop[some] - start[some])
-                    hit = number[places] >= 0
-                    places, owner = places[hit], owner[hit]
-                    firsts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
-                    if len(owner):
-                        sums[owner[firsts]] = np.add.reduceat(basis[number[places]] * weight[places, None], firsts, axis=0)
-                    likeness = sums @ latent.T / np.maximum(norm[some], 1e-9)[:, None]
-                    for i, j in zip(*np.nonzero(likeness >= cosine)):
-                        r, reach = row[some[i]], len(items[j])
-                        low, high = max(rows[r], start[some[i]] - reach), min(rows[r + 1], stop[some[i]] + reach)
-                        around = words[low:high]
-                        around = (around if plain[j] else around[weight[low:high] > 0]).tolist()
-                        share, answer = _judged(contents[j], answers[j], around)
+            sizes = np.diff(rows)
+            blocks = -(-sizes // STRIDE)
+            first = np.append(0, np.cumsum(blocks))
+            each = np.where(sizes > 0, np.maximum(1, blocks - 1), 0)
+            row = np.repeat(np.arange(len(piece)), each)
+            block = K.ranges(first[:-1], each)
+            number = vocabulary.number(words)
+            places = np.flatnonzero(number >= 0)
+            owner = np.searchsorted(rows, places, "right") - 1
+            held_by = first[owner] + (places - rows[owner]) // STRIDE
+            for at in range(0, len(block), 1024):
+                some, of = block[at:at + 1024], row[at:at + 1024]
+                low, high = max(0, some[0] - sides.max()), min(first[-1], some[-1] + 2 + sides.max())
+                a, b = np.searchsorted(held_by, [low, high])
+                if a == b:
+                    continue
+                # sums[k]: weight per item before block low + k.
+                sums = np.zeros((high - low + 1, len(items)), np.float32)
+                heads = np.flatnonzero(np.append(True, held_by[a + 1:b] != held_by[a:b - 1]))
+                sums[held_by[a:b][heads] - low + 1] = np.add.reduceat(per_item[number[places[a:b]]], heads, axis=0)
+                np.cumsum(sums, axis=0, out=sums)
+                for side, same in alike:
+                    start, stop = np.maximum(some - side, first[of]) - low, np.minimum(some + 2 + side, first[of + 1]) - low
+                    enough = sums[np.ix_(stop, same)] - sums[np.ix_(start, same)] >= need[same]
+                    for i, k in zip(*np.nonzero(enough)):
+                        r, j = int(of[i]), int(same[k])
+                        begin = rows[r] + (some[i] - first[r]) * STRIDE
+                        end = min(begin + PASSAGE, rows[r + 1])
+                        around = words[max(rows[r], begin - reach[j]):min(rows[r + 1], end + reach[j])]
+                        share, answer = items[j].judged(around.tolist())
                         if share >= VERBATIM or share >= PARAPHRASE and answer >= ANSWER:
                             have = out.get((r, j), (0.0, 0.0, 0.0))
-                            out[r, j] = max(have, (share, answer, float(likeness[i, j])))
+                            out[r, j] = max(have, (share, answer, items[j].cosine(words[begin:end], table)))
             found = list(out)
             yield pa.record_batch({
                 "doc_id": piece.column("doc_id").take(pa.array([r for r, _ in found], pa.int64())), "key": piece.column("key").take(pa.array([r for r, _ in found], pa.int64())),
@@ -228,12 +246,12 @@ def _search(shared, cosine: float):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = BLOCK) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, key, item_id, lcs_share, answer_share, cosine): benchmark items found in documents. key: xxhash64(doc_id, text)."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), text)
-    idf = idf_table(rows)
+    table = word_weights(rows)
     blocks = max(1, -(-benchmark.count() // BLOCK) * 5 // 4)  # by hash, so with room to spare
     asked = benchmark.select(F.col("item_id").cast("long").alias("item"), text)
     asked = asked.mapInArrow(_item_words, _ITEMS).where(F.size("words") > 0)
@@ -246,21 +264,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
         items = [np.array(x, np.int64).view(np.uint64) for x in held.column("words").to_pylist()]
         if not items:
             continue
-        hashes = np.unique(np.concatenate(items))
-        weights = idf[(hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)]
-        # Stop words stay out, unless an item has nothing else.
-        lone = np.concatenate([np.zeros(0, np.uint64), *[x for x in items if not (idf[(x >> np.uint64(64 - DF_BITS)).astype(np.int64)] > 0).any()]])
-        kept = (weights > 0) | np.isin(hashes, lone)
-        vocabulary = Vocabulary(hashes[kept], np.where(weights > 0, weights, 1.0)[kept].astype(np.float64))
-        basis = latent_basis(part, vocabulary, rank)
-        latent = np.zeros((len(items), basis.shape[1]), np.float32)
-        for i, words in enumerate(items):
-            number = vocabulary.number(words)
-            number, times = np.unique(number[number >= 0], return_counts=True)
-            a = times * vocabulary.weights[number]
-            latent[i] = a @ basis[number] / max(np.linalg.norm(a), 1e-12)
-        shared = spark.sparkContext.broadcast((idf, vocabulary, basis, latent, items))
-        hits = rows.mapInArrow(_search(shared, cosine), "doc_id long, key long, item long, lcs_share double, answer_share double, cosine double")
+        shared = spark.sparkContext.broadcast((table, *searched_by(items, table), items))
+        hits = rows.mapInArrow(_search(shared), "doc_id long, key long, item long, lcs_share double, answer_share double, cosine double")
         names = spark.createDataFrame(list(enumerate(ids)), "item long, item_id long")  # at most a block
         hits = settled(hits.join(F.broadcast(names), "item").drop("item"), "op6-hits")
         found = hits if found is None else found.unionByName(hits)
@@ -270,6 +275,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
     return found.select("doc_id", "key", "item_id", "lcs_share", "answer_share", "cosine")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak, with all their columns."""
-    return with_keys(docs, leaks(docs, benchmark, **options), "left_anti").select(*docs.columns)
+    return with_keys(docs, leaks(docs, benchmark), "left_anti").select(*docs.columns)

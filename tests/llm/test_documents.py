@@ -97,6 +97,32 @@ def test_leaks_of_empty_tables(spark, documents, leak_case):
     assert leaks(documents(docs), benchmark.limit(0)).count() == 0
 
 
+def test_leaks_in_large_groups(spark, documents):
+    """An item in half of all documents, one whose words are in all of them, and a document copied to a third of the rows, with a passage and a paraphrase."""
+    rnd = random.Random(11)
+    often, stops, copied = prose(rnd, 30, "often"), " ".join(f"stop{k}" for k in range(8)), prose(rnd, 40, "copied")
+    told = [f"told{k}" for k in range(20)]
+    items = [(1, often), (2, stops), (3, copied), (4, " ".join(told))]
+    docs, want = [], set()
+    # Of item 4 the last third and a third of the others are left.
+    told = [w if k % 3 == 0 or k > 13 else f"other{k}" for k, w in enumerate(told)]
+    copy = f"{prose(rnd, 50)} {copied} {prose(rnd, 20)} {' '.join(told)}"
+    for k in range(90):
+        # Every document has the words of item 2, in an order that is not the item's.
+        words = [*reversed(stops.split()), *prose(rnd, rnd.randint(10, 150)).split()]
+        if k % 2:
+            words[30:30] = often.split()
+            want.add((k, 1))
+        if k % 9 == 0:
+            words += stops.split()
+            want.add((k, 2))
+        docs.append((k, " ".join(words)))
+    docs += [(100 + k, copy) for k in range(45)]
+    want |= {(100 + k, i) for k in range(45) for i in (3, 4)}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(documents(docs), benchmark).collect()} == want
+
+
 def test_quality_filter_on_held_out_rows(spark, documents):
     rnd = random.Random(4)
     docs, labels = [(None, "w1 w2"), (2000, None), (2001, "")], []

@@ -5,7 +5,12 @@ of the labelled rows, and of the raw text, all rows. A row's log weight is the s
 log(target share / raw share). Adding Gumbel noise and keeping the k largest keys samples k rows
 without replacement in proportion to their weights. Noise comes from a hash of the row, so a run can
 be repeated. k is the number of rows whose weight passes the threshold that best tells good from bad
-labelled rows that the model has not seen.
+labelled rows that the model has not seen; good is a row of quality 1 that is not toxic.
+
+Toxic rows have a ratio of their own, as a few words tell them and a long clean text would outweigh
+these in a sum. An n-gram's log odds compare the shares of toxic and clean labelled rows that have it; a
+row's toxicity is the largest among its n-grams. Rows over the threshold that best tells toxic from
+clean labelled rows that this model has not seen have no weight in the target: they are not drawn.
 
 Both models are arrays of fixed size; each partition adds up its own, and a fixed number of tasks
 add up those. ``LABELLED`` bounds the labelled rows used for fitting (those with the smallest id
@@ -13,7 +18,7 @@ hashes); the raw model, the weights and the selection cover all rows.
 
 Defined results: null and empty texts have weight 0; labels without quality are ignored, toxic ones
 are no target, a doc_id labelled twice counts by its lowest quality; without good or without bad
-labelled rows all rows stay; repeated rows have one key and stay or go together, so ties at the k-th
+labelled rows the weights keep all rows, without toxic or without clean ones the toxicity does; repeated rows have one key and stay or go together, so ties at the k-th
 key all stay; other columns are carried along; an empty table gives no rows.
 """
 
@@ -31,6 +36,8 @@ from .scratch import row_key, settled, with_keys
 
 BUCKET_BITS = 18
 LABELLED = 20_000
+# Toxic labelled rows that an n-gram must be in to count.
+TOXIC_ROWS = 3
 _SUMMERS = 4
 _ROW = 1 << 40  # place of the summing step's noise in 64-bit hashes
 
@@ -93,15 +100,48 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({n: pa.array([v.tobytes()], pa.binary()) for n, v in total.items()})
 
 
-def _weighed(log_ratio, bits: int):
-    """``log_ratio``: a broadcast array. Adds log_weight to the rows."""
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's distinct n-grams (rows: text, toxic)."""
+    for piece in (p for b in batches for p in K.slices(b, "text")):
+        ngrams, bounds = ngram_buckets(piece, 64)
+        toxic = piece.column("toxic").to_numpy(zero_copy_only=False)
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            once = np.unique(ngrams[a:b])
+            yield pa.record_batch({"ngram": once, "toxic": pa.array(np.full(len(once), toxic[i], np.int64))})
+
+
+def toxic_odds(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams, sorted, that are in a larger share of the toxic than of the clean rows, and their log odds (rows: text, toxic; labelled ones)."""
+    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not counts.get(0) or not counts.get(1):
+        return np.zeros(0, np.int64), np.zeros(0)
+    held = rows.mapInArrow(_distinct, "ngram long, toxic long").groupBy("ngram").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    odds = lambda have, of: F.log((have + 0.5) / (of - have + 0.5))
+    # Bounded by the n-grams of ``labelled`` rows.
+    held = held.where(F.col("toxic") >= TOXIC_ROWS).select("ngram", (odds(F.col("toxic"), counts[1]) - odds(F.col("n") - F.col("toxic"), counts[0])).alias("odds"))
+    found = held.where("odds > 0").orderBy("ngram").toArrow()
+    return found.column("ngram").to_numpy(), found.column("odds").to_numpy()
+
+
+def _weighed(shared, bits: int):
+    """``shared``: broadcast log ratios by bucket, n-grams of toxic rows and their odds. Adds log_weight and toxicity to the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = log_ratio.value
+        ratio, ngrams, odds = shared.value
+        maybe = np.zeros(1 << 20, bool)
+        maybe[(ngrams.view(np.uint64) >> np.uint64(44)).astype(np.int64)] = True
         for piece in (p for b in batches for p in K.slices(b, "text")):
-            buckets, bounds = ngram_buckets(piece, bits)
-            sums = np.append(0.0, np.cumsum(ratio[buckets]))
-            yield pa.record_batch({"key": piece.column("key"), "doc_id": piece.column("doc_id"), "log_weight": sums[bounds[1:]] - sums[bounds[:-1]]})
+            hashes, bounds = ngram_buckets(piece, 64)
+            hashes = hashes.view(np.uint64)
+            sums = np.append(0.0, np.cumsum(ratio[(hashes >> np.uint64(64 - bits)).astype(np.int64)]))
+            toxicity = np.zeros(len(piece))
+            if len(ngrams):
+                places = np.flatnonzero(maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+                some = hashes[places].view(np.int64)
+                at = np.minimum(np.searchsorted(ngrams, some), len(ngrams) - 1)
+                same = ngrams[at] == some
+                np.maximum.at(toxicity, np.searchsorted(bounds, places[same], "right") - 1, odds[at[same]])
+            yield pa.record_batch({"key": piece.column("key"), "doc_id": piece.column("doc_id"), "log_weight": sums[bounds[1:]] - sums[bounds[:-1]], "toxicity": toxicity})
 
     return run
 
@@ -147,7 +187,7 @@ def gumbel_top_k(weighed: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 
 def log_weights(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, labelled: int = LABELLED) -> tuple[DataFrame, float]:
-    """(key, doc_id, log_weight) per row, and the threshold on log_weight."""
+    """(key, doc_id, log_weight) per row that is not toxic, and the threshold on log_weight."""
     spark = docs.sparkSession
     sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
@@ -167,12 +207,17 @@ def log_weights(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, lab
     # Add-one smoothing; without any target row the models are equal.
     share = lambda counts: (counts + 1.0) / (counts.sum() + len(counts))
     ratio = np.log(share(aim) / share(raw)) if aim.sum() else np.zeros(1 << bits)
-    spread = spark.sparkContext.broadcast(ratio)
-    weighed = settled(rows.mapInArrow(_weighed(spread, bits), "key long, doc_id long, log_weight double"), "op10-weights")
-    seen = weighed.join(F.broadcast(sample.where("not fits")), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.max("quality").alias("q"))
+    fitted = rows.join(F.broadcast(sample.where("fits")), "doc_id").select("text", (F.col("toxic") > 0).cast("long").alias("toxic"))
+    spread = spark.sparkContext.broadcast((ratio, *toxic_odds(fitted)))
+    weighed = settled(rows.mapInArrow(_weighed(spread, bits), "key long, doc_id long, log_weight double, toxicity double"), "op10-weights")
+    seen = weighed.join(F.broadcast(sample.where("not fits")), "doc_id").groupBy("doc_id").agg(
+        F.min("log_weight").alias("w"), F.max("toxicity").alias("t"), F.max("quality").alias("q"), F.max("toxic").alias("toxic"))
     seen = seen.toArrow()
-    weights, good = seen.column("w").to_numpy(), seen.column("q").to_numpy() == 1
-    return weighed, _threshold(weights[good], weights[~good])
+    weights, toxicity, toxic = seen.column("w").to_numpy(), seen.column("t").to_numpy(), seen.column("toxic").to_numpy() > 0
+    least = _threshold(-toxicity[~toxic], -toxicity[toxic])
+    passed, good = -toxicity >= least, (seen.column("q").to_numpy() == 1) & ~toxic
+    weighed = weighed.where(-F.col("toxicity") >= least).drop("toxicity")
+    return weighed, _threshold(weights[passed & good], weights[passed & ~good])
 
 
 def resampled(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, labelled: int = LABELLED, seed: int = 0) -> DataFrame:

@@ -143,6 +143,28 @@ def test_quality_filter_on_held_out_rows(spark, documents):
     assert resampled(documents([]).limit(0), labels).count() == 0
 
 
+def test_toxic_rows_go_from_long_clean_texts(spark, documents):
+    rnd = random.Random(6)
+    docs, labels, toxic = [], [], set()
+    for k in range(900):
+        words = prose(rnd, rnd.randint(20, 120) if k % 7 else 2000).split()
+        if k % 3 == 0:
+            words = [w + "$$" for w in words]
+        elif k % 5 == 0:
+            toxic.add(k)
+            for _ in range(2):
+                words.insert(rnd.randint(0, len(words)), rnd.choice(["scum", "moron"]))
+        docs.append((k, " ".join(words)))
+        if k < 600:
+            labels.append((k, int(k % 3 > 0), int(k in toxic)))
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    ids = {r.doc_id for r in quality_filter(documents(docs), labels).collect()}
+    held_out = set(range(600, 900))
+    clean = {k for k in held_out if k % 3} - toxic
+    assert len(held_out & toxic) > 30 and not ids & held_out & toxic
+    assert len(ids & clean) >= 0.98 * len(clean)
+
+
 def test_gumbel_top_k(spark):
     rows = spark.range(2000).select(F.col("id").alias("key"), F.log(1.0 + F.col("id") % 4).alias("log_weight"))
     kept = gumbel_top_k(rows, 300)

@@ -6,13 +6,14 @@ prefix. A backward search from the end then takes the paths in order: the score
 far plus the forward score of the place it starts at is exactly the score of the best path through it,
 so A* with this heuristic opens nothing in vain (``Lattice.nbest``).
 
-Pieces hold a space only as their first character and never a line feed, so the lattice of a long text
-falls apart into chunks at those places. Chunks are remembered by hash; new ones go through the forward
+Pieces hold spaces only in front and never a line feed, so the lattice of a long text falls apart into
+chunks there: a run of spaces and the word after it are one. Chunks are remembered by hash; new ones go through the forward
 pass together, as arrays, keeping the two best scores per place. The n best paths of a text differ from
 its best path in the n - 1 chunks of smallest loss at most, so only these are searched backwards.
 
-Pieces of several spaces, whose scores rule them out, are left out. A character that is no piece falls
-back to its bytes' pieces at ``UNKNOWN_LOSS`` below the lowest score.
+A character that is no piece falls back to its bytes' pieces at ``UNKNOWN_LOSS`` below the lowest
+score. So do pieces of spaces alone, one or several, whose scores only bar them: of a run of spaces the
+fewest pieces are the best.
 
 Defined results: null text counts as empty and is one piece, the space in front; equal scores come in
 a fixed order, longer last pieces first; fewer than n rows where there are fewer paths; repeated rows
@@ -58,9 +59,10 @@ class Lattice:
                 self.byte_ids[self.bytes_of[i][0]] = i
             elif not (read.is_control(i) or read.is_unknown(i) or read.is_unused(i)):
                 self.bytes_of[i] = piece.replace("▁", " ").encode()
-                if "▁" not in piece[1:] and "\n" not in piece:
-                    self.pieces[self.bytes_of[i]] = i, read.get_score(i)
-        # Scores that only bar a piece (the space alone has one) count as unknown characters do.
+                if "▁" in piece.lstrip("▁") or "\n" in piece:
+                    raise ValueError(f"a piece with a space or a line feed inside: {piece!r}")
+                self.pieces[self.bytes_of[i]] = i, read.get_score(i)
+        # Scores that only bar a piece (those of spaces alone have one) count as unknown characters do.
         self.unknown = min(s for _, s in self.pieces.values() if s > _BARRED) - UNKNOWN_LOSS
         self.pieces = {p: (i, max(s, self.unknown)) for p, (i, s) in self.pieces.items()}
         self.longest = max(len(p.decode()) for p in self.pieces)
@@ -108,12 +110,13 @@ class Lattice:
         for here in ending[1:]:
             forward.append(max(forward[i] + s for i, _, s in here))
         end = len(ending) - 1
-        # (-(suffix + forward), order of entry, place, suffix score, pieces after the place as a chain)
-        heap: list = [(-forward[end], 0, end, 0.0, None)]
+        # (-(suffix + forward), place, order of entry, suffix score, pieces after the place as a chain): of
+        # equal paths the one that is furthest, or a long run of spaces opens all its equal paths at once.
+        heap: list = [(-forward[end], end, 0, 0.0, None)]
         out: list[tuple[float, list[int]]] = []
         entered = 0
         while heap and len(out) < n:
-            _, _, place, suffix, chain = heapq.heappop(heap)
+            _, place, _, suffix, chain = heapq.heappop(heap)
             if place == 0:
                 ids: list[int] = []
                 while chain is not None:
@@ -123,7 +126,7 @@ class Lattice:
                 continue
             for i, piece, s in ending[place]:
                 entered += 1
-                heapq.heappush(heap, (-(suffix + s + forward[i]), entered, i, suffix + s, (piece, chain)))
+                heapq.heappush(heap, (-(suffix + s + forward[i]), i, entered, suffix + s, (piece, chain)))
         return out
 
     def _two_best(self, chunk: bytes) -> tuple[list[int], float, float]:
@@ -223,9 +226,11 @@ def _chunked(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(offsets) - 1
     spaced = np.insert(raw, offsets[:-1], 0x20)
     rows = offsets + np.arange(n + 1)
-    line = spaced == 0x0A
-    cut = (spaced == 0x20) | line
+    line, space = spaced == 0x0A, spaced == 0x20
+    cut = space | line
+    cut[1:] &= ~(space[1:] & space[:-1])
     cut[1:] |= line[:-1]
+    cut[rows[:-1]] = True
     return spaced, rows, np.flatnonzero(cut)
 
 

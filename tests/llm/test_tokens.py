@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
+sentencepiece = pytest.importorskip("sentencepiece")
 
 from notelake.llm.chunks import encoder, texts_of, token_bounds  # noqa: E402
 from notelake.llm.edited_counts import ChunkTree, _byte_edits, edited_token_counts, edited_total  # noqa: E402
@@ -101,6 +102,43 @@ def test_nbest_paths(n):
         assert all(pieces.decode(ids).decode() == text for _, ids in found)
 
 
+def test_runs_of_spaces():
+    """Against a lattice of all the model's pieces, built from id_to_piece and get_score alone."""
+    read = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    usual = [i for i in range(read.get_piece_size()) if not (read.is_byte(i) or read.is_control(i) or read.is_unknown(i) or read.is_unused(i))]
+    scores = {read.id_to_piece(i): (i, read.get_score(i)) for i in usual}
+    barred = min(s for _, s in scores.values() if s > -1e8) - 10
+
+    def best(text, n):
+        marked = "▁" + text.replace(" ", "▁")
+        paths = [[(0.0, ())]]
+        for j in range(1, len(marked) + 1):
+            arcs = [(i, *scores[marked[i:j]]) for i in range(j) if marked[i:j] in scores]
+            if all(i < j - 1 for i, _, _ in arcs):
+                byte_ids = [k for b in marked[j - 1].encode() for k in range(read.get_piece_size()) if read.is_byte(k) and read.id_to_piece(k) == f"<0x{b:02X}>"]
+                paths.append(sorted(((s + max(t, barred), (*ids, k)) for i, k, t in arcs for s, ids in paths[i]), reverse=True))
+                paths[j] += [(s + barred, (*ids, *byte_ids)) for s, ids in paths[j - 1]]
+            else:
+                paths.append([(s + max(t, barred), (*ids, k)) for i, k, t in arcs for s, ids in paths[i]])
+            # Of equal paths all but those past 4,000 are kept.
+            paths[j] = sorted(paths[j], key=lambda p: -p[0])[:4000]
+        return paths[-1]
+
+    pieces = lattice(PIECES)
+    some = [f"a{' ' * k}b" for k in range(2, 21)] + [" " * k + "return x" for k in (1, 2, 3, 4, 8, 16, 20)] + ["a   ", "   ", "if x:\n        y  = 1\n\n    z", "é   日  ü"]
+    for text, found in zip(some, segmented(pa.array(some), pieces, 3)):
+        want = best(text, 3)
+        ids_of = {ids: s for s, ids in want}
+        assert [s for s, _ in found] == [s for s, _ in want[:3]], text
+        assert all(ids_of.get(tuple(ids.tolist()), s) == s for s, ids in found)
+        assert len({tuple(ids.tolist()) for _, ids in found}) == len(found)
+        assert all(pieces.decode(ids).decode() == text for _, ids in found)
+    (long,) = segmented(pa.array(["a" + " " * 3000 + "b"]), pieces, 3)
+    assert len(long) == 3 and pieces.decode(long[0][1]).decode() == "a" + " " * 3000 + "b"
+    (first,) = segmented(pa.array(["a   b"]), pieces, 1)
+    assert [read.id_to_piece(i) for i in first[0][1].tolist()] == ["▁a", "▁▁", "▁b"]
+
+
 def test_nbest_documents_round_trip(documents, hard_pairs):
     encoded = nbest_encode(documents(hard_pairs), PIECES, n=2)
     assert sorted(r.text for r in decode_ids(encoded.where("rank = 1"), PIECES).collect()) == sorted(t or "" for _, t in hard_pairs)

@@ -123,6 +123,29 @@ def test_leaks_in_large_groups(spark, documents):
     assert {(r.doc_id, r.item_id) for r in leaks(documents(docs), benchmark).collect()} == want
 
 
+def test_every_passage_that_the_judgement_accepts(spark, documents):
+    """Paraphrases that keep 50 to 60 % of the words of items of any length, the shortest among them; all that brute force accepts is found."""
+    rnd = random.Random(12)
+    items = [(k, " ".join(f"p{k}x{j}" for j in range(n))) for k, n in enumerate([6, 8, 10, 12, 15, 20, 40, 90, 200])]
+    docs, want = [], set()
+    for k in range(len(items) * 12):
+        item, text = items[k % len(items)]
+        text = text.split()
+        n = len(text)
+        # The last third stays, and of the others as many as make 50 to 60 %, or less than half.
+        keep = -(-n * (50 + k % 11) // 100) if k % 4 else -(-n // 2) - 1
+        rest = n - max(1, n // 3)
+        stays = set(rnd.sample(range(rest), keep - (n - rest))) | set(range(rest, n))
+        words = prose(rnd, 150, vocabulary=3000).split()
+        at = rnd.randint(0, 150)
+        words[at:at] = [w if j in stays else f"other{rnd.randint(0, 999)}" for j, w in enumerate(text)]
+        docs.append((k, " ".join(words)))
+        if k % 4:
+            want.add((k, item))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(documents(docs), benchmark).collect()} == want
+
+
 def test_quality_filter_on_held_out_rows(spark, documents):
     rnd = random.Random(4)
     docs, labels = [(None, "w1 w2"), (2000, None), (2001, "")], []

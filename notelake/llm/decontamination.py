@@ -165,6 +165,10 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - state.bit_count()
 
 
+def _leak(share: float, answer: float) -> bool:
+    return share >= VERBATIM or share >= PARAPHRASE and answer >= ANSWER
+
+
 class Item:
     """What a passage is judged by."""
 
@@ -178,11 +182,17 @@ class Item:
         self.answer_weight = sum(self.weights[w] for w in self.answer)
         self.norm = np.sqrt(sum((n * self.weights[w]) ** 2 for w, n in self.counts.items()))
 
-    def judged(self, around: list) -> tuple[float, float]:
-        """Share of the item's weight in common order, share of its answer's weight present."""
+    def judged(self, around: list) -> tuple[float, float] | None:
+        """Share of the item's weight in common order, share of its answer's weight present; None if that is no leak."""
         own = [w for w in around if w in self.weights]
+        there = Counter(own)
+        answer = sum(self.weights[w] for w in self.answer if w in there) / self.answer_weight
+        # A common subsequence has each word as often as both sides do at the most.
+        most = sum(min(n, self.counts[w]) * self.weights[w] for w, n in there.items()) / len(self.run)
+        if not _leak(most, answer):
+            return None
         share = lcs_length(self.run, [w for w in own for _ in range(self.weights[w])]) / len(self.run)
-        return share, sum(self.weights[w] for w in self.answer.intersection(own)) / self.answer_weight
+        return (share, answer) if _leak(share, answer) else None
 
     def cosine(self, passage: np.ndarray, table: np.ndarray) -> float:
         words, times = np.unique(passage, return_counts=True)
@@ -233,10 +243,10 @@ def _search(shared):
                         begin = rows[r] + (some[i] - first[r]) * STRIDE
                         end = min(begin + PASSAGE, rows[r + 1])
                         around = words[max(rows[r], begin - reach[j]):min(rows[r + 1], end + reach[j])]
-                        share, answer = items[j].judged(around.tolist())
-                        if share >= VERBATIM or share >= PARAPHRASE and answer >= ANSWER:
+                        leak = items[j].judged(around.tolist())
+                        if leak is not None:
                             have = out.get((r, j), (0.0, 0.0, 0.0))
-                            out[r, j] = max(have, (share, answer, items[j].cosine(words[begin:end], table)))
+                            out[r, j] = max(have, (*leak, items[j].cosine(words[begin:end], table)))
             found = list(out)
             yield pa.record_batch({
                 "doc_id": piece.column("doc_id").take(pa.array([r for r, _ in found], pa.int64())), "key": piece.column("key").take(pa.array([r for r, _ in found], pa.int64())),

@@ -16,6 +16,7 @@ from .edited_counts import edited_token_counts
 from .fingerprints import fingerprints
 from .ngram_join import ngram_components
 from .piece_lattice import nbest_encode
+from .packing import packed
 from .quality import resampled
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -23,6 +24,7 @@ from .token_files import read_token_files, write_token_files
 
 # On every machine of the cluster at the same place.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -87,6 +89,10 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, words=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_id_output": op2_token_id_output,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_best_fit_packing": op11_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,

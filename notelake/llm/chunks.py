@@ -15,8 +15,8 @@ import pyarrow as pa
 from . import kernels as K
 
 #: Chunks a worker remembers before it starts anew.
-REMEMBERED = 1 << 19
-_encoders: dict[str, ChunkEncoder] = {}
+REMEMBERED = 1 << 20
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
 def chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -36,7 +36,7 @@ def chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """Ids of chunks, remembered by hash in one flat array."""
+    """Ids of chunks, remembered by their bytes in one flat array; hashes only find the distinct chunks of a slice."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker per core
@@ -46,16 +46,21 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._index: dict[int, int] = {}
+        self._index: dict[bytes, int] = {}
         self._flat = np.zeros(1 << 16, np.uint32)
         self._starts, self._used = np.zeros(1 << 14, np.int64), 0
 
+    def _cut(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes to encode, the first of every chunk, and the first of it that counts."""
+        starts = chunk_starts(raw, offsets)
+        return raw, starts, starts
+
     @property
     def vocabulary(self) -> int:
         return self._tokenizer.get_vocab_size()
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, encoding in zip(hashes, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+    def _learn(self, chunks: list[bytes]) -> None:
+        for chunk, encoding in zip(chunks, self._tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)):
             ids = encoding.ids
             n = len(self._index)
             if n + 2 > len(self._starts):
@@ -64,32 +69,68 @@ class ChunkEncoder:
                 self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
             self._flat[self._used:self._used + len(ids)] = ids
             self._used += len(ids)
-            self._index[h] = n
+            self._index[chunk] = n
             self._starts[n + 1] = self._used
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray, counts_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all rows (or nothing), tokens per chunk, and first byte of each chunk."""
-        starts = chunk_starts(raw, offsets)
+        raw, starts, begins = self._cut(raw, offsets)
         ends = np.append(starts[1:], len(raw))
-        distinct, first, inverse = np.unique(K.stretch_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        _, first, inverse = np.unique(K.stretch_hashes(raw, begins, ends), return_index=True, return_inverse=True)
         if len(self._index) > REMEMBERED:
             self._forget()
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self._index]
+        data = raw.tobytes()
+        keys = [data[a:b] for a, b in zip(begins[first].tolist(), ends[first].tolist())]
+        if not K.same_stretches(raw, begins, ends, first[inverse]):
+            # Two chunks of one hash: take every chunk by its bytes.
+            keys, inverse = [data[a:b] for a, b in zip(begins.tolist(), ends.tolist())], np.arange(len(starts))
+        new = [c for c in dict.fromkeys(keys) if c not in self._index]
         if new:
-            data, at = raw.tobytes(), first[new]
-            self._learn([keys[i] for i in new], [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            self._learn(new)
         index = np.fromiter(map(self._index.__getitem__, keys), np.int64, len(keys))[inverse]
         begin = self._starts[index]
         sizes = self._starts[index + 1] - begin
         return (self._flat[:0] if counts_only else self._flat[K.ranges(begin, sizes)]), sizes, starts
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for this tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+class WordChunkEncoder(ChunkEncoder):
+    """For a tokenizer that lower-cases, drops white space and ends pre-tokens where letters begin or end.
+
+    Chunks end there too (at ASCII and Latin-1 letters, and never after an apostrophe, which may belong to the
+    letters behind it), and A-Z are lower-cased before, so far fewer chunks are distinct.
+    """
+
+    def _cut(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts = chunk_starts(raw, offsets)
+        data = raw.tobytes()
+        if len(raw) < 2 or any(t.encode() in data for t in self._special):
+            return raw, starts, starts
+        # Letters that a combining mark follows are left to the tokenizer, which composes before it lower-cases.
+        marked = np.zeros(len(raw), bool)
+        marked[:-1] = np.isin(raw[1:], (0xCC, 0xCD))
+        raw = np.where(marked, raw, K.lowered(raw))
+        wide = np.zeros(len(raw), bool)  # second byte of a Latin-1 letter
+        wide[1:] = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        small = (raw >= 97) & (raw <= 122)
+        first = small.copy()
+        first[:-1] |= wide[1:]
+        other = (raw > 32) & (raw < 127) & ~small & ~((raw >= 65) & (raw <= 90))
+        cut = np.zeros(len(raw), bool)
+        cut[starts] = True
+        cut[1:] |= (small | wide)[:-1] & other[1:] | (other & (raw != 39))[:-1] & first[1:]
+        starts = np.flatnonzero(cut)
+        return raw, starts, starts + ((raw[starts] == 0x20) | (raw[starts] == 0x0A))
+
+    @property
+    def _special(self) -> list[str]:
+        return [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+
+
+def encoder(path: str, words: bool = False) -> ChunkEncoder:
+    """The worker's encoder for this tokenizer file. ``words``: the tokenizer is as ``WordChunkEncoder`` says."""
+    if (path, words) not in _encoders:
+        _encoders[path, words] = (WordChunkEncoder if words else ChunkEncoder)(path)
+    return _encoders[path, words]
 
 
 def token_bounds(sizes: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -70,7 +70,8 @@ class Lattice:
         self.flat_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.byte_starts = np.cumsum(self.sizes) - self.sizes
         raw, offsets = K.utf8(pa.array([p.decode() for p in self.pieces]))
-        hashes = K.stretch_hashes(raw, offsets[:-1], offsets[1:])
+        # As _forward hashes stretches of a text: by powers, which tell strings as short as pieces apart.
+        hashes = K.Rolling(K.byte_codes(raw), K.BYTE_BASE).of(offsets[:-1], offsets[1:])
         order = np.argsort(hashes)
         self._hashes = hashes[order]
         self._ids = np.array([i for i, _ in self.pieces.values()])[order]

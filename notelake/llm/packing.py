@@ -5,7 +5,7 @@ size, so the best fit for a piece is the lowest set bit at or above its length,
 lowest set bit of all. A piece that fits nowhere opens a bin; if that is one too many, the fullest closes.
 
 Pieces are packed where they are tokenized, one packer per task. What its bins hold open at the end goes
-on, as single pieces, to a round with ``fan_in`` times fewer packers, and so on until one packer is left. It
+on, as single pieces, to a round where each packer gets ``fan_in`` times the tokens that it can hold open, and so on until one packer is left. It
 packs what its own bins still hold open once more, longest first, and closes everything. A round's input
 is bounded by the open bins of the round before, never by the table.
 
@@ -92,57 +92,48 @@ class Packer:
             yield self._pop((self.free & -self.free).bit_length() - 1)
 
 
-def _packed(last: bool, capacity: int, open_bins: int):
-    """Rows of pieces (n columns, among them length) to the same rows with bin and offset; a negative bin tells the task that holds it open."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, waiting = Packer(capacity, open_bins), []
-        task, made, size = TaskContext.get().partitionId(), 0, 0
-
-        def close(content: list) -> None:
-            nonlocal made, size
-            offset = 0
-            for length, row in content:
-                waiting.append((*row, (task << 32) + made, offset))
-                offset += length
-            size += len(content)
-            made += 1
-
-        def flushed() -> pa.RecordBatch:
-            nonlocal size
-            columns = list(zip(*waiting))
-            out = pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-            waiting.clear()
-            size = 0
-            return out
-
-        names = kinds = None
-        for batch in batches:
-            if names is None:
-                names = batch.schema.names + ["bin", "offset"]
-                kinds = list(batch.schema.types) + [pa.int64(), pa.int64()]
-                at = batch.schema.names.index("length")
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                closed = packer.add(row[at], row)
-                if closed is not None:
-                    close(closed)
-            if size > 8192:
-                yield flushed()
-        if last:
-            rest = sorted((p for content in packer.drained() for p in content), key=lambda p: p[0], reverse=True)
-            final = Packer(capacity, max(len(rest), 1))
-            for length, row in rest:
-                closed = final.add(length, row)
-                if closed is not None:
-                    close(closed)
-            for content in final.drained():
-                close(content)
-        else:
-            waiting.extend((*row, -1 - task, -1) for content in packer.drained() for _, row in content)
-        if waiting:
+def _packed(batches: Iterator[pa.RecordBatch], packer_id: int, last: bool, capacity: int, open_bins: int) -> Iterator[pa.RecordBatch]:
+    """Rows of pieces (n columns, among them length) to the same rows with bin and offset; bin -1: still open."""
+    packer, waiting, made = Packer(capacity, open_bins), [], 0
+
+    def close(content: list) -> None:
+        nonlocal made
+        offset = 0
+        for length, row in content:
+            waiting.append((*row, (packer_id << 32) + made, offset))
+            offset += length
+        made += 1
+
+    def flushed() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*waiting), kinds)], names)
+        waiting.clear()
+        return out
+
+    names = kinds = None
+    for batch in batches:
+        if names is None:
+            names = batch.schema.names + ["bin", "offset"]
+            kinds = list(batch.schema.types) + [pa.int64(), pa.int64()]
+            at = batch.schema.names.index("length")
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            closed = packer.add(row[at], row)
+            if closed is not None:
+                close(closed)
+        if len(waiting) > 8192:
             yield flushed()
-
-    return run
+    if last:
+        rest = sorted((p for content in packer.drained() for p in content), key=lambda p: p[0], reverse=True)
+        final = Packer(capacity, max(len(rest), 1))
+        for length, row in rest:
+            closed = final.add(length, row)
+            if closed is not None:
+                close(closed)
+        for content in final.drained():
+            close(content)
+    else:
+        waiting.extend((*row, -1, -1) for content in packer.drained() for _, row in content)
+    if waiting:
+        yield flushed()
 
 
 def _pieces(tokenizer: str, words: bool, end_id: int, capacity: int, with_ids: bool):
@@ -186,21 +177,32 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     columns = [c.split()[0] for c in schema.split(", ")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = rows.mapInArrow(_pieces(tokenizer, words, end_id, capacity, with_ids), schema)
-    last, number, closed = False, 0, None
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(batches, TaskContext.get().partitionId(), False, capacity, open_bins)
+
+    def later(last: bool):
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            whole = table.sort_by([("mix", "ascending"), ("start", "ascending"), ("length", "ascending")])
+            return pa.Table.from_batches(_packed(iter(whole.select(columns).to_batches()), key[0].as_py(), last, capacity, open_bins))
+
+        return run
+
+    places = settled(pieces.mapInArrow(first, f"{schema}, {_PLACE}"), "op11-round0")
+    number, closed = 0, None
     while True:
-        places = settled(pieces.mapInArrow(_packed(last, capacity, open_bins), f"{schema}, {_PLACE}"), f"op11-round{number}")
-        # Sequences of round r, task t, number k: distinct for up to 64 rounds and 2**25 tasks.
+        # Sequences of round r, packer t, number k: distinct for up to 64 rounds and 2**25 packers.
         here = places.where("bin >= 0").withColumn("sequence_id", F.lit(number << 57) + F.col("bin"))
         closed = here if closed is None else closed.unionByName(here)
-        still_open = places.where("bin < 0")
-        packers = -(-still_open.agg(F.countDistinct("bin")).first()[0] // fan_in)
-        if not packers:
+        rest = places.where("bin < 0")
+        tokens = rest.agg(F.sum("length")).first()[0]
+        if not tokens:
             return closed.select(F.col("id").alias("doc_id"), *columns[1:], "sequence_id", "offset")
-        last, number = packers == 1, number + 1
-        rest = still_open.select(*columns)
-        # Dealt by what a piece holds, so that a repeated task sees the same pieces; the order is mixed as well.
-        mix = F.xxhash64("id", "piece", "ids_crc32")
-        pieces = (rest.coalesce(1) if last else rest.repartition(packers, mix)).sortWithinPartitions(mix, "start", "length")
+        packers, number = -(-tokens // (fan_in * open_bins * capacity)), number + 1
+        # Dealt and ordered by what a piece holds, so that a repeated task sees the same pieces in the same, mixed order.
+        mixed = rest.select(*columns, F.xxhash64("id", "piece", "ids_crc32").alias("mix"))
+        dealt = mixed.groupBy(F.pmod("mix", F.lit(packers)).alias("packer"))
+        places = settled(dealt.applyInArrow(later(packers == 1), f"{schema}, {_PLACE}"), f"op11-round{number}")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -16,8 +16,10 @@ from .edited_counts import edited_token_counts
 from .fingerprints import fingerprints
 from .ngram_join import ngram_components
 from .piece_lattice import nbest_encode
+from .merkle import manifest, proofs, tampered_text
 from .packing import packed
 from .quality import resampled
+from .spelling import spelling_groups, word_counts
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_files import read_token_files, write_token_files
@@ -93,6 +95,15 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, words=True)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(word_counts(_table(spark, sf_dir, "documents"), noise_every=31))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's proof, and what verification gives after line feeds are deleted from half of the texts."""
+    return proofs(manifest(_table(spark, sf_dir, "documents"), presented=tampered_text()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_id_output": op2_token_id_output,
@@ -105,10 +116,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op4_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
     "op7_chat_formatting": oracles.CHAT_FORMATTING,
     "op9_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
+    "op12_spelling_variants": oracles.SPELLING_GROUPS,
+    "op13_merkle_manifest": oracles.MERKLE_MANIFEST,
 }

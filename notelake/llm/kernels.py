@@ -110,13 +110,18 @@ def lowered(raw: np.ndarray) -> np.ndarray:
 
 def word_places(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word (a run without separators, inside one row), and each row's first word."""
-    inside = ~separator[raw]
+    return runs(~separator[raw], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of marked bytes (inside one row), and each row's first run."""
+    size = len(inside)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
     last[:-1] &= ~inside[1:]
     edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < len(raw))]
+    edges = edges[(edges > 0) & (edges < size)]
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1

@@ -229,7 +229,8 @@ ORACLES: dict[str, str] = {
     "append_entries": f"""with {_E1} select id, role, category, text, embedding is not null as has_embedding,
  round(sqrt({_len('embedding')}), 4) as norm from E1""",
     "read_jsonl_memories": f"with {_E1} select role, category, text, created_at, {_TAGS} from E1",
-    "read_memory_files": f"with {_LINES} select * from doc_lines",
+    "read_memory_files": f"""with {_E4} select replace(path, '/', '-') as name, line,
+ cast(row_number() over (partition by path order by line_no) - 1 as INTEGER) as line_no from E4""",
     "storage_size": "select sum(strlen(text) + 1)::bigint as bytes from documents",
     "export_json": f"""with {_E1} select id, role, category, to_json(struct_pack(id := id, role := role,
  category := category, text := text, tags := tags, created_at := created_at))::VARCHAR as json from E1""",
@@ -257,21 +258,38 @@ ORACLES: dict[str, str] = {
     "semantic_search": f"""with {_E3}, sims as (select E3.id, E3.role, E3.category, {_cos('E3.embedding', 'v.embedding')} as s
  from E3, (select embedding from embeddings where vec_id = 0) v)
  select id, role, category, round(s, 4) as similarity from sims where s > 0.3""",
-    "hybrid_search": _batch() + _HITS,
+    "hybrid_search": f"""with {_E1}, {_E3}, given as (select vec_id, 'c' || label as category, embedding from embeddings where vec_id in (3, 4)),
+ sims as (select g.vec_id, e.id, {_cos('g.embedding', 'e.embedding')} as s, e.text from given g join E3 e using (category)),
+ words as (
+  select 1 as query_no, e.id, e.text, lower(e.text || ' ') as hay, ['item', '00004'] as w from given g join E3 e using (category) where g.vec_id = 4
+  union all select 3, e.id, e.text, lower(e.text || ' '), ['vector', 'item'] from given g join E3 e using (category) where g.vec_id = 3
+  union all select 2, id, text, lower(text || ' ' || array_to_string(tags, ' ')), ['quality', 'the', 'system', 'data', 'and', 'model', 'results']
+  from E1 where role = 'en' and category = 'src1' and list_contains(tags, 'quality')),
+ scored as (select *, cast(len(list_filter(w, lambda x: contains(hay, x))) as INTEGER) as score from words)
+ select 0 as query_no, id, 'semantic' as mode, round(s, 4) as similarity, null::INTEGER as score, text from sims where vec_id = 3 and s > 0.75
+ union all
+ select query_no, id, 'keyword', null, score, text from scored where score >= (len(w) + 1) // 2
+ qualify query_no <> 3 or row_number() over (partition by query_no order by id) <= 7""",
+    "batch_search_unlimited": _batch() + _HITS,
     "batch_search": _batch() + _HITS + " where rank <= 3",
     "topk_similarity": f"""with {_E3}, {_Q}, sims as (select q.query_id, e.id, {_cos('q.embedding', 'e.embedding')} as s
  from Q q join E3 e on e.role = q.role and e.category = q.category where q.embedding is not null)
  select query_id, row_number() over (partition by query_id order by s desc, id)::INTEGER as rank, id, round(s, 4) as similarity
  from sims where s > 0.2 qualify row_number() over (partition by query_id order by s desc, id) <= 4""",
     "tagged_search": f"""with {_E1}, asked as (
-  select item_id as query_id, 'en' as role, 'src' || (item_id % 20) as category, {_words('text')} as w,
-   case when item_id % 2 = 0 then 'quality' end as tag from benchmark),
- scored as (select a.query_id, e.id, len(a.w) as n,
+  select item_id, {_words('text')} as w, case when item_id % 2 = 0 then 'quality' end as tag from benchmark),
+ scored as (
+  select a.item_id * 10000 + substr(e.category, 4)::BIGINT * 100 + instr('de en es fr', e.role) as query_id, e.id, len(a.w) as n,
    cast(len(list_filter(a.w, lambda w: contains(lower(e.text || ' ' || array_to_string(e.tags, ' ')), w))) as INTEGER) as score
-  from asked a join E1 e on e.role = a.role and e.category = a.category and (a.tag is null or list_contains(e.tags, a.tag))),
+  from asked a join E1 e on a.tag is null or list_contains(e.tags, a.tag)),
  ranked as (select query_id, 'keyword' as mode, row_number() over (partition by query_id order by id)::INTEGER as rank, id, score
   from scored where n > 0 and score >= greatest((n + 1) // 2, 1))
  select * from ranked where rank <= 5""",
+    "keyword_index": f"""with {_E1}, hay as (select id, role, category, lower(text || ' ' || array_to_string(tags, ' ')) as hay from E1),
+ chars as (select id, role, category, list_transform(string_split(hay, ''), lambda x: ord(x)::BIGINT) as c from hay),
+ grams as (select distinct id, role, category, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] + c[i + 1] * 2097152 + c[i + 2] * 4398046511104)) as gram
+  from chars)
+ select role, category, gram, count(*)::BIGINT as n from grams group by all""",
     "search_report": _batch() + """, n as (select role, category, count(*) as searched from E3 group by 1, 2),
  m as (select query_id, count(*) as matches from found where rank <= 3 group by 1)
  select q.query_id, q.role, q.category, coalesce(n.searched, 0)::BIGINT as searched, coalesce(m.matches, 0)::BIGINT as matches,
@@ -359,3 +377,8 @@ ORACLES: dict[str, str] = {
     "stream_admit": f"select distinct 'corpus' as role, lang as category, {_norm('text')} as normalized from documents where {_strip('text')} <> ''",
     "stream_admit_semantic": f"""with recursive {_E3}, {_pairs('E3')}, {_greedy('E3', 's > 0.92')} select id, category from kp""",
 }
+ORACLES["keyword_search_indexed"] = ORACLES["keyword_search"]
+ORACLES["keyword_prefilter_indexed"] = ORACLES["keyword_prefilter"]
+ORACLES["fixed_folder"] = f"""with {_E4}, {_region('E4')}
+ select replace(path, '/', '-') as name, (lc - (se - keep))::BIGINT as line_count, keep::BIGINT as session_entries,
+  lc - (se - keep) > 80 as over_limit, keep > 15 as session_warn from plan"""

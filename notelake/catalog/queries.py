@@ -11,12 +11,14 @@ from .. import fixtures as fx
 from ..functions import text as X
 from ..functions.embed import embed_column, hashed_words
 from ..functions.vectors import cosine
-from ..operators import aggregates, filters, lines, ordering, search, similarity
+from ..notes import NoteTable
+from ..operators import aggregates, filters, lines, ordering, search, similarity, trigrams
 from ..plans import dedup, merge
 from ..plans.admission import admit_batch
 from ..schema import GROUP_KEYS
 from ..session import materialize, scratch_path
-from ..sources import binary_vectors, exports, jsonl, table
+from ..sources import binary_vectors, exports, jsonl, memory_files, table
+from ..sources import keyword_index as keyword_indexes
 from ..streaming import admit as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,11 +76,30 @@ def read_jsonl_memories(spark, sf):
     return jsonl.read_jsonl_memories(spark, root, fx.AS_OF).select("role", "category", "text", "created_at", _tags())
 
 
+def _note_folder(spark, sf):
+    """The note files in one folder, where a name says what the path did."""
+    folder = scratch_path(spark, "notes")
+    memory_files.write_memory_files(fx.note_files(spark, sf).withColumn("path", F.replace("path", F.lit("/"), F.lit("-"))), folder)
+    return folder
+
+
+def _named(lines_table: DataFrame) -> DataFrame:
+    return lines_table.select(F.element_at(F.split("path", "/"), -1).alias("name"), "line_no", "line")
+
+
 @query
 def read_memory_files(spark, sf):
-    return lines.split_documents(fx.table(spark, sf, "documents"), "doc_id", "text").select(
-        F.col("path").alias("doc_id"), "line_no", "line"
-    )
+    """Note files written to a folder and read back."""
+    return _named(memory_files.read_memory_files(spark, _note_folder(spark, sf)))
+
+
+@query
+def fixed_folder(spark, sf):
+    """A folder of note files pruned into a new one, read back and checked."""
+    folder, target = _note_folder(spark, sf), scratch_path(spark, "fixed-notes")
+    NoteTable(spark, scratch_path(spark, "none")).fix_folder(folder, target)
+    checked = lines.check_files(memory_files.read_memory_files(spark, target))
+    return checked.select("name", "line_count", "session_entries", "over_limit", "session_warn")
 
 
 @query
@@ -181,6 +202,24 @@ def _hits(df: DataFrame) -> DataFrame:
 
 @query
 def hybrid_search(spark, sf):
+    """Single queries: one that vectors answer, one that falls back to keywords, one without a vector but with a tag, one cut off."""
+    copies, docs = fx.vector_copies(spark, sf), fx.documents_as_entries(spark, sf)
+    given = fx.table(spark, sf, "embeddings").where("vec_id in (3, 4)").orderBy("vec_id").collect()
+    asked = [
+        search.hybrid_search(copies, "vec", f"c{given[0]['label']}", "vector item", given[0]["embedding"]),
+        search.hybrid_search(copies, "vec", f"c{given[1]['label']}", "item 00004", [-x for x in given[1]["embedding"]]),
+        search.hybrid_search(docs, "en", "src1", _WORDS, tag="quality"),
+        search.hybrid_search(copies, "vec", f"c{given[0]['label']}", "vector item", limit=7),
+    ]
+    found = None
+    for number, one in enumerate(asked):
+        here = one.select(F.lit(number).alias("query_no"), "id", "mode", F.round("similarity", 4).alias("similarity"), "score", "text")
+        found = here if found is None else found.unionByName(here)
+    return found
+
+
+@query
+def batch_search_unlimited(spark, sf):
     return _hits(search.batch_search(fx.vector_copies(spark, sf), fx.query_batch(spark, sf, None)))
 
 
@@ -197,17 +236,47 @@ def topk_similarity(spark, sf):
 
 @query
 def tagged_search(spark, sf):
-    """Benchmark passages as keyword queries over the tagged documents of each English source."""
+    """Every benchmark passage as a keyword query to every (role, category) of the tagged documents."""
     entries = fx.documents_as_entries(spark, sf)
-    groups = entries.where("role = 'en'").select(*GROUP_KEYS).distinct()
-    asked = fx.table(spark, sf, "benchmark").selectExpr(
-        "item_id", "concat('src', item_id % 20) as category", "text as query", "cast(null as array<float>) as embedding",
-        "case when item_id % 2 = 0 then 'quality' end as tag", "item_id as query_id",
+    groups = [(r["role"], r["category"]) for r in entries.select(*GROUP_KEYS).distinct().collect()]
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("role"), F.lit(b).alias("category")) for a, b in groups]))
+    asked = fx.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"), each.alias("g")).selectExpr(
+        "item_id * 10000 + cast(substring(g.category, 4) as int) * 100 + instr('de en es fr', g.role) as query_id", "g.role", "g.category", "query",
+        "cast(null as array<float>) as embedding", "case when item_id % 2 = 0 then 'quality' end as tag", "5 as lim",
     )
-    asked = asked.join(groups, "category").drop("item_id").withColumn("lim", F.lit(5))
     return search.batch_search(entries, asked).select("query_id", "mode", "rank", "id", "score")
 
 
+def _indexed_entries(spark, sf):
+    """A stored table of all documents, and an index that was made before those with a vector came."""
+    path = scratch_path(spark, "indexed")
+    entries = fx.documents_as_entries(spark, sf)
+    first = entries.agg(F.expr("cast(percentile_approx(id, 0.7) as bigint)").alias("id")).first()["id"]
+    table.append_entries(entries.where(F.col("id") <= first), path)
+    keyword_indexes.write_keyword_index(table.scan_entries(spark, path), f"{path}/_keywords")
+    table.append_entries(entries.where(F.col("id") > first), path)
+    return table.scan_entries(spark, path), keyword_indexes.read_keyword_index(spark, f"{path}/_keywords")
+
+
+@query
+def keyword_index(spark, sf):
+    """In how many entries of each group each trigram is."""
+    hay = fx.documents_as_entries(spark, sf).select(*GROUP_KEYS, "id", X.haystack(F.col("text"), F.col("tags")).alias("hay"))
+    return trigrams.postings(hay).groupBy(*GROUP_KEYS, "gram").agg(F.sum(F.size("ids")).alias("n"))
+
+
+@query
+def keyword_search_indexed(spark, sf):
+    entries, index = _indexed_entries(spark, sf)
+    return search.keyword_search(entries, _WORDS, index=index).select("id", "role", "category", "score")
+
+
+@query
+def keyword_prefilter_indexed(spark, sf):
+    entries, index = _indexed_entries(spark, sf)
+    return filters.keyword_prefilter(entries, "toxic data-base, ein", index=index).select("id", "role")
+
+
 @query
 def search_report(spark, sf):
     entries, asked = fx.vector_copies(spark, sf), fx.query_batch(spark, sf, 3)
@@ -299,9 +368,13 @@ QUERIES["admit_batch"] = QUERIES.pop("admit_batch_mixed")
 
 
 def _corpus_tree(spark, sf):
+    """Documents as a tree of JSON lines, with lines in between that are no records, and what of them is stored already."""
     root = scratch_path(spark, "corpus")
     entries = fx.documents_as_corpus(spark, sf)
-    jsonl.write_jsonl_tree(entries, root)
+    # After every seventh document a line that is cut off, blank, without text, no object, or two at once.
+    bad = F.array(*[F.lit(x) for x in ('{"text": "cut off', "  ", '{"tags": ["a"]}', '["text"]', '{"text": "two"} {"text": "values"}')])
+    junk = entries.where("id % 7 = 0").select(*GROUP_KEYS, F.element_at(bad, (F.col("id") % 5 + 1).cast("int")).alias("value"), "id")
+    jsonl.write_lines_tree(jsonl.json_lines(entries).select(*GROUP_KEYS, "value", "id").unionByName(junk), root)
     labelled = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     return root, entries.join(labelled, "id", "left_semi")
 

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from ..session import spread_small
 
-# So many single texts refused in a row mean that the provider takes none.
-_REFUSALS = 32
 Embedder = Callable[[Sequence[str]], "Sequence[Sequence[float] | None] | None"]
 
 
@@ -32,10 +30,10 @@ def hashed_words(dims: int = 64) -> Embedder:
 
 
 def tried(embed: Embedder, texts: list[str]) -> list:
-    """Vectors of all texts, None for those that fail. A whole provider that is down is given up after a few single texts."""
+    """Vectors of all texts, None for those that the provider refuses. Every text is asked for, a refused batch in halves."""
     out: list = [None] * len(texts)
-    parts, refused = [(0, len(texts))], 0
-    while parts and refused < _REFUSALS:
+    parts = [(0, len(texts))]
+    while parts:
         low, high = parts.pop()
         if low == high:
             continue
@@ -45,11 +43,8 @@ def tried(embed: Embedder, texts: list[str]) -> list:
             found = None
         if found is not None and len(found) == high - low:
             out[low:high] = list(found)
-            refused = 0
         elif high - low > 1:
             parts += [((low + high) // 2, high), (low, (low + high) // 2)]
-        else:
-            refused += 1
     return out
 
 

@@ -16,8 +16,8 @@ _EDGE_SPACE = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 _KEYWORD_BREAK = r"(?U)[\s\x1c-\x1f\-_,]+"
+# Form of a duration, and days per unit.
 _DURATION = re.compile(r"([0-9]+)([dwm])")
-# Days per duration unit.
 _UNIT_DAYS = {"d": 1, "w": 7, "m": 30}
 
 
@@ -61,10 +61,14 @@ def keywords(query: Column) -> Column:
     )
 
 
+def split_words(query: str) -> list[str]:
+    """``keywords`` of one given query."""
+    return [w for w in re.split(r"[\s\-_,]+", query.lower()) if len(w) >= MIN_KEYWORD_CHARS]
+
+
 def query_words(query: str) -> Column:
     """``keywords`` of one given query as a literal list, so that it is not split again per row."""
-    words = [w for w in re.split(r"[\s\-_,]+", query.lower()) if len(w) >= MIN_KEYWORD_CHARS]
-    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    return F.array(*[F.lit(w) for w in split_words(query)]).cast("array<string>")
 
 
 def keyword_hits(words: Column, hay: Column) -> Column:

@@ -14,7 +14,7 @@ from .plans import dedup, merge
 from .plans.admission import admit_batch, admitted_rows
 from .schema import DEDUP_THRESHOLD, GROUP_KEYS, TIMELINE_LIMIT
 from .session import materialize
-from .sources import exports, jsonl, memory_files, table
+from .sources import exports, jsonl, keyword_index, memory_files, table
 
 
 class NoteTable:
@@ -45,12 +45,12 @@ class NoteTable:
         """Without a vector, ``embed`` gives the query's; if it fails, keywords decide."""
         if vector is None and embed is not None:
             (vector,) = tried(embed, [query])
-        return search.hybrid_search(self.entries(role, category), role, category, query, vector, tag, limit)
+        return search.hybrid_search(self.entries(role, category), role, category, query, vector, tag, limit, index=self.keyword_index())
 
     def search_all(self, queries: DataFrame, *, embed: Embedder | None = None) -> DataFrame:
         if embed is not None:
             queries = embed_missing(queries, embed, text="query")
-        return search.batch_search(self.entries(), queries)
+        return search.batch_search(self.entries(), queries, index=self.keyword_index())
 
     def timeline(
         self, role: str, last: str | None = None, category: str | None = None, limit: int = TIMELINE_LIMIT,
@@ -79,8 +79,21 @@ class NoteTable:
     def check_folder(self, folder: str) -> DataFrame:
         return lines.check_files(memory_files.read_memory_files(self.spark, folder))
 
+    def fix_folder(self, folder: str, target: str) -> DataFrame:
+        """Prune the files of ``folder`` into the new folder ``target``, which can be read and checked like the old one. Returns the report."""
+        found = materialize(memory_files.read_memory_files(self.spark, folder), "lines")
+        memory_files.write_memory_files(lines.fixed_lines(found), target)
+        return lines.fix_files(found)
+
+    def keyword_index(self) -> keyword_index.KeywordIndex | None:
+        return keyword_index.read_keyword_index(self.spark, f"{self.path}/_keywords")
+
     # Writing
 
+    def index_keywords(self) -> None:
+        """List the trigrams of all entries; keyword searches then read the entries that the lists name, and later ones."""
+        keyword_index.write_keyword_index(self.entries(), f"{self.path}/_keywords")
+
     def _last_id(self) -> int:
         return self.entries().agg(F.max("id")).first()[0] or 0
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,15 @@ from ..functions import text as X
 from ..functions.vectors import Block, VectorColumn, exact_cosine
 from ..schema import GROUP_KEYS, SEARCH_THRESHOLD
 from ..session import materialize, spread_small
-from . import blocks, kernels
-from .blocks import BLOCK_ROWS, block_of, compare_sides, cross_tiles, only_groups_of, plan_blocks, with_block_counts
-from .filters import filter_role_category, filter_tag
+from . import blocks, kernels, trigrams
+from .blocks import BLOCK_ROWS, compare_sides, cross_tiles, only_groups_of, plan_blocks
+from .filters import filter_role_category, filter_tag, may_hold
 from .ordering import ranked
 from .similarity import key_ddl
 
+if TYPE_CHECKING:
+    from ..sources.keyword_index import KeywordIndex
+
 _NO_TAGS = "cast(null as array<string>)"
 _PRE_RANK_SLICES = 64
 
@@ -28,9 +32,15 @@ def _capped(df: DataFrame, limit: int | None) -> DataFrame:
     return df.limit(limit) if limit is not None and limit > 0 else df
 
 
-def keyword_search(entries: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """Entries holding at least half of the keywords, in id order, with their ``score``."""
+def keyword_search(entries: DataFrame, query: str, limit: int | None = None, *, index: KeywordIndex | None = None) -> DataFrame:
+    """Entries holding at least half of the keywords, in id order, with their ``score``.
+
+    With a stored ``index`` of the entries, only those listed under a rare trigram of a keyword, and later ones, are looked at.
+    """
     words, hay = X.query_words(query), X.haystack(F.col("text"), F.col("tags"))
+    if index is not None:
+        asked = X.split_words(query)
+        entries = may_hold(entries, asked, len(asked) - max(-(-len(asked) // 2), 1), index)
     rows = spread_small(entries).where(X.keyword_match(words, hay)).withColumn("score", X.keyword_hits(words, hay))
     return _capped(rows.orderBy("id"), limit)
 
@@ -65,7 +75,10 @@ def topk_similarity(entries: DataFrame, queries: DataFrame, k: int, threshold: f
                     *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Best ``k`` semantic hits per query, all of them for k <= 0: query_id, rank, id, similarity."""
     hits = semantic_hits(entries, queries.withColumn("lim", F.lit(k)), threshold, block_rows=block_rows)
-    return _rank(materialize(hits, "semantic-hits") if k <= 0 else hits, [F.col("similarity").desc(), F.col("id")], "topk-ranks")
+    best_first = [F.col("similarity").desc(), F.col("id")]
+    if k > 0:
+        return _rank_capped(hits, best_first).drop("lim")
+    return ranked(materialize(hits, "semantic-hits"), "query_id", best_first, "topk-ranks").drop("lim")
 
 
 def semantic_hits(
@@ -89,38 +102,36 @@ def semantic_hits(
     )
 
 
-def keyword_hits(entries: DataFrame, queries: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Keyword matches per query. Candidates are decided inside the join, so only matches leave it."""
+def keyword_hits(
+    entries: DataFrame, queries: DataFrame, *, block_rows: int = BLOCK_ROWS, index: KeywordIndex | None = None
+) -> DataFrame:
+    """Keyword matches per query, through an index of trigrams: role, category, query_id, id, score, lim.
+
+    ``index``: a stored one of the entries; what came later is searched without.
+    """
+    if index is not None:
+        listed, later = (entries.where(side) for side in (F.col("id") <= index.last_id, F.col("id") > index.last_id))
+        asking, searched = _keyword_sides(listed, queries)
+        old = trigrams.matched_by_postings(searched, asking, block_rows=block_rows, lists=index.lists)
+        return old.unionByName(keyword_hits(later, queries, block_rows=block_rows))
+    asking, searched = _keyword_sides(entries, queries)
+    volume = asking.agg(F.sum(F.octet_length(F.array_join("words", " ")) + 64)).first()[0] or 0
+    if volume <= blocks.BROADCAST_BYTES:
+        return trigrams.matched_in_scan(searched, asking)
+    return trigrams.matched_by_postings(searched, asking, block_rows=block_rows)
+
+
+def _keyword_sides(entries: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The queries with keywords, and the entries of their groups."""
     tagged = "tag" in queries.columns
     asking = queries.select(
         *GROUP_KEYS, "query_id", X.keywords(F.col("query")).alias("words"),
         (F.col("tag") if tagged else F.lit(None)).cast("string").alias("tag"),
         (F.col("lim") if "lim" in queries.columns else F.lit(None)).cast("int").alias("lim"),
     ).where(F.size("words") > 0)
-    searched = spread_small(
-        entries.select(*GROUP_KEYS, "id", "tags", X.haystack(F.col("text"), F.col("tags")).alias("hay"))
-    )
-    on = list(GROUP_KEYS)
-    volume = asking.agg(F.sum(F.octet_length(F.array_join("words", " ")) + 64)).first()[0] or 0
-    if volume <= blocks.BROADCAST_BYTES:
-        asking = F.broadcast(asking)
-    else:
-        plan = plan_blocks([searched], GROUP_KEYS, block_rows)
-        searched = with_block_counts(searched, plan).withColumn("_b", block_of("id", F.col("_nb0"))).drop("_nb0")
-        asking = with_block_counts(asking, plan).withColumn(
-            "_b", F.explode(F.sequence(F.lit(0), F.col("_nb0") - 1))
-        ).drop("_nb0")
-        on = [*on, "_b"]
-    e, q = searched.alias("e"), asking.alias("q")
-    match = X.keyword_match(F.col("q.words"), F.col("e.hay"))
-    if tagged:
-        has_tag = F.array_contains("e.tags", F.col("q.tag"))
-        match = match & (F.coalesce(F.col("q.tag"), F.lit("")).eqNullSafe("") | has_tag)
-    equal = [F.col(f"e.{k}") == F.col(f"q.{k}") for k in on]
-    return e.join(q, [*equal, match]).select(
-        *[F.col(f"e.{k}").alias(k) for k in GROUP_KEYS], "q.query_id", "e.id",
-        X.keyword_hits(F.col("q.words"), F.col("e.hay")).alias("score"), "q.lim",
-    )
+    searched = only_groups_of(entries, asking, GROUP_KEYS).select(
+        *GROUP_KEYS, "id", F.col("tags") if tagged else F.expr(_NO_TAGS).alias("tags"), X.haystack(F.col("text"), F.col("tags")).alias("hay"))
+    return asking, searched
 
 
 def _rank_capped(hits: DataFrame, order: list) -> DataFrame:
@@ -147,18 +158,19 @@ def batch_search(
     *,
     with_text: bool = False,
     block_rows: int = BLOCK_ROWS,
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
     """Hybrid search for a table of queries.
 
     ``queries``: query_id, role, category, query, embedding, and optionally tag and lim. A query
     with any semantic hit returns semantic hits only; one without (or without a vector) falls back
     to keywords over the same tag-filtered rows. Gives query_id, mode, rank, id and the similarity
-    or the keyword score.
+    or the keyword score. ``index``: a stored index of the entries' keywords.
     """
     hits = materialize(semantic_hits(entries, queries, threshold, block_rows=block_rows), "semantic-hits")
     answered = hits.select("query_id").distinct()
-    rest = queries.join(answered, "query_id", "left_anti")
-    words = materialize(keyword_hits(entries, rest, block_rows=block_rows), "keyword-hits")
+    rest = materialize(queries.join(answered, "query_id", "left_anti"), "unanswered")
+    words = materialize(keyword_hits(entries, rest, block_rows=block_rows, index=index), "keyword-hits")
     columns = [*GROUP_KEYS, "query_id", "id", "similarity", "score", "lim"]
     by_vector = hits.withColumn("score", F.lit(None).cast("int")).select(*columns)
     by_word = words.withColumn("similarity", F.lit(None).cast("double")).select(*columns)
@@ -179,6 +191,8 @@ def hybrid_search(
     vector: Sequence[float] | None = None,
     tag: str | None = None,
     limit: int | None = None,
+    *,
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
     """One query: semantic hits if there are any, else keyword hits over the same rows.
 
@@ -192,7 +206,7 @@ def hybrid_search(
             return best.select(
                 "id", F.lit("semantic").alias("mode"), "similarity", F.lit(None).cast("int").alias("score"), "text"
             ).orderBy(F.col("similarity").desc(), "id")
-    return keyword_search(rows, query, limit).select(
+    return keyword_search(rows, query, limit, index=index).select(
         "id", F.lit("keyword").alias("mode"), F.lit(None).cast("double").alias("similarity"), "score", "text"
     )
 

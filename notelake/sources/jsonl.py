@@ -1,7 +1,7 @@
 """Tolerant reading of a tree of JSON-lines files, and the matching sink.
 
-Layout: ``<root>/<role, any depth>/<category>.jsonl``. ``<category>.jsonl`` may also be a folder of
-part files, which is what a parallel writer produces.
+Layout: ``<root>/<role, any depth>/<category>.jsonl``. ``<category>.jsonl`` may also be a folder of part files.
+A parallel writer produces ``<root>/role=<role>/category=<category>/part-...``; such a folder counts as one file too.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import GROUP_KEYS
-from ..session import scratch_path
+from ..session import materialize
 from .listing import decoded, list_files
 
 _LAYOUT = r"^(?:(.*)/)?([^/]+)\.jsonl(?:/part-[^/]*)?$"
+_WRITTEN = r"^role=([^/]+)/category=([^/]+)/part-[^/]*$"
 _GLOB = "{*.jsonl,part-*}"
 _RECORD = "text string, tags string, created_at string"
 _STRICT = {"allowSingleQuotes": "false"}
@@ -46,12 +47,16 @@ def list_jsonl_files(spark: SparkSession, root: str) -> DataFrame:
 
 def _placed(rows: DataFrame) -> DataFrame:
     """Role and category from the path. A file directly below the root has no role."""
-    role, category = F.regexp_extract("path", _LAYOUT, 1), F.regexp_extract("path", _LAYOUT, 2)
+    def part(number: int) -> Column:
+        # Names of partition folders are percent-encoded.
+        return F.when(F.col("path").rlike(_WRITTEN), decoded(F.regexp_extract("path", _WRITTEN, number))).otherwise(F.regexp_extract("path", _LAYOUT, number))
+
+    role, category = part(1), part(2)
     return (
-        rows.where(F.col("path").rlike(_LAYOUT))
+        rows.where(F.col("path").rlike(_LAYOUT) | F.col("path").rlike(_WRITTEN))
         .withColumn("role", F.when(role != "", role))
         .withColumn("category", category)
-        .withColumn("path", F.regexp_replace("path", r"\.jsonl/part-[^/]*$", ".jsonl"))
+        .withColumn("path", F.regexp_replace("path", r"(?<=\.jsonl|^role=[^/]{0,4096}/category=[^/]{0,4096})/part-[^/]*$", ""))
     )
 
 
@@ -101,27 +106,24 @@ def quarantine(lines: DataFrame) -> DataFrame:
     return lines.where(~F.col("status").isin(OK, BLANK)).select("path", "status", "value")
 
 
-def write_jsonl_tree(entries: DataFrame, root: str, order: str = "id") -> None:
-    """Write the tree form: a ``<role>/<category>.jsonl`` folder of part files per group.
+def write_lines_tree(rows: DataFrame, root: str, order: str = "id") -> None:
+    """Write lines (role, category, ``value``, ``order``) as ``<root>/role=.../category=.../`` folders of part files.
 
-    Rows are written in parallel to a staging folder; the driver then renames one folder per group.
+    Tasks write the folders where they belong; nothing is moved afterwards.
     """
-    from urllib.parse import unquote
-
-    spark = entries.sparkSession
-    staging = scratch_path(spark, "jsonl")
-    rows = entries.select(*GROUP_KEYS, F.to_json(F.struct("text", "tags", "created_at")).alias("value"), order)
+    # A range partitioning looks at its input before it reads it; written once, the input is not computed twice.
+    rows = materialize(rows.select(*GROUP_KEYS, "value", order), "json-lines")
     # Ranges, not a rebalance: part files of a group that several tasks write follow each other in order,
     # and the reading order decides which record is the first.
-    rows = rows.repartitionByRange(*GROUP_KEYS, order).sortWithinPartitions(*GROUP_KEYS, order).drop(order)
-    rows.write.partitionBy(*GROUP_KEYS).text(staging)
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    files = Path(staging).getFileSystem(spark._jsc.hadoopConfiguration())
-    for found in files.globStatus(Path(f"{staging}/role=*/category=*")):
-        folder = found.getPath()
-        role = unquote(folder.getParent().getName().removeprefix("role="))
-        category = unquote(folder.getName().removeprefix("category="))
-        target = Path(f"{root}/{role}/{category}.jsonl")
-        files.mkdirs(target.getParent())
-        if not files.rename(folder, target):
-            raise OSError(f"could not move {folder} to {target}")
+    ordered = rows.repartitionByRange(*GROUP_KEYS, order).sortWithinPartitions(*GROUP_KEYS, order).drop(order)
+    ordered.write.partitionBy(*GROUP_KEYS).text(root)
+
+
+def json_lines(entries: DataFrame) -> DataFrame:
+    """Entries with ``value``, the line that stands for them in a tree."""
+    return entries.withColumn("value", F.to_json(F.struct("text", "tags", "created_at")))
+
+
+def write_jsonl_tree(entries: DataFrame, root: str, order: str = "id") -> None:
+    """Write the tree form of entries; a group's lines are in ``order``."""
+    write_lines_tree(json_lines(entries), root, order)

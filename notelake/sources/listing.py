@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def decoded(path: Column) -> Column:
-    """Plain path of a file URI. URIs are percent-encoded, but a plus sign stands for itself."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    """Plain path of a file URI. URIs are percent-encoded, but a plus sign stands for itself; ``file:///x`` is ``file:/x``."""
+    one_form = F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
+    return F.url_decode(F.replace(one_form, F.lit("+"), F.lit("%2B")))
 
 
 def list_files(spark: SparkSession, folder: str, glob: str, *, deep: bool = False) -> DataFrame:

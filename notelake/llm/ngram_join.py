@@ -16,8 +16,9 @@ their first n - ceil(t * n) + k tokens share k of them at least. So:
 3. *Verify.* Equal sets are one node. Nodes that share many keys come into one block of bounded size
    (small families share blocks, large ones have several), each with its keys and its set. A task
    compares, on whole sets, what shares a key and is not connected yet, and gives only the links that
-   connect. Keys whose nodes are connected by then are closed; for the others, pairs of blocks that
-   share one are compared in the same way. No pair of nodes is ever a row, but for the links.
+   connect. Keys whose nodes are connected by then are closed. For the others, a key's first block is compared in the
+   same way with its other blocks, which connects large families, and then, where keys are open still, all blocks
+   that share enough of them. Keys with the same blocks are counted together. No pair of nodes is ever a row, but for the links.
 
 Every decision is exact on 52-bit token hashes. The answer is the components, so links inside one
 component beyond those that connect it are not listed.
@@ -276,28 +277,54 @@ def _linked(sets: DataFrame, percent: int, frequent: int, block_nodes: int) -> D
     rows = keys.join(sets.select("node", "tokens"), "node").select("block", "node", F.col("node").alias("label"), F.lit(0).alias("side"), "keys", "tokens")
     links = settled(rows.groupBy("block").applyInArrow(_block_links(percent), schema), "op4-links")
     roots = components(links, "op4-components")
-    # Then between blocks, where a key still has nodes that are not connected.
-    home = blocks.where("not guest").select("node", "block")
-    labelled = index.join(roots, "node", "left").join(home, "node").select("k", "node", "block", F.coalesce("root", "node").alias("label"))
-    labelled = settled(labelled, "op4-labelled", index)
-    split = labelled.groupBy("k").agg((F.min("label") < F.max("label")).alias("open"), (F.min("block") < F.max("block")).alias("apart")).where("open and apart").select("k")
-    still = settled(labelled.join(settled(split, "op4-split"), "k"), "op4-still", labelled)
-    places = settled(still.groupBy("k", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), "op4-places")
-    # A similar pair shares more than g keys, so its blocks do. Blocks meet here, not nodes.
-    level = F.col("k").bitwiseAND(F.lit(31)).alias("level")
-    one, two = (places.select("k", *[F.col(c).alias(f"{c}{i}") for c in ("block", "low", "high")]) for i in (1, 2))
-    pairs = one.join(two, "k").where("block1 < block2 and (low1 < high2 or low2 < high1)").groupBy("block1", "block2", level).agg(F.count(F.lit(1)).alias("n"))
-    pairs = settled(pairs.where(F.col("n") > F.pow(F.lit(2), F.col("level"))).select("block1", "block2").distinct(), "op4-block-pairs", places)
-    held = still.groupBy("block", "node", "label").agg(F.collect_set("k").alias("keys")).join(sets.select("node", "tokens"), "node")
-    held = settled(held, "op4-held", still)
-    sides = [
-        pairs.withColumn("block", F.col(f"block{i + 1}")).join(held, "block").select("block1", "block2", "node", "label", F.lit(i).alias("side"), "keys", "tokens")
-        for i in (0, 1)
-    ]
-    sided = sides[0].unionByName(sides[1])
-    across = sided.groupBy("block1", "block2").applyInArrow(_block_links(percent), schema)
-    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(settled(across, "op4-across"))
-    return components(edges, "op4-components")
+    # Then between blocks, where a key still has nodes that are not connected: first each key's blocks with the first of
+    # them, which connects what large families have in several blocks, then all that this leaves open.
+    home = settled(blocks.where("not guest").select("node", "block"), "op4-home")
+    for pairs_of in (_first_pairs, _all_pairs):
+        labelled = index.join(roots, "node", "left").join(home, "node").select("k", "node", "block", F.coalesce("root", "node").alias("label"))
+        labelled = settled(labelled, "op4-labelled")
+        split = labelled.groupBy("k").agg((F.min("label") < F.max("label")).alias("open"), (F.min("block") < F.max("block")).alias("apart")).where("open and apart").select("k")
+        still = settled(labelled.join(split, "k"), "op4-still", labelled)
+        places = settled(still.groupBy("k", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), "op4-places")
+        # A similar pair shares more than g keys, so its blocks do. Blocks meet here, not nodes.
+        pairs = pairs_of(places).where(F.col("n") > F.pow(F.lit(2), F.col("level"))).select("block1", "block2").distinct()
+        pairs = settled(pairs, "op4-block-pairs", places)
+        held = still.groupBy("block", "node", "label").agg(F.collect_set("k").alias("keys")).join(sets.select("node", "tokens"), "node")
+        held = settled(held, "op4-held", still)
+        sides = [
+            pairs.withColumn("block", F.col(f"block{i + 1}")).join(held, "block").select("block1", "block2", "node", "label", F.lit(i).alias("side"), "keys", "tokens")
+            for i in (0, 1)
+        ]
+        across = settled(sides[0].unionByName(sides[1]).groupBy("block1", "block2").applyInArrow(_block_links(percent), schema), "op4-across", held)
+        edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(across)
+        roots = components(edges, "op4-components")
+    return roots
+
+
+def _level() -> Column:
+    return F.col("k").bitwiseAND(F.lit(31)).alias("level")
+
+
+def _first_pairs(places: DataFrame) -> DataFrame:
+    """(block1, block2, level, n): each key's first block with its others, and the keys that they share."""
+    heads = places.groupBy("k").agg(F.min(F.struct("block", "low", "high")).alias("head")).select(
+        "k", F.col("head.block").alias("block1"), F.col("head.low").alias("low1"), F.col("head.high").alias("high1"))
+    others = places.select("k", F.col("block").alias("block2"), "low", "high").join(heads, "k")
+    return others.where("block1 < block2 and (low1 < high or low < high1)").groupBy("block1", "block2", _level()).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _all_pairs(places: DataFrame) -> DataFrame:
+    """(block1, block2, level, n) of blocks that share keys, unless both hold nothing but the key's most common component.
+
+    Keys of the same blocks, which the members of a family share by the thousand, count as one with their number as its weight.
+    """
+    common = places.groupBy("k", "low").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max(F.struct("c", "low")).alias("m")).select("k", F.col("m.low").alias("m"))
+    marked = settled(places.join(common, "k").select("k", "block", ((F.col("low") == F.col("high")) & (F.col("low") == F.col("m"))).alias("done")), "op4-marked")
+    seeds = [F.bit_xor(F.xxhash64("block", "done", F.lit(seed))).alias(f"s{seed}") for seed in (1, 2)]
+    alike = marked.groupBy("k", _level()).agg(F.count(F.lit(1)).alias("blocks"), *seeds)
+    kinds = settled(alike.groupBy("level", "blocks", "s1", "s2").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("keys")).select("k", "level", "keys"), "op4-kinds")
+    one, two = (marked.select("k", *[F.col(c).alias(f"{c}{i}") for c in ("block", "done")]).join(kinds.select("k", *more), "k") for i, more in ((1, ("level", "keys")), (2, ())))
+    return one.join(two, "k").where("block1 < block2 and not (done1 and done2)").groupBy("block1", "block2", "level").agg(F.sum("keys").alias("n"))
 
 
 def _bucket_bits(docs: DataFrame) -> int:

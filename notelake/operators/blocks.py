@@ -120,9 +120,14 @@ def block_of(row_id: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(F.col(row_id)), blocks.cast("long")).cast("int")
 
 
+def tile_of(keys: Sequence[str]) -> Column:
+    """The tile of blocks ``_i`` and ``_j`` of a large group."""
+    return F.xxhash64(*[F.col(k) for k in keys], F.col("_i"), F.col("_j"))
+
+
 def _tile(plan: BlockPlan, is_large: Column) -> Column:
     group = [F.col(k) for k in plan.keys]
-    return F.when(is_large, F.xxhash64(*group, F.col("_i"), F.col("_j"))).otherwise(
+    return F.when(is_large, tile_of(plan.keys)).otherwise(
         F.pmod(F.xxhash64(*group), F.lit(plan.bundles).cast("long"))
     )
 

@@ -16,9 +16,10 @@ from ..functions.vectors import Block, VectorColumn, exact_cosine
 from ..schema import GROUP_KEYS, SEARCH_THRESHOLD
 from ..session import materialize, spread_small
 from . import blocks, kernels, trigrams
-from .blocks import BLOCK_ROWS, compare_sides, cross_tiles, only_groups_of, plan_blocks
+from .blocks import BLOCK_ROWS, compare_sides, only_groups_of, plan_blocks
 from .filters import filter_role_category, filter_tag, may_hold
 from .ordering import ranked
+from .pivots import cross_cell_tiles
 from .similarity import key_ddl
 
 if TYPE_CHECKING:
@@ -98,7 +99,7 @@ def semantic_hits(
     return compare_sides(
         searched, asking, GROUP_KEYS, kernels.ranked_hits_kernel(list(GROUP_KEYS), threshold),
         f"{key_ddl(GROUP_KEYS)}, query_id bigint, id bigint, similarity double, lim int",
-        lambda: cross_tiles(searched, asking, plan_blocks([searched, asking], GROUP_KEYS, block_rows)),
+        lambda: cross_cell_tiles(searched, asking, plan_blocks([searched, asking], GROUP_KEYS, block_rows), threshold, block_rows),
     )
 
 

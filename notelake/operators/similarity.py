@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..schema import DEDUP_THRESHOLD, GROUP_KEYS
 from . import kernels
 from .blocks import BLOCK_ROWS, compare_sides, cross_tiles, only_groups_of, plan_blocks, self_tiles
+from .pivots import cross_cell_tiles, self_cell_tiles
 
 LSH_MISS = 1e-6
 BUCKET = ("_band", "_sig")
@@ -56,7 +57,7 @@ def vector_pairs(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     rows = _vector_rows(entries, keys)
-    tiles = self_tiles(rows, plan_blocks([rows], keys, block_rows))
+    tiles = self_cell_tiles(rows, plan_blocks([rows], keys, block_rows), threshold, block_rows)
     return tiles.groupBy("_tile").applyInArrow(
         kernels.pair_kernel(list(keys), threshold, strict), _pair_ddl(keys)
     )
@@ -162,7 +163,7 @@ def first_match(
 
     def tiles() -> DataFrame:
         if miss is None:
-            return cross_tiles(left, right, plan_blocks([left, right], keys, block_rows))
+            return cross_cell_tiles(left, right, plan_blocks([left, right], keys, block_rows), threshold, block_rows)
         sides = [side.drop("_sigs") for side in in_buckets([left, right], keys, threshold, miss)]
         return cross_tiles(*sides, plan_blocks(sides, [*keys, *BUCKET], block_rows))
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels
 from ..operators.blocks import BLOCK_ROWS, BlockPlan, large_only, plan_blocks, self_tiles, small_only
+from ..operators.pivots import plan_cells, self_cell_tiles
 from ..operators.similarity import BUCKET, first_match, in_buckets, key_ddl
 from ..schema import GROUP_KEYS
 from ..session import materialize
@@ -179,6 +180,9 @@ def _keepers(rows, edges, status, keys, threshold, strict, block_rows, miss) ->
 def _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours, miss):
     """Match lists seen, and the final status of every representative (``cut``: its list was cut)."""
     text_edges = _text_edges(rows, keys, threshold, strict)
+    # Cells of all rows hold for what is still compared in later passes.
+    vectors = rows.where("embedding is not null").select(*keys, "id", "embedding")
+    cells = plan_cells(vectors, keys, threshold, block_rows) if miss is None else None
     undecided = rows.select(*keys, "id")
     kept = done = all_edges = None
     for number in count():
@@ -190,7 +194,7 @@ def _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours,
                 "undecided or _kept"
             ).select(*rows.columns, F.coalesce("undecided", F.lit(False)).alias("undecided"))
         edges = materialize(
-            _vector_edges(alive, keys, threshold, strict, block_rows, neighbours, miss).unionByName(
+            _vector_edges(alive, keys, threshold, strict, block_rows, neighbours, miss, cells).unionByName(
                 text_edges.join(undecided, [*keys, "id"], "left_semi")
             ).withColumn("pass", F.lit(number)),
             "match-lists",
@@ -206,13 +210,14 @@ def _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours,
         kept = done.where(F.col("status") == _KEPT).select(*keys, "id")
 
 
-def _vector_edges(alive, keys, threshold, strict, block_rows, neighbours, miss) -> DataFrame:
+def _vector_edges(alive, keys, threshold, strict, block_rows, neighbours, miss, cells) -> DataFrame:
     vectors = alive.where("embedding is not null").select(*keys, "id", "embedding", "undecided")
     within = list(keys)
     if miss is not None:
         (vectors,) = in_buckets([vectors], keys, threshold, miss)
         vectors, within = vectors.drop("_sigs"), [*keys, *BUCKET]
-    tiles = self_tiles(vectors, plan_blocks([vectors], within, block_rows))
+    plan = plan_blocks([vectors], within, block_rows)
+    tiles = self_tiles(vectors, plan) if cells is None else self_cell_tiles(vectors, plan, threshold, block_rows, cells)
     return tiles.groupBy("_tile").applyInArrow(
         kernels.older_neighbours_kernel(keys, threshold, strict, neighbours, banded=miss is not None),
         f"{key_ddl(keys)}, id bigint, older_id bigint, similarity double, more boolean, slot bigint",

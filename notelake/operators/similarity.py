@@ -15,6 +15,7 @@ from ..schema import DEDUP_THRESHOLD, GROUP_KEYS
 from . import kernels
 from .blocks import BLOCK_ROWS, compare_sides, cross_tiles, only_groups_of, plan_blocks, self_tiles
 from .pivots import cross_cell_tiles, self_cell_tiles
+from .sketches import sketched_pairs
 
 LSH_MISS = 1e-6
 BUCKET = ("_band", "_sig")
@@ -127,19 +128,17 @@ def in_buckets(
 def similarity_join_lsh(
     entries: DataFrame, threshold: float = DEDUP_THRESHOLD, *, miss: float = LSH_MISS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Vector pairs as in :func:`similarity_self_join`, comparing only rows that share a signature.
+    """Vector pairs as in :func:`similarity_self_join`, comparing only rows that share a signature, and vectors only of those with close sketches.
 
-    Every candidate is checked on the exact cosine, so nothing false comes out; a true pair at the
+    Every pair is decided on the exact cosine, so nothing false comes out; a true pair at the
     threshold is missed with probability ``miss``, closer pairs with less. Buckets are tiled like
     groups, so a bucket of copies never lands on one task.
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
-    (banded,) = in_buckets([_vector_rows(entries, GROUP_KEYS)], GROUP_KEYS, threshold, miss)
-    plan = plan_blocks([banded], [*GROUP_KEYS, *BUCKET], block_rows)
-    return self_tiles(banded, plan).groupBy("_tile").applyInArrow(
-        kernels.pair_kernel(list(GROUP_KEYS), threshold, False, banded=True), _pair_ddl(GROUP_KEYS)
-    )
+    # A vector without a direction matches nothing, and all its signs are alike.
+    rows = _vector_rows(entries, GROUP_KEYS).where(F.exists("embedding", lambda x: x != 0))
+    return sketched_pairs(rows, threshold, miss, GROUP_KEYS, block_rows=block_rows)
 
 
 def first_match(

@@ -1,9 +1,10 @@
-"""The table as users see it: one object over a stored path, each method one Spark job."""
+"""The table as users see it: one object over a stored path. Writers decide on one version and publish the next."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,11 @@ from .plans import dedup, merge
 from .plans.admission import admit_batch, admitted_rows
 from .schema import DEDUP_THRESHOLD, GROUP_KEYS, TIMELINE_LIMIT
 from .session import materialize
-from .sources import exports, jsonl, keyword_index, memory_files, table
+from .sources import exports, jsonl, keyword_index, memory_files, snapshots, table
+
+Result = TypeVar("Result")
+# How often a write decides anew after another writer came first.
+ATTEMPTS = 5
 
 
 class NoteTable:
@@ -23,12 +28,25 @@ class NoteTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def entries(self, role: str | None = None, category: str | None = None) -> DataFrame:
-        """Stored rows; an absent table counts as empty."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
-            return self.spark.createDataFrame([], table.STORED)
-        return table.scan_entries(self.spark, self.path, role, category)
+    def entries(self, role: str | None = None, category: str | None = None, *, snapshot: snapshots.Snapshot | None = None) -> DataFrame:
+        """Stored rows of the newest version, or of ``snapshot``; an absent table counts as empty."""
+        return table.scan_entries(self.spark, self.path, role, category, snapshot=snapshot)
+
+    def snapshot(self) -> snapshots.Snapshot:
+        return snapshots.current(self.spark, self.path)
+
+    def vacuum(self, *, keep: int = 2, unless_younger_than: float = 24 * 3600.0) -> list[str]:
+        """Delete files that only older versions or writes that broke off hold."""
+        return snapshots.vacuum(self.spark, self.path, keep=keep, unless_younger_than=unless_younger_than)
+
+    def _decided(self, write: Callable[[snapshots.Snapshot], Result]) -> Result:
+        """Run a write that decides on one version; if another writer came first, decide anew."""
+        for _ in range(ATTEMPTS - 1):
+            try:
+                return write(self.snapshot())
+            except snapshots.Conflict:
+                continue
+        return write(self.snapshot())
 
     # Reading
 
@@ -94,8 +112,8 @@ class NoteTable:
         """List the trigrams of all entries; keyword searches then read the entries that the lists name, and later ones."""
         keyword_index.write_keyword_index(self.entries(), f"{self.path}/_keywords")
 
-    def _last_id(self) -> int:
-        return self.entries().agg(F.max("id")).first()[0] or 0
+    def _last_id(self, snapshot: snapshots.Snapshot) -> int:
+        return self.entries(snapshot=snapshot).agg(F.max("id")).first()[0] or 0
 
     def store(
         self, incoming: DataFrame, threshold: float = DEDUP_THRESHOLD, *, embed: Embedder | None = None,
@@ -114,22 +132,30 @@ class NoteTable:
             incoming = incoming.withColumn("embedding", F.lit(None).cast("array<float>"))
         if embed is not None:
             incoming = materialize(embed_missing(incoming, embed), "embedded")
-        verdict = materialize(admit_batch(incoming, self.entries(), threshold), "verdict")
-        fresh = ordering.with_next_ids(admitted_rows(verdict), ["id"], self._last_id())
-        table.append_entries(fresh, self.path)
-        return verdict
+
+        def admit(now: snapshots.Snapshot) -> DataFrame:
+            verdict = materialize(admit_batch(incoming, self.entries(snapshot=now), threshold), "verdict")
+            fresh = ordering.with_next_ids(admitted_rows(verdict), ["id"], self._last_id(now))
+            table.append_entries(fresh, self.path, base=now)
+            return verdict
+
+        return self._decided(admit)
 
     def collect_garbage(
         self, role: str, category: str | None = None, threshold: float = DEDUP_THRESHOLD, *, dry_run: bool = True
     ) -> DataFrame:
         """Duplicates of a role; unless a dry run, rewrite the directories that held any."""
-        rows = self.entries(role, category)
-        found = materialize(dedup.dedup_find(rows, threshold), "duplicates")
-        if not dry_run and not found.isEmpty():
-            touched = found.select(*GROUP_KEYS).distinct()
-            left = dedup.dedup_apply(rows.join(touched, list(GROUP_KEYS), "left_semi"), found)
-            table.replace_partitions(materialize(left, "survivors"), self.path)
-        return found
+
+        def clean(now: snapshots.Snapshot) -> DataFrame:
+            rows = self.entries(role, category, snapshot=now)
+            found = materialize(dedup.dedup_find(rows, threshold), "duplicates")
+            if not dry_run and not found.isEmpty():
+                touched = found.select(*GROUP_KEYS).distinct()
+                left = dedup.dedup_apply(rows.join(touched, list(GROUP_KEYS), "left_semi"), found)
+                table.replace_partitions(left, self.path, base=now)
+            return found
+
+        return self._decided(clean)
 
     def import_tree(
         self, root: str, embed: Embedder | None = None, *, as_of: date | str, dry_run: bool = False
@@ -138,29 +164,38 @@ class NoteTable:
 
         Without an embedder the rows are stored without vectors.
         """
-        records = jsonl.read_jsonl_memories(self.spark, root, as_of)
-        stored = self.entries()
-        fresh = materialize(merge.merge_jsonl(records, stored), "fresh")
-        files = jsonl.list_jsonl_files(self.spark, root)
-        if dry_run:
-            return merge.merge_summary(records, fresh.limit(0), files, stored)
-        summary = materialize(merge.merge_summary(records, fresh, files, stored), "summary")
-        rows = ordering.with_next_ids(fresh, ["path", "position"], self._last_id())
-        rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
-        table.append_entries(merge.rebuild_embeddings(rows, embed) if embed else rows, self.path)
-        return summary
+
+        def merged(now: snapshots.Snapshot) -> DataFrame:
+            records = jsonl.read_jsonl_memories(self.spark, root, as_of)
+            stored = self.entries(snapshot=now)
+            fresh = materialize(merge.merge_jsonl(records, stored), "fresh")
+            files = jsonl.list_jsonl_files(self.spark, root)
+            if dry_run:
+                return merge.merge_summary(records, fresh.limit(0), files, stored)
+            summary = materialize(merge.merge_summary(records, fresh, files, stored), "summary")
+            rows = ordering.with_next_ids(fresh, ["path", "position"], self._last_id(now))
+            rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+            table.append_entries(merge.rebuild_embeddings(rows, embed) if embed else rows, self.path, base=now)
+            return summary
+
+        return self._decided(merged)
 
     def rebuild(self, embed: Embedder | None = None, *, dry_run: bool = False) -> DataFrame:
         """Fill in missing vectors, rewriting only directories that lack some.
 
         Returns per group how many rows were pending, and after a run how many were filled and how many remain.
         """
-        pending = materialize(merge.rebuild_report(self.entries()), "pending")
-        if not dry_run and embed is not None and not pending.isEmpty():
-            touched = self.entries().join(pending.select(*GROUP_KEYS), list(GROUP_KEYS), "left_semi")
-            filled = materialize(merge.rebuild_embeddings(touched, embed), "rebuilt")
-            table.replace_partitions(filled, self.path)
-            left = filled.where("embedding is null").groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("remaining"))
-            pending = pending.join(left, list(GROUP_KEYS), "left").withColumn("remaining", F.coalesce("remaining", F.lit(0)))
-            return pending.withColumn("filled", F.col("pending") - F.col("remaining"))
-        return pending.withColumn("remaining", F.col("pending")).withColumn("filled", F.lit(0).cast("bigint"))
+
+        def filled(now: snapshots.Snapshot) -> DataFrame:
+            stored = self.entries(snapshot=now)
+            pending = materialize(merge.rebuild_report(stored), "pending")
+            if dry_run or embed is None or pending.isEmpty():
+                return pending.withColumn("remaining", F.col("pending")).withColumn("filled", F.lit(0).cast("bigint"))
+            touched = stored.join(pending.select(*GROUP_KEYS), list(GROUP_KEYS), "left_semi")
+            rebuilt = materialize(merge.rebuild_embeddings(touched, embed), "rebuilt")
+            table.replace_partitions(rebuilt, self.path, base=now)
+            left = rebuilt.where("embedding is null").groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("remaining"))
+            report = pending.join(left, list(GROUP_KEYS), "left").withColumn("remaining", F.coalesce("remaining", F.lit(0)))
+            return report.withColumn("filled", F.col("pending") - F.col("remaining"))
+
+        return self._decided(filled)

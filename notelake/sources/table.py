@@ -1,4 +1,4 @@
-"""The stored table: Parquet, partitioned by role and category."""
+"""The stored table: Parquet, partitioned by role and category, in versions."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.vectors import norm
 from ..operators.filters import filter_role_category
 from ..schema import ENTRIES, GROUP_KEYS
+from .snapshots import Snapshot, current, publish, write_folders
 
 STORED = T.StructType(
     [f for f in ENTRIES.fields if f.name not in GROUP_KEYS]
@@ -18,13 +19,34 @@ STORED = T.StructType(
 
 
 def scan_entries(
-    spark: SparkSession, path: str, role: str | None = None, category: str | None = None
+    spark: SparkSession, path: str, role: str | None = None, category: str | None = None, *, snapshot: Snapshot | None = None
 ) -> DataFrame:
-    """Read a stored table; role and category prune directories.
+    """Read a stored table as of its newest version, or of ``snapshot``; role and category prune directories.
 
     The schema is given, since inferred partition types would turn role '01' into a number.
     """
-    return filter_role_category(spark.read.schema(STORED).parquet(path), role, category)
+    snapshot = snapshot or current(spark, path)
+    # Folders of other groups are not even listed.
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    wanted = [f"{k}={named(v)}" for k, v in zip(GROUP_KEYS, (role, category)) if v]
+    folders = [f for f in snapshot.folders if set(wanted) <= set(f.split("/"))]
+    if not folders:
+        return filter_role_category(spark.createDataFrame([], STORED), role, category)
+    plain = [f for f in folders if not f.startswith("data/")]
+    parts = []
+    if plain:
+        parts.append(spark.read.schema(STORED).option("basePath", path).parquet(*[f"{path}/{_escaped(f)}" for f in plain]))
+    written = [f for f in folders if f.startswith("data/")]
+    if written:
+        reader = spark.read.schema(T.StructType([*STORED.fields, T.StructField("write", T.StringType())])).option("basePath", f"{path}/data")
+        parts.append(reader.parquet(*[f"{path}/{_escaped(f)}" for f in written]).drop("write"))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return filter_role_category(found, role, category)
+
+
+def _escaped(folder: str) -> str:
+    """The folder as a path to read: characters that would count as a pattern are quoted."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in folder)
 
 
 def to_stored(entries: DataFrame) -> DataFrame:
@@ -37,20 +59,23 @@ def to_stored(entries: DataFrame) -> DataFrame:
     return entries.select(*[columns[f.name].alias(f.name) for f in STORED.fields])
 
 
-def append_entries(entries: DataFrame, path: str, mode: str = "append") -> None:
-    """Write one directory per (role, category).
+def append_entries(entries: DataFrame, path: str, *, base: Snapshot | None = None) -> Snapshot:
+    """Write one directory per (role, category), seen by readers all at once.
 
     ``rebalance`` lets adaptive execution merge small groups into one task and split a large group
-    over many, so neither tiny files nor one huge writer task come out.
+    over many, so neither tiny files nor one huge writer task come out. ``base``: the version that the rows were
+    decided on; raises ``Conflict`` if it is no longer the newest.
     """
-    rows = to_stored(entries).hint("rebalance", *GROUP_KEYS)
-    rows.write.mode(mode).partitionBy(*GROUP_KEYS).parquet(path)
+    spark = entries.sparkSession
+    folders = write_folders(to_stored(entries).hint("rebalance", *GROUP_KEYS), path)
+    return publish(spark, path, base or current(spark, path), folders, depends=() if base is None else None)
 
 
-def replace_partitions(entries: DataFrame, path: str) -> None:
-    """Overwrite only the (role, category) directories present in ``entries``.
+def replace_partitions(entries: DataFrame, path: str, *, base: Snapshot | None = None) -> Snapshot:
+    """Put ``entries`` in place of the (role, category) directories that they are of.
 
-    ``entries`` must not be a lazy read of ``path``; pass a materialized table.
+    ``base``: the version that the rows were decided on; raises ``Conflict`` if one of these directories changed since.
     """
-    rows = to_stored(entries).hint("rebalance", *GROUP_KEYS)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*GROUP_KEYS).parquet(path)
+    spark = entries.sparkSession
+    base = base or current(spark, path)
+    return publish(spark, path, base, write_folders(to_stored(entries).hint("rebalance", *GROUP_KEYS), path), replace=True)

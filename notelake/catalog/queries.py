@@ -572,4 +572,4 @@ def stream_admit_semantic(spark, sf):
     sink, state = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-state")
     arriving = fx.vector_copies_of(_stream(spark, sf, "embeddings"))
     streaming.stream_admit_semantic(arriving, sink, state).awaitTermination()
-    return spark.read.schema(arriving.schema).parquet(sink).select("id", "category")
+    return streaming.read_admitted(spark, sink, arriving.schema).select("id", "category")

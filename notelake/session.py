@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Input up to this size may sit in fewer files than there are cores.
 SMALL_INPUT_BYTES = 256 << 20
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_scope: ContextVar[str] = ContextVar("scratch_scope", default="")
 
 
 def build_session(app: str = "notelake", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,7 +66,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; never reused, so a retry cannot read stale data."""
-    return f"{shared_dir(spark)}/notelake/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/notelake/{_scope.get()}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, label: str) -> Iterator[None]:
+    """Steps written inside go when it ends; for work that repeats, such as the batches of a stream."""
+    folder = f"{label}-{uuid.uuid4().hex}"
+    token = _scope.set(f"{_scope.get()}{folder}/")
+    try:
+        yield
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/notelake/{_scope.get()}")
+        _scope.reset(token)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.vectors import norm
 from ..operators.filters import filter_role_category
 from ..schema import ENTRIES, GROUP_KEYS
-from .snapshots import Snapshot, current, publish, write_folders
+from .snapshots import Snapshot, current, escaped, publish, read_folders, write_folders
 
 STORED = T.StructType(
     [f for f in ENTRIES.fields if f.name not in GROUP_KEYS]
@@ -35,20 +35,14 @@ def scan_entries(
     plain = [f for f in folders if not f.startswith("data/")]
     parts = []
     if plain:
-        parts.append(spark.read.schema(STORED).option("basePath", path).parquet(*[f"{path}/{_escaped(f)}" for f in plain]))
+        parts.append(spark.read.schema(STORED).option("basePath", path).parquet(*[f"{path}/{escaped(f)}" for f in plain]))
     written = [f for f in folders if f.startswith("data/")]
     if written:
-        reader = spark.read.schema(T.StructType([*STORED.fields, T.StructField("write", T.StringType())])).option("basePath", f"{path}/data")
-        parts.append(reader.parquet(*[f"{path}/{_escaped(f)}" for f in written]).drop("write"))
+        parts.append(read_folders(spark, path, STORED, written))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return filter_role_category(found, role, category)
 
 
-def _escaped(folder: str) -> str:
-    """The folder as a path to read: characters that would count as a pattern are quoted."""
-    return "".join("\\" + c if c in "*?[]{}\\" else c for c in folder)
-
-
 def to_stored(entries: DataFrame) -> DataFrame:
     """Full column set with the derived ``has_embedding`` and ``norm``."""
     columns = {f.name: F.col(f.name).cast(f.dataType) for f in ENTRIES.fields if f.name in entries.columns}

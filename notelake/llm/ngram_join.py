@@ -273,24 +273,27 @@ def _linked(sets: DataFrame, percent: int, frequent: int, block_nodes: int) -> D
     blocks = _blocks(index, block_nodes)
     schema = "u long, v long"
     # Inside the blocks first. Nodes arrive once each, with their keys and their set.
-    keys = index.join(blocks, "node").groupBy("block", "node").agg(F.collect_set("k").alias("keys"))
-    rows = keys.join(sets.select("node", "tokens"), "node").select("block", "node", F.col("node").alias("label"), F.lit(0).alias("side"), "keys", "tokens")
+    keys = index.join(blocks, "node").groupBy("block", "node", "guest").agg(F.collect_set("k").alias("keys"))
+    members = settled(keys.join(sets.select("node", "tokens"), "node"), "op4-members")
+    rows = members.select("block", "node", F.col("node").alias("label"), F.lit(0).alias("side"), "keys", "tokens")
     links = settled(rows.groupBy("block").applyInArrow(_block_links(percent), schema), "op4-links")
     roots = components(links, "op4-components")
     # Then between blocks, where a key still has nodes that are not connected: first each key's blocks with the first of
     # them, which connects what large families have in several blocks, then all that this leaves open.
-    home = settled(blocks.where("not guest").select("node", "block"), "op4-home")
+    home = blocks.where("not guest").select("node", "block")
     for pairs_of in (_first_pairs, _all_pairs):
-        labelled = index.join(roots, "node", "left").join(home, "node").select("k", "node", "block", F.coalesce("root", "node").alias("label"))
-        labelled = settled(labelled, "op4-labelled")
-        split = labelled.groupBy("k").agg((F.min("label") < F.max("label")).alias("open"), (F.min("block") < F.max("block")).alias("apart")).where("open and apart").select("k")
-        still = settled(labelled.join(split, "k"), "op4-still", labelled)
-        places = settled(still.groupBy("k", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), "op4-places")
-        # A similar pair shares more than g keys, so its blocks do. Blocks meet here, not nodes.
+        labels = settled(home.join(roots, "node", "left").select("node", "block", F.coalesce("root", "node").alias("label")), "op4-labels")
+        # Blocks meet here, not nodes: a key has one row per block.
+        places = index.join(labels, "node").groupBy("k", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        places = settled(places, "op4-places")
+        spread = places.groupBy("k").agg(F.min("low").alias("a"), F.max("high").alias("z"), F.min("block").alias("b"), F.max("block").alias("y"))
+        places = places.join(spread.where("a < z and b < y").select("k"), "k")
+        # A similar pair shares more than g keys, so its blocks do.
         pairs = pairs_of(places).where(F.col("n") > F.pow(F.lit(2), F.col("level"))).select("block1", "block2").distinct()
-        pairs = settled(pairs, "op4-block-pairs", places)
-        held = still.groupBy("block", "node", "label").agg(F.collect_set("k").alias("keys")).join(sets.select("node", "tokens"), "node")
-        held = settled(held, "op4-held", still)
+        pairs = settled(pairs, "op4-block-pairs")
+        asked = pairs.select(F.col("block1").alias("block")).unionByName(pairs.select(F.col("block2").alias("block"))).distinct()
+        held = members.where("not guest").join(asked, "block", "left_semi").join(labels.select("node", "label"), "node")
+        held = settled(held.select("block", "node", "label", "keys", "tokens"), "op4-held")
         sides = [
             pairs.withColumn("block", F.col(f"block{i + 1}")).join(held, "block").select("block1", "block2", "node", "label", F.lit(i).alias("side"), "keys", "tokens")
             for i in (0, 1)

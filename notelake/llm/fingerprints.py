@@ -29,19 +29,21 @@ SAMPLES = 64
 BLOCK = 1024
 
 
-def _uniforms(word: Column, seed: int, salt: int) -> tuple[Column, Column]:
-    """Two numbers between 0 and 1 from the halves of one hash."""
-    h = F.xxhash64(word, F.lit(seed * 4 + salt))
-    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
-    return (low + 0.5) / float(1 << 32), (high + 0.5) / float(1 << 32)
+def _uniform(h: Column, first: int, bits: int) -> Column:
+    """A number between 0 and 1 from some bits of a hash."""
+    part = F.shiftrightunsigned(h, first) if first else h
+    if first + bits < 64:
+        part = part.bitwiseAND(F.lit((1 << bits) - 1))
+    return (part + 0.5) * (0.5**bits)
 
 
 def _value(word: Column, log_weight: Column, seed: int) -> Column:
-    one, two = _uniforms(word, seed, 0)
-    three, four = _uniforms(word, seed, 1)
-    b, _ = _uniforms(word, seed, 2)
-    r = -F.ln(one * two)
-    return F.ln(-F.ln(three * four)) - r * (F.floor(log_weight / r + b) - b + 1)
+    rough, fine = F.xxhash64(word, F.lit(2 * seed)), F.xxhash64(word, F.lit(2 * seed + 1))
+    b, r = _uniform(rough, 0, 21), -F.ln(_uniform(rough, 21, 21) * _uniform(rough, 42, 22))
+    log_c = F.ln(-F.ln(_uniform(fine, 0, 32) * _uniform(fine, 32, 32)))
+    # A word that occurs once has t = floor(b) = 0.
+    steps = F.when(log_weight == 0.0, 1.0 - b).otherwise(F.floor(log_weight / r + b) - b + 1)
+    return log_c - r * steps
 
 
 def _with_successor(docs: DataFrame, block: int) -> DataFrame:

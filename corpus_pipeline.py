@@ -2,8 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept and returns a
 DataFrame; all but the last return the columns of ``documents``. What they decide, SQL cannot express
-(a sampled classifier, suffix arrays, a latent space), so there is no SQL for the whole; tests compare
-the stages with brute force.
+(a fitted classifier, a piece lattice), so there is no SQL for the whole. The operators are tested one by one, the
+stages on planted documents (``tests/llm/test_pipeline.py``).
+
+Null and empty texts, repeated rows, missing doc_ids and further columns go through all stages as each operator's
+docstring says; an empty table gives no rows.
 """
 
 from __future__ import annotations

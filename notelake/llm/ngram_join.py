@@ -287,10 +287,12 @@ def _linked(sets: DataFrame, percent: int, frequent: int, block_nodes: int) -> D
         places = index.join(labels, "node").groupBy("k", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         places = settled(places, "op4-places")
         spread = places.groupBy("k").agg(F.min("low").alias("a"), F.max("high").alias("z"), F.min("block").alias("b"), F.max("block").alias("y"))
-        places = places.join(spread.where("a < z and b < y").select("k"), "k")
+        places = settled(places.join(spread.where("a < z and b < y").select("k"), "k"), "op4-open", places)
         # A similar pair shares more than g keys, so its blocks do.
         pairs = pairs_of(places).where(F.col("n") > F.pow(F.lit(2), F.col("level"))).select("block1", "block2").distinct()
-        pairs = settled(pairs, "op4-block-pairs")
+        pairs = settled(pairs, "op4-block-pairs", places)
+        if pairs.isEmpty():
+            continue
         asked = pairs.select(F.col("block1").alias("block")).unionByName(pairs.select(F.col("block2").alias("block"))).distinct()
         held = members.where("not guest").join(asked, "block", "left_semi").join(labels.select("node", "label"), "node")
         held = settled(held.select("block", "node", "label", "keys", "tokens"), "op4-held")
@@ -299,8 +301,8 @@ def _linked(sets: DataFrame, percent: int, frequent: int, block_nodes: int) -> D
             for i in (0, 1)
         ]
         across = settled(sides[0].unionByName(sides[1]).groupBy("block1", "block2").applyInArrow(_block_links(percent), schema), "op4-across", held)
-        edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(across)
-        roots = components(edges, "op4-components")
+        if not across.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(across), "op4-components")
     return roots
 
 

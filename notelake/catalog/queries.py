@@ -553,8 +553,8 @@ QUERIES["embed_column"] = QUERIES.pop("embed_documents")
 
 
 def _stream(spark, sf, name):
-    files = spark.readStream.schema(fx.table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet")
-    return files.parquet(sf)
+    # A pattern, since a table is one file or a folder of them, and a plain path would have to be a folder.
+    return spark.readStream.schema(fx.table(spark, sf, name).schema).parquet(f"{sf}/{name}[.]parquet")
 
 
 @query
@@ -564,7 +564,8 @@ def stream_admit(spark, sf):
         F.col("doc_id").alias("id"), F.lit("corpus").alias("role"), F.col("lang").alias("category"), "text"
     )
     streaming.stream_admit(arriving, sink, state).awaitTermination()
-    return spark.read.parquet(sink).select("role", "category", X.normalized(F.col("text")).alias("normalized"))
+    # With the schema at hand, since nothing may have been admitted.
+    return spark.read.schema(arriving.schema).parquet(sink).select("role", "category", X.normalized(F.col("text")).alias("normalized"))
 
 
 @query

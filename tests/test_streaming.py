@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from notelake import session
+from notelake.catalog import QUERIES
 from notelake.sources import snapshots
 from notelake.streaming import admit
 from notelake.streaming.admit import admit_into, read_admitted, stream_admit, stream_admit_semantic
@@ -91,3 +92,14 @@ def test_many_batches_keep_folders_few_and_scratch_empty(spark, tmp_path, monkey
     assert read_admitted(spark, sink, schema).count() == 3 + 14
     assert len(now.folders) <= 8 and dict(now.batches) == {"only": 23}
     assert not any(os.path.exists(p.rsplit("/", 1)[0]) for p in scratch)
+
+
+def test_streamed_tables_may_be_folders_and_may_admit_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Hi", "en"), (2, " hi\n", "en"), (3, "hi", "de"), (4, None, "de")], "doc_id bigint, text string, lang string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = [(n, [float(n == k) for k in range(20)], 0) for n in range(17, 20)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").repartition(2).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {(r["category"], r["normalized"]) for r in QUERIES["stream_admit"](spark, str(tmp_path)).collect()} == {("en", "hi"), ("de", "hi")}
+    assert {r["id"] for r in QUERIES["stream_admit_semantic"](spark, str(tmp_path)).collect()} == {85, 90, 95}
+    docs.where("text is null").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert QUERIES["stream_admit"](spark, str(tmp_path / "none")).count() == 0

@@ -258,7 +258,7 @@ ORACLES: dict[str, str] = {
     "semantic_search": f"""with {_E3}, sims as (select E3.id, E3.role, E3.category, {_cos('E3.embedding', 'v.embedding')} as s
  from E3, (select embedding from embeddings where vec_id = 0) v)
  select id, role, category, round(s, 4) as similarity from sims where s > 0.3""",
-    "hybrid_search": f"""with {_E1}, {_E3}, given as (select vec_id, 'c' || label as category, embedding from embeddings where vec_id in (3, 4)),
+    "hybrid_search": _batch() + f""", {_E1}, given as (select vec_id, 'c' || label as category, embedding from embeddings where vec_id in (3, 4)),
  sims as (select g.vec_id, e.id, {_cos('g.embedding', 'e.embedding')} as s, e.text from given g join E3 e using (category)),
  words as (
   select 1 as query_no, e.id, e.text, lower(e.text || ' ') as hay, ['item', '00004'] as w from given g join E3 e using (category) where g.vec_id = 4
@@ -266,9 +266,11 @@ ORACLES: dict[str, str] = {
   union all select 2, id, text, lower(text || ' ' || array_to_string(tags, ' ')), ['quality', 'the', 'system', 'data', 'and', 'model', 'results']
   from E1 where role = 'en' and category = 'src1' and list_contains(tags, 'quality')),
  scored as (select *, cast(len(list_filter(w, lambda x: contains(hay, x))) as INTEGER) as score from words)
- select 0 as query_no, id, 'semantic' as mode, round(s, 4) as similarity, null::INTEGER as score, text from sims where vec_id = 3 and s > 0.75
+ select null::INTEGER as query_no, query_id, mode, rank::INTEGER as rank, id, round(s, 4) as similarity, score, null::VARCHAR as text from found
  union all
- select query_no, id, 'keyword', null, score, text from scored where score >= (len(w) + 1) // 2
+ select 0, null, 'semantic', null, id, round(s, 4), null, text from sims where vec_id = 3 and s > 0.75
+ union all
+ select query_no, null, 'keyword', null, id, null, score, text from scored where score >= (len(w) + 1) // 2
  qualify query_no <> 3 or row_number() over (partition by query_no order by id) <= 7""",
     "batch_search_unlimited": _batch() + _HITS,
     "batch_search": _batch() + _HITS + " where rank <= 3",

@@ -202,7 +202,8 @@ def _hits(df: DataFrame) -> DataFrame:
 
 @query
 def hybrid_search(spark, sf):
-    """Single queries: one that vectors answer, one that falls back to keywords, one without a vector but with a tag, one cut off."""
+    """Every query of the batch, without ranks cut off; then single ones: one that vectors answer, one that falls back to
+    keywords, one without a vector but with a tag, one cut off."""
     copies, docs = fx.vector_copies(spark, sf), fx.documents_as_entries(spark, sf)
     given = fx.table(spark, sf, "embeddings").where("vec_id in (3, 4)").orderBy("vec_id").collect()
     asked = [
@@ -211,10 +212,12 @@ def hybrid_search(spark, sf):
         search.hybrid_search(docs, "en", "src1", _WORDS, tag="quality"),
         search.hybrid_search(copies, "vec", f"c{given[0]['label']}", "vector item", limit=7),
     ]
-    found = None
+    columns = ["query_no", "query_id", "mode", "rank", "id", "similarity", "score", "text"]
+    batch = _hits(search.batch_search(copies, fx.query_batch(spark, sf, None)))
+    found = batch.select(F.lit(None).cast("int").alias("query_no"), "*", F.lit(None).cast("string").alias("text")).select(*columns)
     for number, one in enumerate(asked):
-        here = one.select(F.lit(number).alias("query_no"), "id", "mode", F.round("similarity", 4).alias("similarity"), "score", "text")
-        found = here if found is None else found.unionByName(here)
+        here = one.withColumns({"query_no": F.lit(number), "query_id": F.lit(None).cast("bigint"), "rank": F.lit(None).cast("int")})
+        found = found.unionByName(here.withColumn("similarity", F.round("similarity", 4)).select(*columns))
     return found
 
 

@@ -2,6 +2,7 @@ import math
 
 import pytest
 
+from notelake.catalog import QUERIES
 from notelake.operators import blocks, filters, search
 
 
@@ -72,3 +73,14 @@ def test_large_groups_and_shuffled_queries_give_the_same(spark, sf_dir, monkeypa
     monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
     tiled = search.batch_search(entries, asked, block_rows=100).select(*columns).collect()
     assert sorted(whole) == sorted(tiled) and len(whole) > 1000
+
+
+def test_the_hybrid_query_asks_for_every_vector(spark, tmp_path):
+    vectors = [(n, [float(n == k) for k in range(30)], 0) for n in range(9)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(1, "the data", "en", "src1")], "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = QUERIES["hybrid_search"](spark, str(tmp_path)).collect()
+    batch = {(r["query_id"], r["mode"]) for r in found if r["query_no"] is None}
+    assert batch == {(n, "semantic" if n % 3 == 0 else "keyword") for n in range(9)}
+    assert {r["query_no"] for r in found} >= {None, 0, 1, 3}

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from ..session import spread_small
 
 BLOCK_ROWS = 8192
+# Blocks that are smaller than this share a tile: bytes of vectors, and rows, of one side of it.
+TILE_BYTES = 8 << 20
+TILE_ROWS = 32_768
 # A list of large groups up to this length is shipped to every executor; a longer one is joined
 # by shuffle.
 MAX_BROADCAST_GROUPS = 10_000
@@ -34,12 +37,23 @@ class BlockPlan:
     bundles: int
     large: DataFrame | None
     broadcast_large: bool
+    # So many neighbouring blocks make one side of a tile.
+    strip: int = 1
+
+
+def blocks_per_tile(rows: DataFrame, block_rows: int) -> int:
+    """How many blocks of ``block_rows`` rows one side of a tile takes, by the bytes of the widest vector."""
+    widest = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    return max(1, min(TILE_ROWS, TILE_BYTES // (4 * max(widest, 1))) // block_rows)
 
 
 def plan_blocks(
-    sides: Sequence[DataFrame], keys: Sequence[str], block_rows: int = BLOCK_ROWS
+    sides: Sequence[DataFrame], keys: Sequence[str], block_rows: int = BLOCK_ROWS, strip: int = 1
 ) -> BlockPlan:
-    """Size the groups with one column-pruned aggregate; only its one-row summary is fetched."""
+    """Size the groups with one column-pruned aggregate; only its one-row summary is fetched.
+
+    With ``strip``, tiles and bundles take so many blocks on a side (for ``self_tiles`` only).
+    """
     keys = tuple(keys)
     counted = [
         side.select(*keys, *[F.lit(int(n == k)).alias(f"_n{k}") for k in range(len(sides))])
@@ -60,9 +74,9 @@ def plan_blocks(
     if not summary["groups"]:
         return BlockPlan(keys, 1, None, False)
     parallel = 2 * spark.sparkContext.defaultParallelism
-    bundles = max(-(-int(summary["rows"]) // block_rows), min(parallel, int(summary["groups"])))
+    bundles = max(-(-int(summary["rows"]) // (block_rows * strip)), min(parallel, int(summary["groups"])))
     if summary["top"] <= block_rows:
-        return BlockPlan(keys, bundles, None, False)
+        return BlockPlan(keys, bundles, None, False, strip)
     big = F.col(names[0]) > block_rows
     for name in names[1:]:
         big = big | (F.col(name) > block_rows)
@@ -73,8 +87,8 @@ def plan_blocks(
     )
     listed = large.take(MAX_BROADCAST_GROUPS + 1)
     if len(listed) <= MAX_BROADCAST_GROUPS:
-        return BlockPlan(keys, bundles, spark.createDataFrame(listed, large.schema), True)
-    return BlockPlan(keys, bundles, large, False)
+        return BlockPlan(keys, bundles, spark.createDataFrame(listed, large.schema), True, strip)
+    return BlockPlan(keys, bundles, large, False, strip)
 
 
 def only_groups_of(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -133,11 +147,18 @@ def _tile(plan: BlockPlan, is_large: Column) -> Column:
 
 
 def self_tiles(df: DataFrame, plan: BlockPlan, row_id: str = "id") -> DataFrame:
-    """Rows replicated to every tile (i <= j) of their group: ``_tile``, ``_i``, ``_j``, ``_b``."""
+    """Rows replicated to every tile (i <= j) of their group: ``_tile``, ``_i``, ``_j``, ``_b``.
+
+    With strips of several blocks, these are the strips, and ``_slot`` is the row's block: a row is copied once per strip,
+    not once per block, and groups of one strip share bundles.
+    """
     rows = with_block_counts(df, plan).withColumn("_b", block_of(row_id, F.col("_nb0")))
     if plan.large is None:
         rows = rows.select("*", F.lit(0).alias("_i"), F.lit(0).alias("_j"))
     else:
+        if plan.strip > 1:
+            rows = rows.withColumnRenamed("_b", "_slot").withColumns({
+                "_b": F.floor(F.col("_slot") / plan.strip).cast("int"), "_nb0": F.ceil(F.col("_nb0") / plan.strip).cast("int")})
         rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_nb0") - 1)).alias("_k")).select(
             "*", F.least("_b", "_k").alias("_i"), F.greatest("_b", "_k").alias("_j")
         ).drop("_k")

@@ -50,6 +50,62 @@ def _make(table: pa.Table, keys: list[str], at: np.ndarray, schema: pa.Schema, *
     return pa.table({f.name: data[f.name].cast(f.type) for f in schema}, schema=schema)
 
 
+# Directions of the first look at a pair; wider vectors are compared whole only where it leaves them a chance.
+_HEAD = 24
+
+
+def _heads(block: Block) -> np.ndarray | None:
+    """Unit vectors in a few random directions, and the length of what is left of each: their product bounds the cosine from above."""
+    dim = block.unit.shape[1]
+    if dim < 2 * _HEAD:
+        return None
+    turned, _ = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, _HEAD)))
+    head = block.unit @ turned.astype(np.float32)
+    rest = np.einsum("ij,ij->i", block.unit, block.unit, dtype=np.float64) - np.einsum("ij,ij->i", head, head, dtype=np.float64)
+    # Rounding of a length near zero is as large as the root of that of its square.
+    return np.column_stack([head, np.sqrt(np.maximum(rest, 0.0) + block.slack)]).astype(np.float32)
+
+
+def _likely(a: Block, b: Block, head_a, head_b, lo: int, hi: int, end: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the candidates among rows lo to hi and columns up to ``end``: the same as of ``_candidates``."""
+    least = np.float32(threshold - a.slack)
+    if head_a is not None:
+        # The product of two heads has its own rounding; the added slack covers it.
+        open_pairs = head_a[lo:hi] @ head_b[:end].T >= np.float32(threshold - 2 * a.slack)
+        if np.count_nonzero(open_pairs) * 32 <= open_pairs.size:
+            r, c = np.divmod(np.flatnonzero(open_pairs), end)
+            near = np.empty(len(r), bool)
+            for at in range(0, len(r), _CHECK):
+                some = slice(at, at + _CHECK)
+                near[some] = np.einsum("ij,ij->i", a.unit[lo + r[some]], b.unit[c[some]]) >= least
+            return r[near], c[near]
+    return np.divmod(np.flatnonzero(a.unit[lo:hi] @ b.unit[:end].T >= least), end)
+
+
+def _smallest_per_slot(r, c, slots, a, lo, b, threshold, strict, wanted):
+    """For each row and slot of the candidates, up to ``wanted`` hits in column order: (row, column, similarity, more left)."""
+    code = r * (int(slots.max()) + 1) + slots[c]
+    order = np.argsort(code, kind="stable")
+    r, c, code = r[order], c[order], code[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    end = np.append(first[1:], len(code))
+    at, found = first.copy(), np.zeros(len(first), np.int64)
+    live = np.arange(len(first))
+    hits, of, sims = [], [], []
+    while len(live):
+        here = at[live]
+        s = exact_cosine(a, lo + r[here], b, c[here])
+        ok = passes(s, threshold, strict)
+        hits.append(here[ok])
+        of.append(live[ok])
+        sims.append(s[ok])
+        found[live[ok]] += 1
+        at[live] += 1
+        live = live[(found[live] < wanted) & (at[live] < end[live])]
+    hit, of = np.concatenate(hits), np.concatenate(of)
+    return r[hit], c[hit], np.concatenate(sims), (at < end)[of]
+
+
 def _smallest_hits(mask, a, rows_a, b, threshold, strict, wanted):
     """For each row of a chunk, up to ``wanted`` hits in column order: (row, column, similarity).
 
@@ -229,7 +285,8 @@ def older_neighbours_kernel(
 ) -> Callable:
     """For each undecided row of a tile, its ``wanted`` smallest older matches and whether more may exist.
 
-    ``slot`` is the block (and band) the matches are from: one list per row and slot.
+    ``slot`` is the block (and band) the matches are from: one list per row and slot. A tile may hold several blocks on a
+    side. Both sides go by id, so a row meets only the part of the other side that is older.
     """
     schema = _schema(
         keys, ("id", pa.int64()), ("older_id", pa.int64()), ("similarity", pa.float64()), ("more", pa.bool_()),
@@ -240,33 +297,44 @@ def older_neighbours_kernel(
         ids, block, i_of, j_of, undecided = _columns(table, "id", "_b", "_i", "_j", "undecided")
         vectors = VectorColumn(table.column("embedding"))
         bucket = _bucket(table, banded)
+        slot_of = _columns(table, "_slot")[0].astype(np.int64) if "_slot" in table.column_names else block.astype(np.int64)
         parts = []
         for rows in subgroups(table, keys, i_of, j_of, vectors.dims, *bucket):
             if len(rows) < 2:
                 continue
             rows = rows[np.argsort(ids[rows], kind="stable")]
             if i_of[rows[0]] == j_of[rows[0]]:
-                sides = [(rows, rows, i_of[rows[0]])]
+                sides = [(rows, rows)]
             else:
                 first, second = rows[block[rows] == i_of[rows[0]]], rows[block[rows] == j_of[rows[0]]]
-                sides = [(first, second, j_of[rows[0]]), (second, first, i_of[rows[0]])]
-            for asking, others, slot in sides:
-                slot = int(slot) + (int(bucket[0][rows[0]]) << 32 if banded else 0)
+                sides = [(first, second), (second, first)]
+            above = int(bucket[0][rows[0]]) << 32 if banded else 0
+            for asking, others in sides:
                 asking = asking[undecided[asking]]
                 if not len(asking) or not len(others):
                     continue
                 a, b = vectors.block(asking), vectors.block(others)
-                for lo in range(0, len(asking), _STEP):
-                    hi = min(lo + _STEP, len(asking))
-                    mask = _candidates(a, b, lo, hi, threshold)
-                    mask &= ids[others][None, :] < ids[asking[lo:hi]][:, None]
-                    r, c, s, more = _smallest_hits(mask, a, np.arange(lo, hi), b, threshold, strict, wanted)
+                wide = len(asking) * len(others) > _CHECK
+                head_a, head_b = (_heads(a), _heads(b)) if wide else (None, None)
+                slots, ids_a, ids_b = slot_of[others], ids[asking], ids[others]
+                ends = np.searchsorted(ids_b, ids_a)
+                step = max(64, min(_STEP, _STEP * 8192 // len(others)))
+                for lo in range(0, len(asking), step):
+                    hi = min(lo + step, len(asking))
+                    end = int(ends[hi - 1])
+                    if not end:
+                        continue
+                    r, c = _likely(a, b, head_a, head_b, lo, hi, end, threshold)
+                    older = c < ends[lo + r]
+                    r, c = r[older], c[older]
+                    if not len(r):
+                        continue
+                    r, c, s, more = _smallest_per_slot(r, c, slots, a, lo, b, threshold, strict, wanted)
                     if len(r):
                         at = asking[r + lo]
                         parts.append(_make(
                             table, keys, at, schema,
-                            id=ids[at], older_id=ids[others[c]], similarity=s, more=more[r],
-                            slot=np.full(len(r), slot),
+                            id=ids[at], older_id=ids_b[c], similarity=s, more=more, slot=slots[c] + above,
                         ))
         return _result(parts, schema)
 

@@ -89,8 +89,8 @@ def _unit(vectors: VectorColumn, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[some], block.values[some].astype(np.float64) / block.norms[some][:, None]
 
 
-def plan_cells(rows: DataFrame, keys: Sequence[str], threshold: float, block_rows: int) -> dict[Key, Cells] | None:
-    """Cells of all groups of ``rows`` (keys, id, embedding); None where the grid does as well.
+def plan_cells(rows: DataFrame, keys: Sequence[str], threshold: float, block_rows: int, strip: int = 1) -> dict[Key, Cells] | None:
+    """Cells of all groups of ``rows`` (keys, id, embedding); None where the grid, with ``strip`` blocks on a tile's side, does as well.
 
     ``rows``: the members of large groups only. Two passes over them: counts and a sample, then the cells' sizes.
     """
@@ -131,7 +131,7 @@ def plan_cells(rows: DataFrame, keys: Sequence[str], threshold: float, block_row
     for (key, dim), unit in drawn_rows.items():
         here, r = cells[key, dim], next(r for r in sizes if (tuple(r[k] for k in keys), r["dim"]) == (key, dim))
         copies += r["n"] * float((here.reached(here.angles(unit), reach) * here.blocks[None, :]).sum(axis=1).mean())
-        grid += r["n"] * -(-r["n"] // block_rows)
+        grid += r["n"] * -(-r["n"] // (block_rows * strip))
     return cells if copies < WORTH * grid else None
 
 

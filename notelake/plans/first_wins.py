@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import kernels
-from ..operators.blocks import BLOCK_ROWS, BlockPlan, large_only, plan_blocks, self_tiles, small_only
+from ..operators.blocks import BLOCK_ROWS, BlockPlan, blocks_per_tile, large_only, plan_blocks, self_tiles, small_only
 from ..operators.pivots import plan_cells, self_cell_tiles
 from ..operators.similarity import BUCKET, first_match, in_buckets, key_ddl
 from ..schema import GROUP_KEYS
@@ -182,7 +182,8 @@ def _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours,
     text_edges = _text_edges(rows, keys, threshold, strict)
     # Cells of all rows hold for what is still compared in later passes.
     vectors = rows.where("embedding is not null").select(*keys, "id", "embedding")
-    cells = plan_cells(vectors, keys, threshold, block_rows) if miss is None else None
+    strip = blocks_per_tile(vectors, block_rows)
+    cells = plan_cells(vectors, keys, threshold, block_rows, strip) if miss is None else None
     undecided = rows.select(*keys, "id")
     kept = done = all_edges = None
     for number in count():
@@ -194,7 +195,7 @@ def _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours,
                 "undecided or _kept"
             ).select(*rows.columns, F.coalesce("undecided", F.lit(False)).alias("undecided"))
         edges = materialize(
-            _vector_edges(alive, keys, threshold, strict, block_rows, neighbours, miss, cells).unionByName(
+            _vector_edges(alive, keys, threshold, strict, block_rows, neighbours, miss, cells, strip).unionByName(
                 text_edges.join(undecided, [*keys, "id"], "left_semi")
             ).withColumn("pass", F.lit(number)),
             "match-lists",
@@ -210,13 +211,15 @@ def _decide(rows, keys, threshold, strict, block_rows, local_edges, neighbours,
         kept = done.where(F.col("status") == _KEPT).select(*keys, "id")
 
 
-def _vector_edges(alive, keys, threshold, strict, block_rows, neighbours, miss, cells) -> DataFrame:
+def _vector_edges(alive, keys, threshold, strict, block_rows, neighbours, miss, cells, strip) -> DataFrame:
     vectors = alive.where("embedding is not null").select(*keys, "id", "embedding", "undecided")
-    within = list(keys)
     if miss is not None:
         (vectors,) = in_buckets([vectors], keys, threshold, miss)
-        vectors, within = vectors.drop("_sigs"), [*keys, *BUCKET]
-    plan = plan_blocks([vectors], within, block_rows)
+        # A bucket is a block; only one that is too large for a tile is cut.
+        vectors = materialize(vectors.drop("_sigs"), "buckets")
+        plan = plan_blocks([vectors], [*keys, *BUCKET], block_rows * strip)
+    else:
+        plan = plan_blocks([vectors], keys, block_rows, strip if cells is None else 1)
     tiles = self_tiles(vectors, plan) if cells is None else self_cell_tiles(vectors, plan, threshold, block_rows, cells)
     return tiles.groupBy("_tile").applyInArrow(
         kernels.older_neighbours_kernel(keys, threshold, strict, neighbours, banded=miss is not None),

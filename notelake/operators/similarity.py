@@ -84,8 +84,8 @@ def similarity_self_join(
 def lsh_parameters(threshold: float, largest_group: int, miss: float) -> tuple[int, int]:
     """Bits per signature and number of bands that miss a pair at the threshold with at most ``miss``."""
     same_bit = 1.0 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    # About 32 unrelated rows per bucket: enough for one matrix product to pay off.
-    bits = max(4, min(30, math.ceil(math.log2(max(2, largest_group))) - 5))
+    # About 256 unrelated rows per bucket: a bit less makes fewer bands, and each of them sends every vector once.
+    bits = max(4, min(30, math.ceil(math.log2(max(2, largest_group))) - 8))
     bands = math.ceil(math.log(miss) / math.log1p(-(same_bit**bits)))
     return bits, max(1, bands)
 

@@ -115,7 +115,15 @@ def _close_sketches(keys: list[str], bucket: list[str], allowed: int):
         starts = np.where(same, np.arange(n) + 1, ends - np.bincount(code, second, int(code.max(initial=0)) + 1).astype(np.int64)[code] if n else 0)
         counts = np.where(same | ~second, np.maximum(ends - starts, 0), 0)
         sketches = np.frombuffer(b"".join(table.column("_sketch").to_pylist()), np.uint64).reshape(n, -1)[order]
-        total, low, found = np.cumsum(counts), 0, []
+        # Rows by group and id: a pair is one number, which a tile of several bands keeps once.
+        by_id = np.lexsort([ids, *[table.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() for k in keys]])
+        other = np.zeros(n, bool)
+        for column in (ids, *[table.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() for k in keys]):
+            other[1:] |= column[by_id][1:] != column[by_id][:-1]
+        place = np.empty(n, np.int64)
+        place[by_id] = np.cumsum(other)
+        place, row = place[order], by_id[np.append(0, np.flatnonzero(other))] if n else by_id
+        total, low, pairs, fresh, waiting = np.cumsum(counts), 0, np.zeros(0, np.int64), [], 0
         while low < n:
             high = max(int(np.searchsorted(total, (total[low - 1] if low else 0) + _PAIRS, "right")), low + 1)
             size = counts[low:high]
@@ -125,14 +133,15 @@ def _close_sketches(keys: list[str], bucket: list[str], allowed: int):
             for word in range(sketches.shape[1]):
                 differ += np.bitwise_count(sketches[a, word] ^ sketches[b, word])
             close = differ <= allowed
-            found.append((order[a[close]], order[b[close]]))
+            a, b = place[a[close]], place[b[close]]
+            fresh.append(np.unique(np.minimum(a, b) * n + np.maximum(a, b)))
+            waiting += len(fresh[-1])
             low = high
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        low_id, high_id = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-        # One band is enough to name a pair; a tile may hold several.
-        _, first = np.unique(np.stack([low_id, high_id]), axis=1, return_index=True) if len(a) else (None, a)
-        picks = pa.array(a[first])
-        return pa.table([*[table.column(k).take(picks).combine_chunks() for k in keys], pa.array(low_id[first]), pa.array(high_id[first])], schema=schema)
+            if waiting > max(_PAIRS, len(pairs)) or low >= n:
+                pairs, fresh, waiting = np.unique(np.concatenate([pairs, *fresh])), [], 0
+        one, two = np.divmod(pairs, max(n, 1))
+        picks = pa.array(row[one])
+        return pa.table([*[table.column(k).take(picks).combine_chunks() for k in keys], pa.array(ids[row[one]]), pa.array(ids[row[two]])], schema=schema)
 
     return run
 

@@ -41,7 +41,8 @@ GIVEN = 0.25
 BLOCK = 256
 VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.5, 0.6
 _ITEMS = "item long, words array<long>"
-_SUMMERS = 4
+# Rows of word counts that leave a task at a time.
+_SENT = 1 << 16
 
 
 def _words(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +54,8 @@ def _words(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per partition: documents per hashed word and group of the word after its first place, and documents."""
-    df, n = np.zeros(FOLLOWERS << DF_BITS, np.int64), 0
+    """Of the partition: documents per hashed word and group of the word after its first place (n0, n1, ...), a row for each word that occurs."""
+    df = np.zeros(FOLLOWERS << DF_BITS, np.uint32)
     for piece in (p for b in batches for p in K.slices(b, "text")):
         words, rows = _words(piece)
         row = np.repeat(np.arange(len(piece)), np.diff(rows))
@@ -62,42 +63,28 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after = np.append(words[1:], np.uint64(0))
         after[rows[1:][np.diff(rows) > 0] - 1] = 0
         group = (after[first] % np.uint64(FOLLOWERS)).astype(np.int64)
-        df += np.bincount((words[first] >> np.uint64(64 - DF_BITS)).astype(np.int64) * FOLLOWERS + group, minlength=len(df))
-        n += len(piece)
-    yield pa.record_batch({"df": pa.array([df.astype(np.uint32).tobytes()], pa.binary()), "n": [n]})
-
-
-def _added(name: str, kind: type):
-    """Sums of the arrays in the binary column ``name``, and of n, per partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
-        for batch in batches:
-            for value, count in zip(batch.column(name), batch.column("n").to_pylist()):
-                more = np.frombuffer(value.as_py(), kind)
-                total = more.astype(kind) if total is None else total + more
-                n += count
-        if total is not None:
-            yield pa.record_batch({name: pa.array([total.tobytes()], pa.binary()), "n": [n]})
-
-    return run
-
-
-def _summed(parts: DataFrame, name: str, kind: type) -> tuple[np.ndarray | None, int]:
-    """The sum over all rows: a fixed number of tasks add up the rows, the driver adds up theirs."""
-    schema = f"{name} binary, n long"
-    rows = parts.repartition(_SUMMERS).mapInArrow(_added(name, kind), schema).toArrow()
-    arrays = [np.frombuffer(x.as_py(), kind) for x in rows.column(name)]
-    return (np.sum(arrays, axis=0) if arrays else None), int(sum(rows.column("n").to_pylist()))
+        places, times = np.unique((words[first] >> np.uint64(64 - DF_BITS)).astype(np.int64) * FOLLOWERS + group, return_counts=True)
+        df[places] += times.astype(np.uint32)
+    df = df.reshape(-1, FOLLOWERS)
+    held = np.flatnonzero(df.any(axis=1))
+    for at in range(0, len(held), _SENT):
+        some = held[at:at + _SENT]
+        yield pa.record_batch({"word": some, **{f"n{i}": df[some, i].astype(np.int64) for i in range(FOLLOWERS)}})
 
 
 def word_weights(docs: DataFrame) -> np.ndarray:
-    """Weight per hashed word: 1 if over a tenth of the documents have it, whatever follows, else ``CONTENT``."""
-    df, n = _summed(docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_frequencies, "df binary, n long"), "df", np.uint32)
-    if df is None or not n:
-        return np.full(1 << DF_BITS, CONTENT, np.uint8)
-    even = df.reshape(-1, FOLLOWERS).min(axis=1).astype(np.int64) * FOLLOWERS
-    return np.where(even > max(STOP_SHARE * n, 2), 1, CONTENT).astype(np.uint8)
+    """Weight per hashed word: 1 if over a tenth of the documents have it, whatever follows, else ``CONTENT``.
+
+    Counts are rows until they are added up, so no task and not the driver holds those of several partitions.
+    """
+    groups = [f"n{i}" for i in range(FOLLOWERS)]
+    parts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_frequencies, "word long, " + ", ".join(f"{c} long" for c in groups))
+    least = parts.groupBy("word").agg(F.least(*[F.sum(c) for c in groups]).alias("least"))
+    # The driver gets the frequent words: of a document's distinct words ten times as many at the most.
+    frequent = least.where(F.col("least") * FOLLOWERS > F.lit(float(max(STOP_SHARE * docs.count(), 2)))).select("word").toArrow()
+    weights = np.full(1 << DF_BITS, CONTENT, np.uint8)
+    weights[frequent.column("word").to_numpy()] = 1
+    return weights
 
 
 def _weights_of(words: np.ndarray, table: np.ndarray) -> np.ndarray:

@@ -4,9 +4,12 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from notelake.llm import decontamination
 from notelake.llm.chat_perspectives import rendered, rotated
 from notelake.llm.decontamination import decontaminated, lcs_length, leaks
 from notelake.llm.fingerprints import fingerprints
@@ -123,6 +126,28 @@ def test_leaks_in_large_groups(spark, documents):
     assert {(r.doc_id, r.item_id) for r in leaks(documents(docs), benchmark).collect()} == want
 
 
+def test_word_counts_leave_a_task_in_parts(spark, monkeypatch):
+    """What a task sends grows with its words and comes in small batches; the weights are those of a plain count."""
+    monkeypatch.setattr(decontamination, "_SENT", 16)
+    rnd = random.Random(13)
+    texts = [" ".join(["the", prose(rnd, rnd.randint(0, 30)), "the"]) for _ in range(60)]
+    batches = pa.RecordBatch.from_pydict({"text": texts})
+    sent = list(decontamination._frequencies([batches.slice(0, 30), batches.slice(30)]))
+    assert len(sent) > 1 and max(b.num_rows for b in sent) <= 16
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").repartition(5)
+    of = lambda word: int(decontamination._words(pa.RecordBatch.from_pydict({"text": [word]}))[0][0] >> np.uint64(64 - decontamination.DF_BITS))
+    counts = defaultdict(Counter)
+    for t in texts:
+        words = t.split()
+        for word in set(words):
+            after = words[words.index(word) + 1:][:1]
+            hashed = int(decontamination._words(pa.RecordBatch.from_pydict({"text": after}))[0][0]) if after else 0
+            counts[of(word)][hashed % decontamination.FOLLOWERS] += 1
+    frequent = {w for w, c in counts.items() if min(c[g] for g in range(decontamination.FOLLOWERS)) * decontamination.FOLLOWERS > 0.1 * 61}
+    assert of("the") in frequent
+    assert set(np.flatnonzero(decontamination.word_weights(docs) == 1).tolist()) == frequent
+
+
 def test_every_passage_that_the_judgement_accepts(spark, documents):
     """Paraphrases that keep 50 to 60 % of the words of items of any length, the shortest among them; all that brute force accepts is found."""
     rnd = random.Random(12)

@@ -54,6 +54,13 @@ def test_fingerprint_edges(documents):
     assert alone.doc_id is None and alone.near_next == 1.0
 
 
+def test_fingerprints_without_the_values_that_cannot_be_smallest(documents, hard_pairs):
+    """Whether few or nearly all values are left out, and whether rows are sampled again, the samples are those of all values."""
+    docs = documents(hard_pairs)
+    every, usual, few = (sorted(fingerprints(docs, samples=8, block=4, reach=reach).collect(), key=repr) for reach in (1e9, 24.0, 0.5))
+    assert every == usual == few
+
+
 def test_lcs_length():
     rnd = random.Random(1)
     for _ in range(300):

@@ -16,9 +16,11 @@ their first n - ceil(t * n) + k tokens share k of them at least. So:
 3. *Verify.* Equal sets are one node. Nodes that share many keys come into one block of bounded size
    (small families share blocks, large ones have several), each with its keys and its set. A task
    compares, on whole sets, what shares a key and is not connected yet, and gives only the links that
-   connect. Keys whose nodes are connected by then are closed. For the others, a key's first block is compared in the
-   same way with its other blocks, which connects large families, and then, where keys are open still, all blocks
-   that share enough of them. Keys with the same blocks are counted together. No pair of nodes is ever a row, but for the links.
+   connect. A family in several blocks that is not connected by then goes on block by block: its first block
+   meets its others, then the others meet each other, whole blocks in one task, so that the keys that all of it shares
+   make no rows. What is left lies between families: keys of one family or one component are closed, a node goes on only if
+   enough of its keys are open, and the blocks that share enough of these are compared, a key's first block before the others.
+   Keys with the same blocks are counted together. No pair of nodes is ever a row, but for the links.
 
 Every decision is exact on 52-bit token hashes. The answer is the components, so links inside one
 component beyond those that connect it are not listed.
@@ -124,7 +126,7 @@ def _surveyed(n: int, bits: int):
 
 
 def _shared_counts(group: pa.Table) -> pa.Table:
-    """Of one bucket: how many tokens of each document some other document has, too."""
+    """Of one bucket: how many tokens of each document some other document has, too. Only documents that have such tokens are named."""
     portions, sizes = group.column("portion").to_numpy(), group.column("at").to_numpy()
     tokens = [np.cumsum(_from_planes(x.as_py(), np.uint32), dtype=np.uint32) for x in group.column("tokens")]
     starts = np.append(0, np.cumsum(sizes.astype(np.int64)))
@@ -134,13 +136,21 @@ def _shared_counts(group: pa.Table) -> pa.Table:
     tokens = tokens[order]
     same = tokens[1:] == tokens[:-1]
     again = np.append(False, same) | np.append(same, False)
-    counts = np.bincount(rows[order[again]], minlength=starts[-1]).astype(np.uint32)
-    return pa.table({"portion": portions, "at": sizes, "counts": pa.array(
-        [_planes(counts[i:j]) for i, j in zip(starts[:-1], starts[1:])], pa.binary())})
+    rows, counts = np.unique(rows[order[again]], return_counts=True)
+    bounds = np.searchsorted(rows, starts)
+    some = np.flatnonzero(np.diff(bounds))
+    stretches = [slice(bounds[i], bounds[i + 1]) for i in some]
+    return pa.table({
+        "portion": portions[some], "at": sizes[some],
+        "places": pa.array([_planes((rows[x] - starts[i]).astype(np.uint16)) for i, x in zip(some, stretches)], pa.binary()),
+        "counts": pa.array([_planes(counts[x].astype(np.uint32)) for x in stretches], pa.binary()),
+    })
 
 
 def _total_counts(group: pa.Table) -> pa.Table:
-    total = np.sum([_from_planes(x.as_py(), np.uint32) for x in group.column("counts")], axis=0, dtype=np.int64)
+    total = np.zeros(group.column("at")[0].as_py(), np.int64)
+    for places, counts in zip(group.column("places"), group.column("counts")):
+        total[_from_planes(places.as_py(), np.uint16)] += _from_planes(counts.as_py(), np.uint32)
     return pa.table({"portion": np.full(len(total), group.column("portion")[0].as_py()), "at": np.arange(len(total), dtype=np.int32), "shared": total})
 
 
@@ -248,7 +258,7 @@ def _index(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
 
 
 def _blocks(index: DataFrame, block_nodes: int) -> DataFrame:
-    """(node, block): nodes that share many keys come together, at most about ``block_nodes`` in a block."""
+    """(node, family, block): nodes that share many keys are a family and come together, at most about ``block_nodes`` in a block."""
     hubs = settled(index.groupBy("k").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("k", "hub"), "op4-hubs")
     met = index.join(hubs, "k").where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
     best = met.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best"))
@@ -259,12 +269,12 @@ def _blocks(index: DataFrame, block_nodes: int) -> DataFrame:
     large = F.col("size") * 4 >= block_nodes
     parts = F.ceil(F.col("size") / block_nodes)
     block = F.when(large, F.xxhash64("root", F.pmod(F.xxhash64("node"), parts))).otherwise(F.pmod(F.xxhash64("root"), shelves))
-    own = families.join(sizes, "root").select("node", block.alias("block"), F.lit(False).alias("guest"))
+    own = families.join(sizes, "root").select("node", F.col("root").alias("family"), block.alias("block"), F.lit(False).alias("guest"))
     # The head of a family in several blocks is a guest in each: what is close to it is connected at once.
     several = sizes.where(large & (parts > 1)).select("root", F.explode(F.sequence(F.lit(0), parts.cast("long") - 1)).alias("part"))
-    guests = several.select(F.col("root").alias("node"), F.xxhash64("root", "part").alias("block"))
+    guests = several.select(F.col("root").alias("node"), F.col("root").alias("family"), F.xxhash64("root", "part").alias("block"))
     guests = guests.join(own.where("block is not null").select("node", F.col("block").alias("home")), "node").where("block != home")
-    return settled(own.unionByName(guests.select("node", "block", F.lit(True).alias("guest"))), "op4-blocks", hubs, sizes)
+    return settled(own.unionByName(guests.select("node", "family", "block", F.lit(True).alias("guest"))), "op4-blocks", hubs, sizes)
 
 
 def _linked(sets: DataFrame, percent: int, frequent: int, block_nodes: int) -> DataFrame:
@@ -278,58 +288,108 @@ def _linked(sets: DataFrame, percent: int, frequent: int, block_nodes: int) -> D
     rows = members.select("block", "node", F.col("node").alias("label"), F.lit(0).alias("side"), "keys", "tokens")
     links = settled(rows.groupBy("block").applyInArrow(_block_links(percent), schema), "op4-links")
     roots = components(links, "op4-components")
-    # Then between blocks, where a key still has nodes that are not connected: first each key's blocks with the first of
-    # them, which connects what large families have in several blocks, then all that this leaves open.
-    home = blocks.where("not guest").select("node", "block")
-    for pairs_of in (_first_pairs, _all_pairs):
-        labels = settled(home.join(roots, "node", "left").select("node", "block", F.coalesce("root", "node").alias("label")), "op4-labels")
-        # Blocks meet here, not nodes: a key has one row per block.
-        places = index.join(labels, "node").groupBy("k", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        places = settled(places, "op4-places")
-        spread = places.groupBy("k").agg(F.min("low").alias("a"), F.max("high").alias("z"), F.min("block").alias("b"), F.max("block").alias("y"))
-        places = settled(places.join(spread.where("a < z and b < y").select("k"), "k"), "op4-open", places)
-        # A similar pair shares more than g keys, so its blocks do.
-        pairs = pairs_of(places).where(F.col("n") > F.pow(F.lit(2), F.col("level"))).select("block1", "block2").distinct()
-        pairs = settled(pairs, "op4-block-pairs", places)
-        if pairs.isEmpty():
-            continue
+    home = blocks.where("not guest").select("node", "family", "block")
+
+    def labelled() -> DataFrame:
+        """(node, family, block, label): where each node is at home, and what it is connected with by now."""
+        return settled(home.join(roots, "node", "left").select("node", "family", "block", F.coalesce("root", "node").alias("label")), "op4-labels")
+
+    def across(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """The components, with the links between ``pairs`` of blocks of ``held`` (block, node, label, keys, tokens)."""
         asked = pairs.select(F.col("block1").alias("block")).unionByName(pairs.select(F.col("block2").alias("block"))).distinct()
-        held = members.where("not guest").join(asked, "block", "left_semi").join(labels.select("node", "label"), "node")
-        held = settled(held.select("block", "node", "label", "keys", "tokens"), "op4-held")
+        held = settled(held.join(asked, "block", "left_semi").select("block", "node", "label", "keys", "tokens"), "op4-held")
         sides = [
             pairs.withColumn("block", F.col(f"block{i + 1}")).join(held, "block").select("block1", "block2", "node", "label", F.lit(i).alias("side"), "keys", "tokens")
             for i in (0, 1)
         ]
-        across = settled(sides[0].unionByName(sides[1]).groupBy("block1", "block2").applyInArrow(_block_links(percent), schema), "op4-across", held)
-        if not across.isEmpty():
-            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(across), "op4-components")
+        found = settled(sides[0].unionByName(sides[1]).groupBy("block1", "block2").applyInArrow(_block_links(percent), schema), "op4-across", held)
+        if found.isEmpty():
+            return roots
+        return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found), "op4-components")
+
+    # Then between the blocks of a family that is not connected yet: its first block with the others, which connects most, then the others.
+    for pairs_of in (_first_parts, _other_parts):
+        labels = labelled()
+        pairs = settled(pairs_of(labels), "op4-parts")
+        if not pairs.isEmpty():
+            roots = across(pairs, members.where("not guest").select("block", "node", "keys", "tokens").join(labels.select("node", "label"), "node"))
+    # Then between families: first each key's blocks with the first of them, then all that this leaves open.
+    rows = opened = _between_families(index, labelled())
+    for pairs_of in (_first_pairs, _all_pairs) if not opened.isEmpty() else ():
+        # Blocks meet here, not nodes: a key has one row per block, with its family if it is one.
+        places = rows.groupBy("k", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("family").alias("f"), F.max("family").alias("l"))
+        places = settled(places.select("k", "block", "low", "high", F.when(F.col("f") == F.col("l"), F.col("f")).alias("family")), "op4-places")
+        spread = places.groupBy("k").agg(F.min("low").alias("a"), F.max("high").alias("z"), F.min("block").alias("b"), F.max("block").alias("y"))
+        places = settled(places.join(spread.where("a < z and b < y").select("k"), "k"), "op4-open", places)
+        # A similar pair shares more than g keys, so its blocks do.
+        pairs = pairs_of(places).where(F.col("n") > F.pow(F.lit(2), F.col("level"))).select("block1", "block2").distinct()
+        pairs = settled(pairs, "op4-block-pairs", places)
+        if not pairs.isEmpty():
+            held = rows.groupBy("block", "node", "label").agg(F.collect_set("k").alias("keys"))
+            roots = across(pairs, held.join(sets.select("node", "tokens"), "node"))
+            rows = opened.drop("label").join(labelled().select("node", "label"), "node")
     return roots
 
 
+def _parts(labels: DataFrame) -> DataFrame:
+    """(family, block, low, high, head): the blocks of families that have several and are not connected; head: the first of them."""
+    parts = labels.groupBy("family", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    several = parts.groupBy("family").agg(F.min("block").alias("head"), F.max("block").alias("last"), F.min("low").alias("a"), F.max("high").alias("z"))
+    return parts.join(several.where("head < last and a < z").select("family", "head"), "family")
+
+
+def _first_parts(labels: DataFrame) -> DataFrame:
+    """(block1, block2): each family's first block with its others."""
+    return _pairs_of_parts(_parts(labels)).where("block1 = head")
+
+
+def _other_parts(labels: DataFrame) -> DataFrame:
+    """(block1, block2): the other blocks of each family."""
+    return _pairs_of_parts(_parts(labels)).where("block1 != head")
+
+
+def _pairs_of_parts(parts: DataFrame) -> DataFrame:
+    one, two = (parts.select("family", *more, *[F.col(c).alias(f"{c}{i}") for c in ("block", "low", "high")]) for i, more in ((1, ("head",)), (2, ())))
+    # Two blocks of one component have nothing left to connect.
+    return one.join(two, "family").where("block1 < block2 and (low1 < high2 or low2 < high1)").select("head", "block1", "block2")
+
+
+def _between_families(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """(k, node, family, block, label): the keys that a node shares with what is neither of its family nor connected, if these are enough.
+
+    A pair still to be found shares more than g keys, and every one of them is in two families and two components.
+    """
+    rows = index.join(labels, "node")
+    spread = rows.groupBy("k").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.min("family").alias("f"), F.max("family").alias("l"))
+    rows = settled(rows.join(spread.where("a < z and f < l").select("k"), "k", "left_semi"), "op4-shared", index)
+    enough = rows.groupBy("node", _level()).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.pow(F.lit(2), F.col("level")))
+    return settled(rows.select("*", _level()).join(enough.select("node", "level"), ["node", "level"]).drop("level"), "op4-between", rows)
+
+
 def _level() -> Column:
     return F.col("k").bitwiseAND(F.lit(31)).alias("level")
 
 
 def _first_pairs(places: DataFrame) -> DataFrame:
     """(block1, block2, level, n): each key's first block with its others, and the keys that they share."""
-    heads = places.groupBy("k").agg(F.min(F.struct("block", "low", "high")).alias("head")).select(
-        "k", F.col("head.block").alias("block1"), F.col("head.low").alias("low1"), F.col("head.high").alias("high1"))
-    others = places.select("k", F.col("block").alias("block2"), "low", "high").join(heads, "k")
-    return others.where("block1 < block2 and (low1 < high or low < high1)").groupBy("block1", "block2", _level()).agg(F.count(F.lit(1)).alias("n"))
+    heads = places.groupBy("k").agg(F.min(F.struct("block", "low", "high", "family")).alias("head")).select(
+        "k", F.col("head.block").alias("block1"), F.col("head.low").alias("low1"), F.col("head.high").alias("high1"), F.col("head.family").alias("family1"))
+    others = places.select("k", F.col("block").alias("block2"), "low", "high", "family").join(heads, "k")
+    return others.where("block1 < block2 and (low1 < high or low < high1) and (family1 = family) is not true").groupBy("block1", "block2", _level()).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _all_pairs(places: DataFrame) -> DataFrame:
-    """(block1, block2, level, n) of blocks that share keys, unless both hold nothing but the key's most common component.
+    """(block1, block2, level, n) of blocks that share keys, unless both hold one family or nothing but the key's most common component.
 
     Keys of the same blocks, which the members of a family share by the thousand, count as one with their number as its weight.
     """
     common = places.groupBy("k", "low").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max(F.struct("c", "low")).alias("m")).select("k", F.col("m.low").alias("m"))
-    marked = settled(places.join(common, "k").select("k", "block", ((F.col("low") == F.col("high")) & (F.col("low") == F.col("m"))).alias("done")), "op4-marked")
-    seeds = [F.bit_xor(F.xxhash64("block", "done", F.lit(seed))).alias(f"s{seed}") for seed in (1, 2)]
+    marked = settled(places.join(common, "k").select("k", "block", "family", ((F.col("low") == F.col("high")) & (F.col("low") == F.col("m"))).alias("done")), "op4-marked")
+    seeds = [F.bit_xor(F.xxhash64("block", "done", "family", F.lit(seed))).alias(f"s{seed}") for seed in (1, 2)]
     alike = marked.groupBy("k", _level()).agg(F.count(F.lit(1)).alias("blocks"), *seeds)
     kinds = settled(alike.groupBy("level", "blocks", "s1", "s2").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("keys")).select("k", "level", "keys"), "op4-kinds")
-    one, two = (marked.select("k", *[F.col(c).alias(f"{c}{i}") for c in ("block", "done")]).join(kinds.select("k", *more), "k") for i, more in ((1, ("level", "keys")), (2, ())))
-    return one.join(two, "k").where("block1 < block2 and not (done1 and done2)").groupBy("block1", "block2", "level").agg(F.sum("keys").alias("n"))
+    one, two = (marked.select("k", *[F.col(c).alias(f"{c}{i}") for c in ("block", "done", "family")]).join(kinds.select("k", *more), "k") for i, more in ((1, ("level", "keys")), (2, ())))
+    return one.join(two, "k").where("block1 < block2 and not (done1 and done2) and (family1 = family2) is not true").groupBy("block1", "block2", "level").agg(F.sum("keys").alias("n"))
 
 
 def _bucket_bits(docs: DataFrame) -> int:
@@ -345,7 +405,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     rows = keyed(docs)
     survey = settled(rows.mapInArrow(_surveyed(words, _bucket_bits(docs)), _SURVEY), "op4-survey")
     buckets = survey.where("bucket >= 0").select("portion", "at", "bucket", "tokens", "places")
-    counts = buckets.groupBy("bucket").applyInArrow(_shared_counts, "portion long, at int, counts binary")
+    counts = buckets.groupBy("bucket").applyInArrow(_shared_counts, "portion long, at int, places binary, counts binary")
     counts = counts.groupBy("portion").applyInArrow(_total_counts, "portion long, at int, shared long")
     described = survey.where("bucket < 0").select("portion", "at", "id", "key", "node", "n").join(counts, ["portion", "at"], "left")
     described = settled(described.drop("portion", "at"), "op4-described", survey)

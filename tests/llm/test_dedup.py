@@ -5,8 +5,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from notelake.llm import ngram_join
 from notelake.llm.ngram_join import ngram_components, without_near_duplicates
 from notelake.llm.substring_dedup import repeat_levels, substring_dedup
 from notelake.llm.suffix_dedup import suffix_array, suffix_dedup, without_repeated_strings
@@ -131,6 +133,44 @@ def test_ngram_components(documents, hard_pairs, frequent, block_nodes):
     assert ordered(got.select("doc_id", "n_shingles", "component_id").collect()) == ordered(brute_components(pairs))
 
 
+def test_keys_inside_a_family_make_no_rows(documents, monkeypatch):
+    rnd = random.Random(7)
+    pairs, rows = [], defaultdict(int)
+    for family in range(2):  # both spread over several blocks, and not connected as a whole
+        words = [f"f{family}w{rnd.randint(0, 900)}" for _ in range(150)]
+        for k in range(40):
+            copy = list(words)
+            for _ in range(rnd.randint(3, 6)):
+                copy[rnd.randrange(150)] = f"u{rnd.randint(0, 9)}"
+            pairs.append((100 * family + k, " ".join(copy)))
+    plain = ngram_join.settled
+
+    def counted(df, label, *used_up):
+        out = plain(df, label, *used_up)
+        rows[label] += out.count() if label in ("op4-open", "op4-block-pairs", "op4-parts") else 0
+        return out
+
+    monkeypatch.setattr(ngram_join, "settled", counted)
+    got = ngram_components(documents(pairs), block_nodes=4).select("doc_id", "n_shingles", "component_id").collect()
+    assert ordered(got) == ordered(brute_components(pairs))
+    assert len({r.component_id for r in got}) > 2
+    # What a family has in several blocks meets by its blocks, not by the keys that all of it shares.
+    assert rows["op4-open"] == rows["op4-block-pairs"] == 0 < rows["op4-parts"]
+
+
+def test_survey_names_only_documents_with_shared_tokens():
+    tokens = [np.array([3, 8, 9], np.uint32), np.array([8, 20], np.uint32), np.array([50], np.uint32)]
+    places = [np.array([7, 7, 2], np.uint16), np.array([0, 1], np.uint16), np.array([4], np.uint16)]
+    group = pa.table({
+        "portion": [11, 12, 13], "at": pa.array([1000, 2, 5], pa.int32()),
+        "tokens": [ngram_join._planes(np.diff(t, prepend=np.uint32(0))) for t in tokens], "places": [ngram_join._planes(p) for p in places],
+    })
+    found = ngram_join._shared_counts(group)
+    assert found.column("portion").to_pylist() == [11, 12] and sum(map(len, found.column("counts").to_pylist())) == 8
+    total = [ngram_join._total_counts(found.slice(i, 1)).column("shared").to_pylist() for i in (0, 1)]
+    assert [i for i, c in enumerate(total[0]) if c] == [7] and len(total[0]) == 1000 and total[1] == [1, 0]
+
+
 def test_one_of_each_group_stays(documents, hard_pairs):
     docs = documents(hard_pairs)
     kept = without_near_duplicates(docs)

@@ -1,12 +1,16 @@
-"""Similarity join by signatures and sketches: vectors are fetched for the few pairs that are left.
+"""Similarity join by signatures: vectors meet only in the buckets that have rows with something in common.
 
-Each row is sent once per band as (id, signature, sketch): the signature is ``bits`` signs of random projections, the
-sketch ``SKETCH_BITS`` more. Rows that share a signature are candidates; a candidate whose sketches differ in too many
-bits is dropped there, and only the others are decided on their vectors, exactly.
+Each row has one number of ``bits`` signs of random projections per band; the numbers of all bands, side by side, are its
+sketch. A row is sent once per band as (row, number, sketch). Rows with the same number in a band share a bucket and are
+candidates there, unless an earlier band brought them together or their sketches differ in too many signs. A pair so
+belongs to one bucket of one tile. What leaves this step are not pairs but the tile's rows that have a candidate; their
+vectors are fetched once per row and tile, and the pairs of a bucket are decided on them, exactly, a portion at a time. So
+what is sent grows with the rows, and no task holds the pairs of a cluster of copies.
 
 Signs of two vectors at an angle a differ with probability a / pi. So a pair at the threshold is missed by all bands with
 probability (1 - p**bits)**bands, p = 1 - a / pi, and by the sketch with a binomial tail; each gets half of ``miss``,
-and closer pairs are missed less. Bits are chosen by cost: more of them mean fewer candidates and more bands.
+whether or not the two depend on each other, and closer pairs are missed less. Bits are chosen by cost: more of them mean
+fewer candidates and more bands.
 """
 
 from __future__ import annotations
@@ -19,24 +23,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Block, VectorColumn, exact_cosine
+from ..functions.vectors import Block, VectorColumn, exact_cosine, subgroups
 from ..session import materialize
-from .blocks import BLOCK_ROWS, plan_blocks, self_tiles
+from .blocks import BLOCK_ROWS, TILE_BYTES, plan_blocks, self_tiles
 
-SKETCH_BITS = 256
 #: More bands than this cost more than they save; the threshold or the miss is too low for signatures.
 MAX_BANDS = 1024
-#: What one row of one band costs, in comparisons of two sketches.
+#: What one row of one band costs, and each byte of its sketch, in comparisons of two sketches.
 _ROW_COST = 200.0
-_PAIRS = 1 << 20
+_BYTE_COST = 4.0
+#: Comparisons of sketches at a time, and bytes of what is compared or decided at a time.
+_PAIRS = 1 << 18
+_BYTES = 8 << 20
+#: Buckets of fewer rows are compared together.
+_FEW = 48
 
 
 def bands_for(same_bit: float, bits: int, miss: float) -> int:
     return max(1, math.ceil(math.log(miss) / math.log1p(-min(same_bit**bits, 1.0 - 1e-12))))
 
 
+def sketch_width(bits: int) -> int:
+    """Bytes of the number of one band."""
+    return 1 if bits <= 8 else 2 if bits <= 16 else 4
+
+
 def plan_signatures(threshold: float, sizes: Sequence[int], miss: float) -> tuple[int, int, int]:
-    """Bits and bands of least cost for groups of these sizes, and the bits in which sketches may differ.
+    """Bits and bands of least cost for groups of these sizes, and the signs in which sketches may differ.
 
     Raises where no number of bits gets by with ``MAX_BANDS``.
     """
@@ -47,27 +60,34 @@ def plan_signatures(threshold: float, sizes: Sequence[int], miss: float) -> tupl
     best = None
     for bits in range(2, 32):
         bands = bands_for(1.0 - share, bits, miss / 2)
-        cost = bands * (rows * _ROW_COST + pairs * 0.5**bits)
+        cost = bands * (rows * (_ROW_COST + _BYTE_COST * bands * sketch_width(bits)) + pairs * 0.5**bits)
         if bands <= MAX_BANDS and (best is None or cost < best[0]):
             best = cost, bits, bands
     if best is None:
         raise ValueError(f"a threshold of {threshold} and a miss of {miss} need more than {MAX_BANDS} bands")
-    return best[1], best[2], allowed_differences(share, miss / 2)
+    return best[1], best[2], allowed_differences(share, miss / 2, best[1] * best[2])
 
 
-def allowed_differences(share: float, miss: float) -> int:
-    """The least number that so many signs, each differing with this probability, exceed with probability ``miss`` at most."""
+def allowed_differences(share: float, miss: float, signs: int) -> int:
+    """The least number that so many of ``signs``, each differing with this probability, exceed with probability ``miss`` at most."""
+    if share <= 0.0:
+        return 0
     tail, n = 1.0, 0
     while True:
-        tail -= math.comb(SKETCH_BITS, n) * share**n * (1.0 - share) ** (SKETCH_BITS - n)
-        # Sums near the end are rounding; a bound of all bits drops nothing.
-        if tail <= miss * 0.5 or n == SKETCH_BITS:
+        chance = math.lgamma(signs + 1) - math.lgamma(n + 1) - math.lgamma(signs - n + 1)
+        tail -= math.exp(chance + n * math.log(share) + (signs - n) * math.log1p(-share)) if share < 1.0 else float(n == signs)
+        # Sums near the end are rounding; a bound of all signs drops nothing.
+        if tail <= miss * 0.5 or n == signs:
             return n
         n += 1
 
 
 def _signed(keys: list[str], bits: int, bands: int, seed: int):
+    """Rows with their number in each band (``_sigs``), and these as bytes (``_sketch``)."""
     weights = 1 << np.arange(bits, dtype=np.int64)
+    width = sketch_width(bits)
+    # Whole words: bytes beyond the last band are zero in all rows.
+    length = -(-bands * width // 8) * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -75,26 +95,82 @@ def _signed(keys: list[str], bits: int, bands: int, seed: int):
             vectors = VectorColumn(batch.column("embedding"))
             for dim in np.unique(vectors.dims[vectors.dims > 0]).tolist():
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, SKETCH_BITS + bits * bands)).astype(np.float32)
+                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, bits * bands)).astype(np.float32)
                 rows = np.flatnonzero(vectors.dims == dim)
                 for some in np.array_split(rows, -(-len(rows) // 2048)):
                     signs = vectors.block(some).values.astype(np.float32) @ planes[dim] >= 0
-                    sketch = np.packbits(signs[:, :SKETCH_BITS], axis=1)
-                    signature = signs[:, SKETCH_BITS:].reshape(len(some), bands, bits) @ weights
+                    numbers = signs.reshape(len(some), bands, bits) @ weights
                     n = len(some)
-                    at = pa.array(np.repeat(some, bands))
-                    data = np.repeat(sketch, bands, axis=0)
+                    at = pa.array(some)
+                    data = np.zeros((n, length // width), f"u{width}")
+                    data[:, :bands] = numbers
+                    sigs = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(numbers.astype(np.int32).ravel()))
                     yield pa.RecordBatch.from_arrays(
-                        [*[batch.column(k).take(at) for k in keys], batch.column("id").take(at), pa.array(np.full(n * bands, dim, np.int32)),
-                         pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(signature.ravel()),
-                         pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH_BITS // 8), n * bands, [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())],
-                        names=[*keys, "id", "_dim", "_band", "_sig", "_sketch"])
+                        [*[batch.column(k).take(at) for k in keys], batch.column("id").take(at), batch.column("embedding").take(at),
+                         pa.array(np.full(n, dim, np.int32)), sigs,
+                         pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), n, [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())],
+                        names=[*keys, "id", "embedding", "_dim", "_sigs", "_sketch"])
 
     return run
 
 
-def _close_sketches(keys: list[str], bucket: list[str], allowed: int):
-    """Pairs of a tile in one bucket whose sketches differ in at most ``allowed`` bits."""
+def _sketches(table: pa.Table) -> np.ndarray:
+    """The sketches of a table, one row of bytes each."""
+    return np.frombuffer(b"".join(table.column("_sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+
+
+def _first_together(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Which of the pairs, that share the number of ``band``, share none before. ``sketches`` holds numbers."""
+    out = np.empty(len(a), bool)
+    step = max(1, _BYTES // max(1, sketches.shape[1] * sketches.itemsize))
+    for lo in range(0, len(a), step):
+        some = slice(lo, lo + step)
+        out[some] = (sketches[a[some]] == sketches[b[some]]).argmax(axis=1) == band[some]
+    return out
+
+
+def _alike(words: np.ndarray, code: np.ndarray, starts: np.ndarray, ends: np.ndarray, allowed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row a and each row from ``starts`` to ``ends`` of a, if their sketches differ in at most ``allowed`` signs.
+
+    Rows stand by bucket (``code``), and those of a bucket end with the same row.
+    """
+    counts = np.maximum(ends - starts, 0)
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    large = np.append(first[1:], len(code)) - first >= _FEW
+    few = np.flatnonzero(~np.repeat(large, np.diff(np.append(first, len(code)))) & (counts > 0))
+    total, low = np.cumsum(counts[few]), 0
+    while low < len(few):
+        high = max(int(np.searchsorted(total, (total[low - 1] if low else 0) + _PAIRS, "right")), low + 1)
+        rows, size = few[low:high], counts[few[low:high]]
+        a = np.repeat(rows, size)
+        b = np.arange(int(size.sum())) + np.repeat(starts[rows] - (np.cumsum(size) - size), size)
+        differ = np.zeros(len(a), np.uint32)
+        for word in range(words.shape[1]):
+            differ += np.bitwise_count(words[a, word] ^ words[b, word])
+        close = differ <= allowed
+        yield a[close], b[close]
+        low = high
+    columns = np.ascontiguousarray(words.T)
+    for lo, end in zip(first[large], np.append(first[1:], len(code))[large]):
+        while lo < end and counts[lo]:
+            start, stop = int(starts[lo]), int(ends[lo])
+            high = min(end, lo + max(1, _PAIRS // (stop - start)))
+            differ = np.zeros((high - lo, stop - start), np.uint32)
+            for column in columns:
+                differ += np.bitwise_count(column[lo:high, None] ^ column[None, start:stop])
+            a, b = np.divmod(np.flatnonzero(differ <= allowed), stop - start)
+            a, b = a + lo, b + start
+            # The rows after the first of these start later, or have nothing to meet.
+            met = (b >= starts[a]) & (b < ends[a])
+            yield a[met], b[met]
+            lo = high
+
+
+def _close_sketches(keys: list[str], bucket: list[str], allowed: int, width: int = 1, rows_as: list[str] | None = None):
+    """Pairs of a tile in one bucket whose sketches differ in at most ``allowed`` signs and that share no earlier band.
+
+    ``rows_as``: instead of the pairs, these columns of the rows that are in one.
+    """
     schema = pa.schema([*[(k, pa.string()) for k in keys], ("id_a", pa.int64()), ("id_b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -102,10 +178,10 @@ def _close_sketches(keys: list[str], bucket: list[str], allowed: int):
         code = np.zeros(n, np.int64)
         for name in [*bucket, "_i", "_j"]:
             column = table.column(name).combine_chunks()
-            numbers = column.dictionary_encode().indices.to_numpy() if pa.types.is_string(column.type) else column.to_numpy()
+            numbers = column.dictionary_encode().indices.fill_null(-1).to_numpy() if pa.types.is_string(column.type) else column.to_numpy()
             _, part = np.unique(numbers, return_inverse=True)
             code = np.unique(code * (int(part.max(initial=0)) + 1) + part, return_inverse=True)[1]
-        block, i_of, j_of, ids = (table.column(c).to_numpy() for c in ("_b", "_i", "_j", "id"))
+        block, i_of, j_of, band = (table.column(c).to_numpy() for c in ("_b", "_i", "_j", "_band"))
         same, second = i_of == j_of, (block == j_of) & (i_of != j_of)
         # Buckets one after the other, in each the first block before the second.
         order = np.lexsort((second, code))
@@ -113,35 +189,77 @@ def _close_sketches(keys: list[str], bucket: list[str], allowed: int):
         ends = np.searchsorted(code, code, "right")
         # A row meets the rows after it; of two blocks, one of the first meets all of the second.
         starts = np.where(same, np.arange(n) + 1, ends - np.bincount(code, second, int(code.max(initial=0)) + 1).astype(np.int64)[code] if n else 0)
-        counts = np.where(same | ~second, np.maximum(ends - starts, 0), 0)
-        sketches = np.frombuffer(b"".join(table.column("_sketch").to_pylist()), np.uint64).reshape(n, -1)[order]
-        # Rows by group and id: a pair is one number, which a tile of several bands keeps once.
-        by_id = np.lexsort([ids, *[table.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() for k in keys]])
-        other = np.zeros(n, bool)
-        for column in (ids, *[table.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() for k in keys]):
-            other[1:] |= column[by_id][1:] != column[by_id][:-1]
-        place = np.empty(n, np.int64)
-        place[by_id] = np.cumsum(other)
-        place, row = place[order], by_id[np.append(0, np.flatnonzero(other))] if n else by_id
-        total, low, pairs, fresh, waiting = np.cumsum(counts), 0, np.zeros(0, np.int64), [], 0
-        while low < n:
-            high = max(int(np.searchsorted(total, (total[low - 1] if low else 0) + _PAIRS, "right")), low + 1)
-            size = counts[low:high]
-            a = np.repeat(np.arange(low, high), size)
-            b = np.arange(int(size.sum())) + np.repeat(starts[low:high] - (np.cumsum(size) - size), size)
-            differ = np.zeros(len(a), np.uint16)
-            for word in range(sketches.shape[1]):
-                differ += np.bitwise_count(sketches[a, word] ^ sketches[b, word])
-            close = differ <= allowed
-            a, b = place[a[close]], place[b[close]]
-            fresh.append(np.unique(np.minimum(a, b) * n + np.maximum(a, b)))
-            waiting += len(fresh[-1])
-            low = high
-            if waiting > max(_PAIRS, len(pairs)) or low >= n:
-                pairs, fresh, waiting = np.unique(np.concatenate([pairs, *fresh])), [], 0
-        one, two = np.divmod(pairs, max(n, 1))
-        picks = pa.array(row[one])
-        return pa.table([*[table.column(k).take(picks).combine_chunks() for k in keys], pa.array(ids[row[one]]), pa.array(ids[row[two]])], schema=schema)
+        starts = np.where(same | ~second, starts, ends)
+        sketches = _sketches(table)[order]
+        numbers, band = sketches.view(f"u{width}"), band[order]
+        found = np.zeros(n, bool)
+        pairs = []
+        for a, b in _alike(sketches.view(np.uint64), code, starts, ends, allowed):
+            new = _first_together(numbers, a, b, band[a])
+            a, b = a[new], b[new]
+            if rows_as is None:
+                pairs.append((order[a], order[b]))
+            else:
+                found[order[a]] = found[order[b]] = True
+        if rows_as is not None:
+            return table.select(rows_as).filter(pa.array(found))
+        ids = table.column("id").to_numpy()
+        one, two = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*pairs) if pairs else ((), ())))
+        swap = ids[one] > ids[two]
+        one, two = np.where(swap, two, one), np.where(swap, one, two)
+        picks = pa.array(one)
+        return pa.table([*[table.column(k).take(picks).combine_chunks() for k in keys], pa.array(ids[one]), pa.array(ids[two])], schema=schema)
+
+    return run
+
+
+def _met(keys: list[str], bucket: list[str], threshold: float, width: int = 1):
+    """Pairs of the rows of a tile in one bucket that share no earlier band and have a cosine of ``threshold`` at least, in portions.
+
+    Rows of one id are no pair.
+    """
+    schema = pa.schema([*[(k, pa.string()) for k in keys], ("id_a", pa.int64()), ("id_b", pa.int64()), ("similarity", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        ids, block, i_of, j_of, band = (table.column(c).to_numpy() for c in ("id", "_b", "_i", "_j", "_band"))
+        names = {k: table.column(k).combine_chunks() for k in keys}
+        numbers = _sketches(table).view(f"u{width}")
+        vectors = VectorColumn(table.column("embedding"))
+        others = [table.column(c).to_numpy() for c in bucket if c not in keys]
+        for rows in subgroups(table, keys, i_of, j_of, *others):
+            rows = rows[np.argsort(ids[rows], kind="stable")]
+            same = i_of[rows[0]] == j_of[rows[0]]
+            left = rows if same else rows[block[rows] == i_of[rows[0]]]
+            right = rows if same else rows[block[rows] == j_of[rows[0]]]
+            if not len(left) or not len(right) or (same and len(rows) < 2):
+                continue
+            a = vectors.block(left)
+            b = a if same else vectors.block(right)
+            step = max(1, _PAIRS // len(right))
+            check = max(1, _BYTES // (8 * a.values.shape[1]))
+            for lo in range(0, len(left), step):
+                # In one block the rows go by id, and a row meets those after it.
+                start = lo + 1 if same else 0
+                if start >= len(right):
+                    break
+                near = a.unit[lo:lo + step] @ b.unit[start:].T >= np.float32(threshold - a.slack)
+                r, c = np.divmod(np.flatnonzero(near), len(right) - start)
+                r, c = r + lo, c + start
+                if same:
+                    r, c = r[r < c], c[r < c]
+                new = (ids[left[r]] != ids[right[c]]) & _first_together(numbers, left[r], right[c], band[left[r]])
+                r, c = r[new], c[new]
+                for at in range(0, len(r), check):
+                    ra, cb = r[at:at + check], c[at:at + check]
+                    sims = exact_cosine(a, ra, b, cb)
+                    ok = sims >= threshold
+                    one, two, sims = left[ra[ok]], right[cb[ok]], sims[ok]
+                    if len(one):
+                        picks = pa.array(one)
+                        yield pa.RecordBatch.from_arrays(
+                            [*[names[k].take(picks) for k in keys], pa.array(np.minimum(ids[one], ids[two])),
+                             pa.array(np.maximum(ids[one], ids[two])), pa.array(sims)], schema=schema)
 
     return run
 
@@ -164,22 +282,42 @@ def _decided(keys: list[str], threshold: float):
     return run
 
 
+def _repeated(rows: DataFrame, threshold: float, keys: list[str], ddl: str) -> DataFrame:
+    """Each row of an id that comes more than once, with each row of it, if two of them match."""
+    again = rows.groupBy(*keys, "id").count().where("count > 1").select(*keys, "id")
+    twice = rows.join(again, [*keys, "id"], "left_semi")
+    one, two = (twice.select(*keys, "id", F.col("_row").alias(f"_{name}"), F.col("embedding").alias(name)) for name in ("one", "two"))
+    each = one.join(two, [*keys, "id"]).select(*keys, F.col("id").alias("id_a"), F.col("id").alias("id_b"), "one", "two", "_one", "_two")
+    found = each.where("_one != _two").mapInArrow(_decided(keys, threshold), f"{ddl}, id_a bigint, id_b bigint, similarity double")
+    every = each.join(found.select(*keys, "id_a").distinct(), [*keys, "id_a"], "left_semi")
+    return every.mapInArrow(_decided(keys, threshold), f"{ddl}, id_a bigint, id_b bigint, similarity double")
+
+
 def sketched_pairs(rows: DataFrame, threshold: float, miss: float, keys: Sequence[str], *, block_rows: int = BLOCK_ROWS, seed: int = 17) -> DataFrame:
     """Pairs (id_a < id_b) of ``rows`` (keys, id, embedding) with a cosine of ``threshold`` at least; one at it is missed with probability ``miss``."""
     keys = list(keys)
     ddl = ", ".join(f"{k} string" for k in keys)
-    sizes = rows.groupBy(*keys).count().groupBy("count").agg(F.count(F.lit(1)).alias("groups"))
+    # A row without a group or an id pairs with none.
+    rows = rows.dropna(subset=[*keys, "id"])
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.max(F.size("embedding")).alias("widest"))
     # Groups by the power of two of their size: few lines, whatever the number of groups.
-    binned = sizes.groupBy(F.ceil(F.log2("count")).alias("b")).agg(F.sum("groups").alias("groups"), F.max("count").alias("n")).collect()
+    binned = sizes.groupBy(F.ceil(F.log2("count")).alias("b")).agg(
+        F.count(F.lit(1)).alias("groups"), F.max("count").alias("n"), F.max("widest").alias("widest")).collect()
     if not binned:
         return rows.sparkSession.createDataFrame([], f"{ddl}, id_a bigint, id_b bigint, similarity double")
     bits, bands, allowed = plan_signatures(threshold, [r["n"] for r in binned for _ in range(min(r["groups"], 1000))], miss)
-    banded = rows.mapInArrow(_signed(keys, bits, bands, seed), f"{ddl}, id bigint, _dim int, _band int, _sig bigint, _sketch binary")
-    banded = materialize(banded, "sketches")
+    # A tile has two blocks at most, and their vectors.
+    block_rows = min(block_rows, max(64, TILE_BYTES // (4 * max(1, *[r["widest"] for r in binned]))))
+    signed = rows.select(*keys, "id", "embedding").mapInArrow(
+        _signed(keys, bits, bands, seed), f"{ddl}, id bigint, embedding array<float>, _dim int, _sigs array<int>, _sketch binary")
+    # Written, so that a row keeps its number and its sketch.
+    signed = materialize(signed.withColumn("_row", F.monotonically_increasing_id()), "sketches")
     bucket = [*keys, "_dim", "_band", "_sig"]
-    tiles = self_tiles(banded, plan_blocks([banded], bucket, block_rows))
-    close = tiles.groupBy("_tile").applyInArrow(_close_sketches(keys, bucket, allowed), f"{ddl}, id_a bigint, id_b bigint").distinct()
-    vectors = rows.select(*keys, "id", "embedding")
-    for side, name in (("id_a", "one"), ("id_b", "two")):
-        close = close.join(vectors.select(*keys, F.col("id").alias(side), F.col("embedding").alias(name)), [*keys, side])
-    return close.select(*keys, "id_a", "id_b", "one", "two").mapInArrow(_decided(keys, threshold), f"{ddl}, id_a bigint, id_b bigint, similarity double")
+    banded = signed.select(*keys, "_row", "_dim", "_sketch", F.posexplode("_sigs").alias("_band", "_sig"))
+    tiles = self_tiles(banded, plan_blocks([banded], bucket, block_rows), "_row")
+    found = ["_tile", "_row", "_i", "_j", "_b", "_band", "_sig"]
+    close = tiles.groupBy("_tile").applyInArrow(
+        _close_sketches(keys, bucket, allowed, sketch_width(bits), found), "_tile bigint, _row bigint, _i int, _j int, _b int, _band int, _sig int")
+    met = close.join(signed.drop("_sigs"), "_row").drop("_row")
+    pairs = met.groupBy("_tile").applyInArrow(_met(keys, bucket, threshold, sketch_width(bits)), f"{ddl}, id_a bigint, id_b bigint, similarity double")
+    return pairs.unionByName(_repeated(signed, threshold, keys, ddl))

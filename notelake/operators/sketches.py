@@ -33,10 +33,11 @@ MAX_BANDS = 1024
 _ROW_COST = 200.0
 _BYTE_COST = 4.0
 #: Comparisons of sketches at a time, and bytes of what is compared or decided at a time.
-_PAIRS = 1 << 18
+_PAIRS = 1 << 17
 _BYTES = 8 << 20
-#: Buckets of fewer rows are compared together.
+#: Buckets of fewer rows are compared together; of others, so many words of 64 signs first (a byte holds how many differ).
 _FEW = 48
+_WORDS = 3
 
 
 def bands_for(same_bit: float, bits: int, miss: float) -> int:
@@ -155,11 +156,17 @@ def _alike(words: np.ndarray, code: np.ndarray, starts: np.ndarray, ends: np.nda
         while lo < end and counts[lo]:
             start, stop = int(starts[lo]), int(ends[lo])
             high = min(end, lo + max(1, _PAIRS // (stop - start)))
-            differ = np.zeros((high - lo, stop - start), np.uint32)
-            for column in columns:
+            differ = np.zeros((high - lo, stop - start), np.uint8)
+            for column in columns[:_WORDS]:
                 differ += np.bitwise_count(column[lo:high, None] ^ column[None, start:stop])
-            a, b = np.divmod(np.flatnonzero(differ <= allowed), stop - start)
+            differ = differ.ravel()
+            maybe = np.flatnonzero(differ <= allowed)
+            a, b = np.divmod(maybe, stop - start)
             a, b = a + lo, b + start
+            differ = differ[maybe].astype(np.uint32)
+            for column in columns[_WORDS:]:
+                differ += np.bitwise_count(column[a] ^ column[b])
+            a, b = a[differ <= allowed], b[differ <= allowed]
             # The rows after the first of these start later, or have nothing to meet.
             met = (b >= starts[a]) & (b < ends[a])
             yield a[met], b[met]
